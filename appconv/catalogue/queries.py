@@ -1,6 +1,7 @@
 """One query per operator, over the whole tables of an order schema."""
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,6 @@ from appconv.names import (
     COHORT,
     EVENT_LOG_SCHEMA,
     FEATURES,
-    FEED_COLUMNS,
     REQUEST_COLUMNS,
     SEGMENT,
     STORE_ID,
@@ -32,7 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Inputs:
-    """The logical tables, each as a fresh lazy DataFrame."""
+    """The logical tables. Those that several steps of one query read are staged on first use, as the jobs in
+    ``plans`` do; the others are lazy."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.tables = OrderTables(spark, folder)
@@ -47,42 +48,73 @@ class Inputs:
         return self.tables.app_map()
 
     def owned(self) -> DataFrame:
+        if "staged_owned" in self.__dict__:
+            return self.staged_owned
         return events.owned_apps(self.tables.event_lines(ALL_KINDS, end=W.OWNED_END), self.app_map())
 
     def lately(self) -> DataFrame:
         lines = self.tables.event_lines((DOWNLOAD,), W.TARGET_START, W.TARGET_END)
         return events.owned_apps(lines, self.app_map())
 
+    def downloads(self) -> DataFrame:
+        lines = self.tables.event_lines((DOWNLOAD,), W.TRAIN_START, W.TEST_DAY)
+        return events.mapped_downloads(lines, self.app_map())
+
     def own(self) -> DataFrame:
         return events.cohort_apps(self.owned(), self.requests())
 
     def tgt(self) -> DataFrame:
         return events.cohort_apps(self.lately(), self.requests())
 
-    def downloads(self) -> DataFrame:
-        lines = self.tables.event_lines((DOWNLOAD,), W.TRAIN_START, W.TEST_DAY)
-        return events.mapped_downloads(lines, self.app_map())
-
     def bags(self) -> DataFrame:
         return bags.app_bags(self.owned())
 
-    def feed(self, min_users: int = W.MIN_USERS) -> DataFrame:
-        return lift.lift_feed(self.own(), self.tgt(), min_users)
+    @cached_property
+    def staged_owned(self) -> DataFrame:
+        return cut_lineage(self.owned())
 
-    def slots(self) -> DataFrame:
-        return lift.feed_slots(self.feed())
+    @cached_property
+    def staged_own(self) -> DataFrame:
+        return cut_lineage(self.own())
 
-    def popular(self) -> DataFrame:
-        return encode.popular_targets(self.downloads(), W.MIN_ROWS)
+    @cached_property
+    def staged_tgt(self) -> DataFrame:
+        return cut_lineage(self.tgt())
 
+    @cached_property
+    def staged_downloads(self) -> DataFrame:
+        return cut_lineage(self.downloads())
+
+    @cached_property
+    def staged_popular(self) -> DataFrame:
+        return cut_lineage(encode.popular_targets(self.staged_downloads, W.MIN_ROWS))
+
+    @cached_property
+    def staged_feed(self) -> DataFrame:
+        return cut_lineage(self.feed())
+
+    @cached_property
     def model_rows(self) -> DataFrame:
-        rows = rates.cvu_encoded_appfree(
-            self.window_requests(), self.owned(), self.downloads(), self.popular(), self.slots()
+        return features.fill_missing(cut_lineage(self.cvu(rates.cvu_encoded_appfree)))
+
+    def feed(self, min_users: int = W.MIN_USERS) -> DataFrame:
+        return lift.lift_feed(self.staged_own, self.staged_tgt, min_users, distinct=True)
+
+    def slots(self) -> DataFrame:
+        return lift.feed_slots(self.staged_feed)
+
+    def cvu(self, table: Callable[..., DataFrame], **options) -> DataFrame:
+        return table(
+            self.window_requests(),
+            self.staged_owned,
+            self.staged_downloads,
+            self.staged_popular,
+            self.slots(),
+            **options,
         )
-        return features.fill_missing(rows)
 
-    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return features.temporal_split(rows, (W.TRAIN_START, W.TRAIN_END), W.TEST_DAY)
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        return features.temporal_split(self.model_rows, (W.TRAIN_START, W.TRAIN_END), W.TEST_DAY)
 
 
 def _bag_text(df: DataFrame) -> DataFrame:
@@ -193,55 +225,58 @@ def target_users(i: Inputs) -> DataFrame:
 
 
 def eligible_pairs(i: Inputs) -> DataFrame:
-    return lift.eligible_pairs(i.own(), i.tgt(), W.MIN_USERS)
+    return lift.eligible_pairs(i.own(), i.tgt(), W.MIN_USERS, distinct=True)
 
 
 def co_users(i: Inputs) -> DataFrame:
-    return lift.co_users(i.own(), i.tgt(), W.MIN_USERS)
+    return lift.co_users(i.staged_own, i.staged_tgt, W.MIN_USERS, distinct=True)
 
 
 def pair_counts(i: Inputs) -> DataFrame:
-    return lift.pair_counts(i.own(), i.tgt(), W.MIN_USERS)
+    return lift.pair_counts(i.staged_own, i.staged_tgt, W.MIN_USERS, distinct=True)
 
 
 def pair_lift(i: Inputs) -> DataFrame:
     """Before the fill: NULL where there is no lift or no bin."""
-    return lift.lift_feed(i.own(), i.tgt(), W.MIN_USERS, missing=None).select(*COHORT, "app_a0", "app_a1", "nCVU", BIN)
+    feed = lift.lift_feed(i.staged_own, i.staged_tgt, W.MIN_USERS, missing=None, distinct=True)
+    return feed.select(*COHORT, "app_a0", "app_a1", "nCVU", BIN)
 
 
 def lift_feed(i: Inputs) -> DataFrame:
-    return i.feed().select(*FEED_COLUMNS)
+    return i.feed()
 
 
 def feed_slots(i: Inputs) -> DataFrame:
-    return i.slots().select(*COHORT, "app_a0", "app_a1", BIN)
+    return lift.feed_slots(i.feed()).select(*COHORT, "app_a0", "app_a1", BIN)
 
 
 def lift_stats(i: Inputs) -> DataFrame:
-    return lift.lift_stats(i.own(), i.tgt(), W.MIN_USERS)
+    return lift.lift_stats(i.own(), i.tgt(), W.MIN_USERS, distinct=True)
 
 
 # --- encode -------------------------------------------------------------------------------------------------------
 
 
 def popular_targets(i: Inputs) -> DataFrame:
-    return i.popular()
+    return encode.popular_targets(i.downloads(), W.MIN_ROWS)
 
 
 def target_hits(i: Inputs) -> DataFrame:
-    members = events.cohort_apps(i.owned(), i.window_requests())
-    hits = encode.target_hits(members, i.popular(), i.slots())
-    return hits.select(*COHORT, UID, "app_a0", F.array_join(mask_to_array(F.col("mask")).cast("array<string>"), "").alias("slots"))
+    members = events.cohort_apps(i.staged_owned, i.window_requests())
+    hits = encode.target_hits(members, i.staged_popular, i.slots())
+    digits = F.array_join(mask_to_array(F.col("mask")).cast("array<string>"), "")
+    return hits.select(*COHORT, UID, "app_a0", digits.alias("slots"))
 
 
 def encode_own_target(i: Inputs) -> DataFrame:
-    rows = bags.downloads_with_bags(events.attribute_downloads(i.downloads(), i.window_requests()), i.bags())
+    attributed = events.attribute_downloads(i.downloads(), i.window_requests())
+    rows = bags.downloads_with_bags(attributed, bags.app_bags(i.staged_owned))
     return encode.encode_own_target(rows, i.slots()).drop(BAG)
 
 
 def encode_all_targets(i: Inputs) -> DataFrame:
-    rows = bags.requests_with_bags(i.window_requests(), i.bags())
-    return encode.encode_all_targets(rows, i.popular(), i.slots())
+    rows = bags.requests_with_bags(i.window_requests(), bags.app_bags(i.staged_owned))
+    return encode.encode_all_targets(rows, i.staged_popular, i.slots())
 
 
 # --- rates --------------------------------------------------------------------------------------------------------
@@ -278,27 +313,23 @@ def cvu_by_bag(i: Inputs) -> DataFrame:
     return _bag_text(rates.cvu_by_bag(i.window_requests(), i.downloads(), i.bags()))
 
 
-def _cvu_encoded(i: Inputs, **options) -> DataFrame:
-    return rates.cvu_encoded(i.window_requests(), i.owned(), i.downloads(), i.popular(), i.slots(), **options)
-
-
 def cvu_encoded(i: Inputs) -> DataFrame:
-    return _cvu_encoded(i)
+    return i.cvu(rates.cvu_encoded)
 
 
 def cvu_encoded_dense(i: Inputs) -> DataFrame:
-    return _cvu_encoded(i, sparse=False)
+    return i.cvu(rates.cvu_encoded, sparse=False)
 
 
 def cvu_encoded_appfree(i: Inputs) -> DataFrame:
-    return rates.cvu_encoded_appfree(i.window_requests(), i.owned(), i.downloads(), i.popular(), i.slots())
+    return i.cvu(rates.cvu_encoded_appfree)
 
 
 def table_sizes(i: Inputs) -> DataFrame:
     return rates.table_sizes(
-        plain=rates.cvu_plain(i.window_requests(), i.downloads()),
-        by_bag=rates.cvu_by_bag(i.window_requests(), i.downloads(), i.bags()),
-        encoded=_cvu_encoded(i),
+        plain=rates.cvu_plain(i.window_requests(), i.staged_downloads),
+        by_bag=rates.cvu_by_bag(i.window_requests(), i.staged_downloads, bags.app_bags(i.staged_owned)),
+        encoded=i.cvu(rates.cvu_encoded),
     )
 
 
@@ -310,21 +341,21 @@ def fill_missing(i: Inputs) -> DataFrame:
 
 
 def temporal_split(i: Inputs) -> DataFrame:
-    train, test = i.split(i.model_rows())
+    train, test = i.split()
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
 def expand_instances(i: Inputs) -> DataFrame:
-    return features.expand_instances(i.model_rows())
+    return features.expand_instances(i.model_rows)
 
 
 def training_cells(i: Inputs) -> DataFrame:
-    return training.training_cells(i.split(i.model_rows())[0])
+    return training.training_cells(i.split()[0])
 
 
 def string_index(i: Inputs) -> DataFrame:
     """Label and index of every category, read off the indexed rows."""
-    rows = cut_lineage(i.model_rows())
+    rows = i.model_rows
     indexed = features.string_indexer(unseen="error").fit(rows).transform(rows)
     pairs = [
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("label"), F.col(f"{c}_index").cast("int").alias("index"))
@@ -337,7 +368,7 @@ def feature_slots(i: Inputs) -> DataFrame:
     """Positions of the ones in the assembled feature vector of every row."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = cut_lineage(i.model_rows())
+    rows = i.model_rows
     cells = rows.select(*FEATURES).distinct()
     vectors = features.feature_pipeline(unseen="error").fit(rows).transform(cells)
     dense = vectors.select(*FEATURES, vector_to_array("features").alias("v"))
@@ -346,21 +377,21 @@ def feature_slots(i: Inputs) -> DataFrame:
 
 
 def binning_rates(i: Inputs) -> DataFrame:
-    return evaluate.binning_rates(i.split(i.model_rows())[0])
+    return evaluate.binning_rates(i.split()[0])
 
 
 def binning_cells(i: Inputs) -> DataFrame:
-    return evaluate.binning_cells(*i.split(cut_lineage(i.model_rows())))
+    return evaluate.binning_cells(*i.split())
 
 
 def binning_rmse(i: Inputs) -> DataFrame:
-    cells = evaluate.binning_cells(*i.split(cut_lineage(i.model_rows())))
+    cells = evaluate.binning_cells(*i.split())
     error = evaluate.weighted_rmse(cells, "CVU", "bining_prediction", "user_count")
     return error.select(F.round("weighted_error", 6).alias("weighted_error"), "weight", F.round("rmse", 6).alias("rmse"))
 
 
 def _trained(i: Inputs):
-    return train_and_compare(cut_lineage(i.model_rows()), (W.TRAIN_START, W.TRAIN_END), W.TEST_DAY)
+    return train_and_compare(i.model_rows, (W.TRAIN_START, W.TRAIN_END), W.TEST_DAY)
 
 
 def lr_scores(i: Inputs) -> DataFrame:

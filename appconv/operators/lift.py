@@ -17,6 +17,10 @@ MISSING = -999
 MAX_SLICES = 256
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cohorts(df: DataFrame) -> DataFrame:
     """Cohorts with their row counts."""
     return df.groupBy(*COHORT).agg(F.count("*").alias("count"))
@@ -27,23 +31,30 @@ def cohort_reach(own: DataFrame) -> DataFrame:
     return own.select(*COHORT, UID).distinct().groupBy(*COHORT).agg(F.count(UID).alias("RONusers"))
 
 
-def _members(df: DataFrame, app: str) -> DataFrame:
-    """Distinct (cohort, app, user). Rows without a cohort or an app can be in no pair."""
-    return df.select(*COHORT, F.col(APP).alias(app), UID).na.drop(subset=[*COHORT, app]).distinct()
+def _members(df: DataFrame, app: str, distinct: bool) -> DataFrame:
+    """Distinct (cohort, app, user). Rows without a cohort or an app can be in no pair; all branches of the plan state
+    the same filters, so that their shuffles are recognised as one."""
+    rows = df.select(*COHORT, F.col(APP).alias(app), UID)
+    for column in (*COHORT, app):
+        rows = rows.filter(F.col(column).isNotNull())
+    return rows if distinct else rows.distinct()
 
 
 def _users(members: DataFrame, app: str, name: str) -> DataFrame:
     return members.groupBy(*COHORT, app).agg(F.count(UID).alias(name))
 
 
-def app_users(own: DataFrame) -> DataFrame:
-    """Users per owned app and cohort."""
-    return _users(_members(own, OWNED), OWNED, "A1users")
+def app_users(own: DataFrame, distinct: bool = False) -> DataFrame:
+    """Users per owned app and cohort.
+
+    Here and below, ``distinct`` says that the inputs are distinct on (cohort, user, app) already, as ``cohort_apps``
+    makes them; the largest table is then not shuffled just to find that out."""
+    return _users(_members(own, OWNED, distinct), OWNED, "A1users")
 
 
-def target_users(tgt: DataFrame) -> DataFrame:
+def target_users(tgt: DataFrame, distinct: bool = False) -> DataFrame:
     """Users per target app and cohort."""
-    return _users(_members(tgt, TARGET), TARGET, "A0users")
+    return _users(_members(tgt, TARGET, distinct), TARGET, "A0users")
 
 
 def _eligible(counts: DataFrame, name: str, min_users: int) -> DataFrame:
@@ -54,29 +65,34 @@ def _pair_universe(owned: DataFrame, wanted: DataFrame) -> DataFrame:
     """All ordered pairs of eligible apps of a cohort. The result is the feed's own grain, so its size is given.
 
     A handful of cohorts would mean a handful of tasks. The owned apps are therefore dealt into slices that are part of
-    the join key, and the target apps are copied to each slice: the largest cohort is spread over all tasks."""
-    slices = min(int(owned.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES)
-    dealt = owned.withColumn("slice", F.pmod(F.xxhash64(OWNED), F.lit(slices)).cast("int")).repartition(
-        slices, *COHORT, "slice"
-    )
+    the join key, and the target apps are copied to each slice. Both sides are laid out by slice with a fixed number of
+    partitions: the lists are short enough for adaptive execution to merge them into one task otherwise."""
+    slices = min(_partitions(owned), MAX_SLICES)
+    dealt = owned.withColumn("slice", F.pmod(F.xxhash64(OWNED), F.lit(slices)).cast("int"))
     copied = wanted.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return dealt.join(copied, [*COHORT, "slice"]).filter(F.col(OWNED) != F.col(TARGET)).drop("slice")
+    layout = [slices, *COHORT, "slice"]
+    pairs = dealt.repartition(*layout).join(copied.repartition(*layout), [*COHORT, "slice"])
+    return pairs.filter(F.col(OWNED) != F.col(TARGET)).drop("slice")
 
 
-def eligible_pairs(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS) -> DataFrame:
+def eligible_pairs(
+    own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, distinct: bool = False
+) -> DataFrame:
     """Pairs of an owned and a different target app, both with at least ``min_users`` users in the cohort."""
-    owned = _eligible(app_users(own), "A1users", min_users).select(*COHORT, OWNED)
-    wanted = _eligible(target_users(tgt), "A0users", min_users).select(*COHORT, TARGET)
+    owned = _eligible(app_users(own, distinct), "A1users", min_users).select(*COHORT, OWNED)
+    wanted = _eligible(target_users(tgt, distinct), "A0users", min_users).select(*COHORT, TARGET)
     return _pair_universe(owned, wanted)
 
 
-def co_users(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS) -> DataFrame:
+def co_users(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, distinct: bool = False) -> DataFrame:
     """Users per cohort who own a1 and converted on a0, for eligible pairs with at least one such user.
 
     Both sides are cut down to eligible apps before they meet: a user with n owned and m target apps yields n*m rows
     in the join, which are counted in the same task before anything is shuffled again. After de-duplication a user
-    has one row per cohort and app at most, so no user is larger than the list of eligible apps."""
-    owned, wanted = _members(own, OWNED), _members(tgt, TARGET)
+    has one row per cohort and app at most, so no user is larger than the list of eligible apps. The owned side is
+    laid out by user with the full number of partitions, whatever the size of its input, because the work grows with
+    the pairs and not with the bytes read."""
+    owned, wanted = _members(own, OWNED, distinct), _members(tgt, TARGET, distinct)
     owned = owned.join(
         _eligible(_users(owned, OWNED, "A1users"), "A1users", min_users), [*COHORT, OWNED], "left_semi"
     )
@@ -84,22 +100,23 @@ def co_users(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS) -> Data
         _eligible(_users(wanted, TARGET, "A0users"), "A0users", min_users), [*COHORT, TARGET], "left_semi"
     )
     return (
-        owned.join(wanted, [*COHORT, UID])
+        owned.repartition(_partitions(own), *COHORT, UID)
+        .join(wanted, [*COHORT, UID])
         .filter(F.col(OWNED) != F.col(TARGET))
         .groupBy(*COHORT, TARGET, OWNED)
         .agg(F.count(UID).alias("A1A0users"))
     )
 
 
-def pair_counts(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS) -> DataFrame:
+def pair_counts(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, distinct: bool = False) -> DataFrame:
     """Every eligible pair with its counts and the totals of its target app.
 
     The totals need no window over the pairs. The co-users of a target are summed over the pairs that have any; the
     users of its partners are the cohort's sum over eligible owned apps, less the target's own users when it is one of
     them."""
-    owned = _eligible(app_users(own), "A1users", min_users)
-    wanted = _eligible(target_users(tgt), "A0users", min_users)
-    together = co_users(own, tgt, min_users)
+    owned = _eligible(app_users(own, distinct), "A1users", min_users)
+    wanted = _eligible(target_users(tgt, distinct), "A0users", min_users)
+    together = co_users(own, tgt, min_users, distinct)
 
     co_totals = together.groupBy(*COHORT, TARGET).agg(F.sum("A1A0users").alias("A1A0usersAggTarget"))
     cohort_totals = owned.groupBy(*COHORT).agg(F.sum("A1users").alias("all_users"))
@@ -143,9 +160,10 @@ def lift_feed(
     min_users: int = MIN_USERS,
     missing: int | None = MISSING,
     legacy_nan: bool = False,
+    distinct: bool = False,
 ) -> DataFrame:
     """The lift feed of all cohorts; missing numbers become ``missing`` (``None`` leaves them NULL)."""
-    feed = pair_lift(pair_counts(own, tgt, min_users), legacy_nan).select(*FEED_COLUMNS)
+    feed = pair_lift(pair_counts(own, tgt, min_users, distinct), legacy_nan).select(*FEED_COLUMNS)
     return feed if missing is None else feed.fillna(missing)
 
 
@@ -154,10 +172,10 @@ def feed_slots(feed: DataFrame) -> DataFrame:
     return feed.withColumn(BIN, clip_slot(F.col(BIN)))
 
 
-def lift_stats(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS) -> DataFrame:
+def lift_stats(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, distinct: bool = False) -> DataFrame:
     """Eligible owned apps, eligible target apps and eligible pairs per cohort, counted without building the pairs."""
-    owned = _eligible(app_users(own), "A1users", min_users)
-    wanted = _eligible(target_users(tgt), "A0users", min_users)
+    owned = _eligible(app_users(own, distinct), "A1users", min_users)
+    wanted = _eligible(target_users(tgt, distinct), "A0users", min_users)
     sides = owned.select(*COHORT, F.col(OWNED).alias(APP), F.lit(1).alias("o"), F.lit(0).alias("t")).unionByName(
         wanted.select(*COHORT, F.col(TARGET).alias(APP), F.lit(0).alias("o"), F.lit(1).alias("t"))
     )

@@ -40,7 +40,7 @@ def build_feed(
     lately = owned_apps(in_window(download, DATE, *target_window), app_map)
     own = stage(cohort_apps(owned, requests), f"{folder}/ownership", mode)
     tgt = stage(cohort_apps(lately, requests), f"{folder}/target", mode)
-    return Feed(owned, stage(lift_feed(own, tgt, min_users), f"{folder}/feed", mode))
+    return Feed(owned, stage(lift_feed(own, tgt, min_users, distinct=True), f"{folder}/feed", mode))
 
 
 def build_cvu(

@@ -27,9 +27,12 @@ class OrderTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     def _orders(self, start: str | None, end: str | None) -> DataFrame:
         """Orders of the months ``start`` .. ``end``. The window is put on the stored column, where the Parquet reader
