@@ -2,18 +2,28 @@
 lift slot s for that target in the user's cohort. Vectors travel as the bits of one int and are rendered last.
 
 A user's bag is the same on all of the user's requests, so the encoding is worked out once per (cohort, user) and
-joined back, not once per request."""
+joined back, not once per request. Popular targets travel as their position in the sorted list of popular targets, and
+the vectors of seven neighbouring positions share one 64-bit word, so that or-ing a bag's rows together handles seven
+targets at a time."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from appconv.functions import mask_to_text, slot_bit
+from appconv.functions import VECTOR_WIDTH, mask_to_text, slot_bit
 from appconv.names import APP, BAG, BIN, COHORT, DATE, OWNED, TARGET, UID, VECTOR
 
 # Fixed value: user-day downloads from which an app counts as a popular target.
 MIN_ROWS = 10000
 
 MASK = "mask"
+POS = "pos"
+HITS = "hits"
+
+# A packed feed up to this many bytes is broadcast; a larger one is joined by shuffling.
+BROADCAST_BYTES = 256 * 1024 * 1024
+
+# Vectors per 64-bit word: seven of nine bits each.
+PER_WORD = 63 // VECTOR_WIDTH
 
 
 def popular_targets(downloads: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -28,36 +38,101 @@ def popular_targets(downloads: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame
     )
 
 
+def _listed(targets: DataFrame) -> DataFrame:
+    """One row with the sorted popular targets. Each of them stands for ``min_rows`` downloads or more, which bounds
+    the list."""
+    return targets.agg(F.array_sort(F.collect_set(APP)).alias("listed"))
+
+
+def target_positions(targets: DataFrame) -> DataFrame:
+    """(app, position in the sorted list), from 0."""
+    return _listed(targets).select(F.posexplode("listed").alias(POS, APP))
+
+
+def target_list(targets: DataFrame) -> Column:
+    """The sorted list as a scalar subquery, to look positions up without a join."""
+    return _listed(targets).scalar()
+
+
+def app_at(targets: DataFrame) -> Column:
+    return F.get(target_list(targets), F.col(POS))
+
+
 def _feed_bits(slots: DataFrame) -> DataFrame:
     return slots.filter(F.col(BIN).isNotNull()).select(*COHORT, TARGET, OWNED, slot_bit(F.col(BIN)).alias("bit"))
 
 
-def _combine(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*COHORT, UID, TARGET).agg(F.bit_or("bit").alias(MASK))
+def pack_feed(slots: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row per (cohort, owned app): the words of the popular targets it has a slot for. The array is no longer than
+    the list of popular targets takes."""
+    known = slots.filter(F.col(BIN).isNotNull()).select(*COHORT, F.col(TARGET).alias(APP), OWNED, BIN)
+    shift = (F.col(POS) % PER_WORD) * VECTOR_WIDTH + F.col(BIN)
+    words = (
+        known.join(target_positions(targets), APP)
+        .groupBy(*COHORT, OWNED, F.floor(F.col(POS) / PER_WORD).cast("int").alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), shift)).alias("bits"))
+    )
+    return words.groupBy(*COHORT, OWNED).agg(F.collect_list(F.struct("word", "bits")).alias(HITS))
 
 
-def target_hits(members: DataFrame, targets: DataFrame, slots: DataFrame) -> DataFrame:
-    """Vectors that are not all zero, for every popular target: (cohort, user, a0, mask).
+def packed_bytes(packed: DataFrame) -> int:
+    """Memory a packed feed takes, from its true row and word counts and a generous share for each."""
+    size = packed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(HITS)), F.lit(0)).alias("words")).first()
+    return size["n"] * 256 + size["words"] * 32
 
-    ``members`` holds distinct (cohort, user, owned app). The feed is cut down to popular targets first; it is joined
-    without a hint, so it is broadcast while its size allows that and shuffled beyond, where adaptive execution splits
-    the partitions of apps that everybody owns."""
-    wanted = _feed_bits(slots).join(targets.select(F.col(APP).alias(TARGET)), TARGET, "left_semi")
+
+def packed_hits(
+    members: DataFrame, targets: DataFrame, slots: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Per (cohort, user) the vectors that are not all zero, as an array of words.
+
+    ``members`` holds distinct (cohort, user, owned app). Where the packed feed is small enough, users are laid out
+    first, the feed is broadcast, and all the rest happens in place. Beyond that the feed is joined by shuffling, where
+    adaptive execution splits the partitions of apps that everybody owns, and the users are laid out afterwards: what
+    moves is one word per owned app and seven targets. ``slots`` should be staged, as its size is measured."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owned = members.select(*COHORT, UID, F.col(APP).alias(OWNED))
-    return _combine(owned.join(wanted, [*COHORT, OWNED]))
+    packed = pack_feed(slots, targets)
+    if packed_bytes(packed) <= broadcast_bytes:
+        rows = owned.repartition(n, *COHORT, UID).join(F.broadcast(packed), [*COHORT, OWNED])
+    else:
+        rows = owned.join(packed, [*COHORT, OWNED]).repartition(n, *COHORT, UID)
+    words = rows.select(*COHORT, UID, F.inline(HITS)).groupBy(*COHORT, UID, "word").agg(F.bit_or("bits").alias("bits"))
+    return words.groupBy(*COHORT, UID).agg(F.collect_list(F.struct("word", "bits")).alias(HITS))
+
+
+def unfold(df: DataFrame, words: Column | str = HITS) -> DataFrame:
+    """Words to one row per position: ``pos`` and ``mask`` in place of the words, zero vectors included."""
+    rest = [c for c in df.columns if c != HITS]
+    cells = [
+        F.struct(
+            (F.col("word") * PER_WORD + i).alias(POS),
+            F.shiftrightunsigned("bits", i * VECTOR_WIDTH).bitwiseAND(F.lit((1 << VECTOR_WIDTH) - 1)).cast("int").alias(MASK),
+        )
+        for i in range(PER_WORD)
+    ]
+    return df.select(*rest, F.inline(words)).select(*rest, F.inline(F.array(*cells)))
+
+
+def target_hits(
+    members: DataFrame, targets: DataFrame, slots: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Vectors that are not all zero, for every popular target: (cohort, user, a0, mask)."""
+    hits = unfold(packed_hits(members, targets, slots, broadcast_bytes)).filter(F.col(MASK) != 0)
+    return hits.select(*COHORT, UID, app_at(targets).alias(TARGET), MASK)
 
 
 def own_target_hits(wanted: DataFrame, owned: DataFrame, slots: DataFrame) -> DataFrame:
     """Vectors that are not all zero, for the (cohort, user, app) rows of ``wanted`` only."""
     asked = wanted.select(*COHORT, UID, F.col(APP).alias(TARGET)).distinct()
     rows = asked.join(owned.select(UID, F.col(APP).alias(OWNED)).distinct(), UID)
-    return _combine(rows.join(_feed_bits(slots), [*COHORT, TARGET, OWNED]))
+    bits = rows.join(_feed_bits(slots), [*COHORT, TARGET, OWNED])
+    return bits.groupBy(*COHORT, UID, F.col(TARGET).alias(APP)).agg(F.bit_or("bit").alias(MASK))
 
 
 def with_own_mask(df: DataFrame, hits: DataFrame) -> DataFrame:
     """``df`` (cohort, user, app, ...) with the mask of its own app; no hit gives the zero vector."""
-    keyed = hits.withColumnRenamed(TARGET, APP)
-    return df.join(keyed, [*COHORT, UID, APP], "left").fillna(0, subset=[MASK])
+    return df.join(hits, [*COHORT, UID, APP], "left").fillna(0, subset=[MASK])
 
 
 def _unpack(df: DataFrame, *keys: str) -> DataFrame:
@@ -67,31 +142,31 @@ def _unpack(df: DataFrame, *keys: str) -> DataFrame:
 
 def encode_own_target(df: DataFrame, slots: DataFrame) -> DataFrame:
     """Add the vector of the row's own ``app_id`` to rows that carry the user's bag. A NULL bag gives all zeros."""
-    hits = own_target_hits(df, _unpack(df, UID), slots)
-    rows = with_own_mask(df, hits)
+    rows = with_own_mask(df, own_target_hits(df, _unpack(df, UID), slots))
     return rows.select(*df.columns, mask_to_text(F.col(MASK)).alias(VECTOR))
 
 
 def with_target_masks(df: DataFrame, targets: DataFrame, hits: DataFrame) -> DataFrame:
-    """One row per row of ``df`` and popular target, with its mask.
+    """One row per row of ``df`` and popular target: ``pos`` and ``mask`` next to the columns of ``df``.
 
     A row first meets the user's packed hits, of which there is one record per (cohort, user), and is only then
-    unfolded over the targets, so the large result is not shuffled. Targets without a hit are the rest of the list."""
-    packed = hits.groupBy(*COHORT, UID).agg(
-        F.collect_list(F.struct(F.col(TARGET).alias(APP), F.col(MASK))).alias("hits"),
-    )
-    listed = targets.agg(F.array_sort(F.collect_set(APP)).alias("listed")).scalar()
-    rows = df.join(packed, [*COHORT, UID], "left").withColumn("listed", listed)
-    found = F.coalesce("hits", F.array().cast(packed.schema["hits"].dataType))
+    unfolded over the targets, so the large result is not shuffled. Words that are not among the hits are zero."""
+    how_many = F.size(target_list(targets))
+    words = F.ceil(how_many / PER_WORD).cast("int")
+    every = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
+    rows = df.join(hits, [*COHORT, UID], "left").withColumns({"every": every, "how_many": how_many})
+    found = F.coalesce(HITS, F.array().cast(hits.schema[HITS].dataType))
     missed = F.transform(
-        F.array_except("listed", F.transform(found, lambda h: h[APP])),
-        lambda app: F.struct(app.alias(APP), F.lit(0).alias(MASK)),
+        F.array_except("every", F.transform(found, lambda h: h["word"])),
+        lambda word: F.struct(word.alias("word"), F.lit(0).cast("long").alias("bits")),
     )
-    return rows.select(*df.columns, F.inline(F.concat(found, missed)))
+    masks = unfold(rows, F.concat(found, missed)).filter(F.col(POS) < F.col("how_many"))
+    return masks.select(*df.columns, POS, MASK)
 
 
 def encode_all_targets(df: DataFrame, targets: DataFrame, slots: DataFrame) -> DataFrame:
     """Rows that carry the user's bag, once per popular target, with that target's vector."""
-    hits = target_hits(_unpack(df, *COHORT, UID), targets, slots)
+    hits = packed_hits(_unpack(df, *COHORT, UID), targets, slots)
     rows = with_target_masks(df.drop(BAG), targets, hits)
-    return rows.select(*[c for c in df.columns if c != BAG], APP, mask_to_text(F.col(MASK)).alias(VECTOR))
+    rest = [c for c in df.columns if c != BAG]
+    return rows.select(*rest, app_at(targets).alias(APP), mask_to_text(F.col(MASK)).alias(VECTOR))

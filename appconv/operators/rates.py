@@ -62,13 +62,10 @@ def cvu_by_bag(requests: DataFrame, downloads: DataFrame, bags: DataFrame) -> Da
     )
 
 
-def _hit_counts(requests: DataFrame, hits: DataFrame, dims: list[str]) -> DataFrame:
-    """Requests per segment, target and vector, for vectors that are not all zero."""
-    return (
-        requests.join(hits, [*COHORT, UID])
-        .groupBy(*dims, F.col(encode.TARGET).alias(APP), MASK)
-        .agg(F.count("*").alias("n"))
-    )
+def _hit_counts(requests: DataFrame, hits: DataFrame, dims: list[str], *keys: str) -> DataFrame:
+    """Requests per segment, vector and ``keys``, for vectors that are not all zero."""
+    rows = encode.unfold(requests.join(hits, [*COHORT, UID]).select(*dims, encode.HITS)).filter(F.col(MASK) != 0)
+    return rows.groupBy(*dims, *keys, MASK).agg(F.count("*").alias("n"))
 
 
 def _with_zero_vectors(counted: DataFrame, everyone: DataFrame, dims: list[str]) -> DataFrame:
@@ -105,18 +102,20 @@ def cvu_encoded(
     ``sparse`` works on the (user, target) combinations that have a vector and gets the zero vectors by subtraction.
     Otherwise every request is unfolded over all targets; both give the same table."""
     requests = requests.distinct()
-    hits = encode.target_hits(cohort_apps(owned, requests), targets, slots)
-    dims = [*SEGMENT, APP]
+    hits = encode.packed_hits(cohort_apps(owned, requests), targets, slots)
+    dims = [*SEGMENT, encode.POS]
     if sparse:
         everyone = requests.groupBy(*SEGMENT).agg(F.count("*").alias("n"))
-        listed = targets.agg(F.array_sort(F.collect_set(APP)).alias("listed")).scalar()
-        everyone = everyone.withColumn("listed", listed).select(*SEGMENT, F.explode("listed").alias(APP), "n")
-        users = _with_zero_vectors(_hit_counts(requests, hits, SEGMENT), everyone, dims)
+        positions = F.posexplode(encode.target_list(targets)).alias(encode.POS, APP)
+        everyone = everyone.select(*SEGMENT, positions, "n").drop(APP)
+        users = _with_zero_vectors(_hit_counts(requests, hits, SEGMENT, encode.POS), everyone, dims)
     else:
         users = count_users(encode.with_target_masks(requests, targets, hits), [*dims, MASK])
     wanted = attribute_downloads(downloads.join(targets, APP, "left_semi"), requests)
-    downloaded = count_downloads(encode.with_own_mask(wanted, hits), [*dims, MASK])
-    return _as_vector(conversion_rate(users, downloaded, [*dims, MASK], null_safe=null_safe), dims)
+    own_hits = encode.own_target_hits(wanted, owned, slots)
+    downloaded = encode.with_own_mask(wanted, own_hits).join(encode.target_positions(targets), APP)
+    rates = conversion_rate(users, count_downloads(downloaded, [*dims, MASK]), [*dims, MASK], null_safe=null_safe)
+    return _as_vector(rates.withColumn(APP, encode.app_at(targets)), [*SEGMENT, APP])
 
 
 def cvu_encoded_appfree(
@@ -135,8 +134,8 @@ def cvu_encoded_appfree(
     owned = owned.distinct()
     members = cohort_apps(owned, requests)
     owners = requests.join(owned.select(UID).distinct(), UID, "left_semi")
-    hits = encode.target_hits(members, targets, slots)
-    counted = _hit_counts(owners, hits, MODEL_SEGMENT).groupBy(*MODEL_SEGMENT, MASK).agg(F.sum("n").alias("n"))
+    hits = encode.packed_hits(members, targets, slots)
+    counted = _hit_counts(owners, hits, MODEL_SEGMENT)
     how_many = targets.agg(F.count("*").alias("targets")).scalar()
     everyone = owners.groupBy(*MODEL_SEGMENT).agg(F.count("*").alias("rows"))
     everyone = everyone.select(*MODEL_SEGMENT, (F.col("rows") * how_many).alias("n"))
