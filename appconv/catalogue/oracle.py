@@ -245,7 +245,7 @@ _STATEMENTS = {
     "cvu_plain": ("select * from plain", "plain"),
     "cvu_by_bag": ("select * from by_bag", "by_bag"),
     "cvu_encoded": ("select * from encoded", "encoded"),
-    "cvu_encoded_dense": ("select * from encoded", "encoded"),
+    "cvu_encoded_sparse": ("select * from encoded", "encoded"),
     "cvu_encoded_appfree": ("select * from appfree", "appfree"),
     "table_sizes": (
         "select 'plain' as table_name, count(*) as rows from plain union all "

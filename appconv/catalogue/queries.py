@@ -317,8 +317,8 @@ def cvu_encoded(i: Inputs) -> DataFrame:
     return i.cvu(rates.cvu_encoded)
 
 
-def cvu_encoded_dense(i: Inputs) -> DataFrame:
-    return i.cvu(rates.cvu_encoded, sparse=False)
+def cvu_encoded_sparse(i: Inputs) -> DataFrame:
+    return i.cvu(rates.cvu_encoded, sparse=True)
 
 
 def cvu_encoded_appfree(i: Inputs) -> DataFrame:
@@ -456,7 +456,7 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         cvu_plain_null_safe,
         cvu_by_bag,
         cvu_encoded,
-        cvu_encoded_dense,
+        cvu_encoded_sparse,
         cvu_encoded_appfree,
         table_sizes,
         fill_missing,

@@ -101,9 +101,9 @@ def packed_hits(
     return words.groupBy(*COHORT, UID).agg(F.collect_list(F.struct("word", "bits")).alias(HITS))
 
 
-def unfold(df: DataFrame, words: Column | str = HITS) -> DataFrame:
-    """Words to one row per position: ``pos`` and ``mask`` in place of the words, zero vectors included."""
-    rest = [c for c in df.columns if c != HITS]
+def unfold(df: DataFrame) -> DataFrame:
+    """Rows with a ``word`` and its ``bits`` to one row per position: ``pos`` and ``mask``, zero vectors included."""
+    rest = [c for c in df.columns if c not in ("word", "bits")]
     cells = [
         F.struct(
             (F.col("word") * PER_WORD + i).alias(POS),
@@ -111,14 +111,20 @@ def unfold(df: DataFrame, words: Column | str = HITS) -> DataFrame:
         )
         for i in range(PER_WORD)
     ]
-    return df.select(*rest, F.inline(words)).select(*rest, F.inline(F.array(*cells)))
+    return df.select(*rest, F.inline(F.array(*cells)))
+
+
+def unfold_hits(df: DataFrame) -> DataFrame:
+    """Rows with packed hits to one row per vector that is not all zero."""
+    rest = [c for c in df.columns if c != HITS]
+    return unfold(df.select(*rest, F.inline(HITS))).filter(F.col(MASK) != 0)
 
 
 def target_hits(
     members: DataFrame, targets: DataFrame, slots: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Vectors that are not all zero, for every popular target: (cohort, user, a0, mask)."""
-    hits = unfold(packed_hits(members, targets, slots, broadcast_bytes)).filter(F.col(MASK) != 0)
+    hits = unfold_hits(packed_hits(members, targets, slots, broadcast_bytes))
     return hits.select(*COHORT, UID, app_at(targets).alias(TARGET), MASK)
 
 
@@ -146,27 +152,30 @@ def encode_own_target(df: DataFrame, slots: DataFrame) -> DataFrame:
     return rows.select(*df.columns, mask_to_text(F.col(MASK)).alias(VECTOR))
 
 
-def with_target_masks(df: DataFrame, targets: DataFrame, hits: DataFrame) -> DataFrame:
-    """One row per row of ``df`` and popular target: ``pos`` and ``mask`` next to the columns of ``df``.
+def with_target_words(df: DataFrame, targets: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row per row of ``df`` and word of the target list: ``word`` and ``bits`` next to the columns of ``df``.
 
     A row first meets the user's packed hits, of which there is one record per (cohort, user), and is only then
-    unfolded over the targets, so the large result is not shuffled. Words that are not among the hits are zero."""
-    how_many = F.size(target_list(targets))
-    words = F.ceil(how_many / PER_WORD).cast("int")
+    unfolded, so the large result is not shuffled. Words that are not among the hits are zero."""
+    words = F.ceil(F.size(target_list(targets)) / PER_WORD).cast("int")
     every = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
-    rows = df.join(hits, [*COHORT, UID], "left").withColumns({"every": every, "how_many": how_many})
+    rows = df.join(hits, [*COHORT, UID], "left").withColumn("every", every)
     found = F.coalesce(HITS, F.array().cast(hits.schema[HITS].dataType))
     missed = F.transform(
         F.array_except("every", F.transform(found, lambda h: h["word"])),
         lambda word: F.struct(word.alias("word"), F.lit(0).cast("long").alias("bits")),
     )
-    masks = unfold(rows, F.concat(found, missed)).filter(F.col(POS) < F.col("how_many"))
-    return masks.select(*df.columns, POS, MASK)
+    return rows.select(*df.columns, F.inline(F.concat(found, missed)))
+
+
+def listed_only(df: DataFrame, targets: DataFrame) -> DataFrame:
+    """Drop the unused positions of the last word."""
+    return df.filter(F.col(POS) < F.size(target_list(targets)))
 
 
 def encode_all_targets(df: DataFrame, targets: DataFrame, slots: DataFrame) -> DataFrame:
     """Rows that carry the user's bag, once per popular target, with that target's vector."""
     hits = packed_hits(_unpack(df, *COHORT, UID), targets, slots)
-    rows = with_target_masks(df.drop(BAG), targets, hits)
+    rows = listed_only(unfold(with_target_words(df.drop(BAG), targets, hits)), targets)
     rest = [c for c in df.columns if c != BAG]
     return rows.select(*rest, app_at(targets).alias(APP), mask_to_text(F.col(MASK)).alias(VECTOR))

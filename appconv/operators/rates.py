@@ -64,10 +64,18 @@ def cvu_by_bag(requests: DataFrame, downloads: DataFrame, bags: DataFrame) -> Da
 
 def _hit_counts(requests: DataFrame, hits: DataFrame, dims: list[str], *keys: str) -> DataFrame:
     """Requests per segment, vector and ``keys``, for vectors that are not all zero."""
-    rows = encode.unfold(requests.join(hits, [*COHORT, UID]).select(*dims, encode.HITS)).filter(F.col(MASK) != 0)
+    rows = encode.unfold_hits(requests.join(hits, [*COHORT, UID]).select(*dims, encode.HITS))
     return rows.groupBy(*dims, *keys, MASK).agg(F.count("*").alias("n"))
 
 
+def _all_counts(requests: DataFrame, hits: DataFrame, targets: DataFrame, dims: list[str]) -> DataFrame:
+    """Requests per segment, target and vector. Requests are counted by word before the words are unfolded, so requests
+    of a segment with equal vectors, such as all those without any, are unfolded once."""
+    words = encode.with_target_words(requests, targets, hits).groupBy(*dims, "word", "bits").agg(F.count("*").alias("n"))
+    vectors = encode.listed_only(encode.unfold(words), targets)
+    return vectors.groupBy(*dims, encode.POS, MASK).agg(F.sum("n").alias("user_count"))
+
+
 def _with_zero_vectors(counted: DataFrame, everyone: DataFrame, dims: list[str]) -> DataFrame:
     """Counts for all vectors from the counts of non-zero ones: who is not among those has the zero vector.
 
@@ -94,13 +102,14 @@ def cvu_encoded(
     downloads: DataFrame,
     targets: DataFrame,
     slots: DataFrame,
-    sparse: bool = True,
+    sparse: bool = False,
     null_safe: bool = False,
 ) -> DataFrame:
     """CVU by segment, popular target and lift vector; every request counts once per popular target.
 
-    ``sparse`` works on the (user, target) combinations that have a vector and gets the zero vectors by subtraction.
-    Otherwise every request is unfolded over all targets; both give the same table."""
+    A feed has a slot for every eligible pair, so nearly every owner has a vector for nearly every target, and requests
+    are unfolded over the targets in the same task that counts them. ``sparse`` is for feeds that cover few targets: it
+    unfolds the vectors that are not zero and gets the zero ones by subtraction. Both give the same table."""
     requests = requests.distinct()
     hits = encode.packed_hits(cohort_apps(owned, requests), targets, slots)
     dims = [*SEGMENT, encode.POS]
@@ -110,7 +119,7 @@ def cvu_encoded(
         everyone = everyone.select(*SEGMENT, positions, "n").drop(APP)
         users = _with_zero_vectors(_hit_counts(requests, hits, SEGMENT, encode.POS), everyone, dims)
     else:
-        users = count_users(encode.with_target_masks(requests, targets, hits), [*dims, MASK])
+        users = _all_counts(requests, hits, targets, SEGMENT)
     wanted = attribute_downloads(downloads.join(targets, APP, "left_semi"), requests)
     own_hits = encode.own_target_hits(wanted, owned, slots)
     downloaded = encode.with_own_mask(wanted, own_hits).join(encode.target_positions(targets), APP)
