@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from appconv.names import APP, BAG, REQUEST_COLUMNS, UID
+from appconv.operators.skew import HOT_ROWS, lookup
 
 
 def app_bags(df: DataFrame, item: str = APP, uid: str = UID) -> DataFrame:
@@ -12,17 +13,19 @@ def app_bags(df: DataFrame, item: str = APP, uid: str = UID) -> DataFrame:
     return df.select(uid, item).distinct().groupBy(uid).agg(F.sort_array(F.collect_list(item)).alias(BAG))
 
 
-def requests_with_bags(requests: DataFrame, bags: DataFrame, how: str = "left") -> DataFrame:
+def requests_with_bags(
+    requests: DataFrame, bags: DataFrame, how: str = "left", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Request tuples with the user's bag: ``left`` keeps users without a bag, ``inner`` drops them.
 
     A bag is unique per user, so distinct requests give a distinct result."""
     rows = requests.select(*REQUEST_COLUMNS).distinct()
-    return rows.join(bags, UID, how).select(*REQUEST_COLUMNS, BAG)
+    return lookup(rows, bags, [UID], how, hot_rows).select(*REQUEST_COLUMNS, BAG)
 
 
 def downloads_with_bags(downloads: DataFrame, bags: DataFrame, how: str = "left") -> DataFrame:
     """(Attributed) downloads with the user's bag."""
-    return downloads.distinct().join(bags, UID, how)
+    return lookup(downloads.distinct(), bags, [UID], how)
 
 
 def bag_stats(bags: DataFrame) -> DataFrame:

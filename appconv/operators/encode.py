@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from appconv.functions import VECTOR_WIDTH, mask_to_text, slot_bit
 from appconv.names import APP, BAG, BIN, COHORT, DATE, OWNED, TARGET, UID, VECTOR
+from appconv.operators.skew import HOT_ROWS, lookup
 
 # Fixed value: user-day downloads from which an app counts as a popular target.
 MIN_ROWS = 10000
@@ -138,7 +139,7 @@ def own_target_hits(wanted: DataFrame, owned: DataFrame, slots: DataFrame) -> Da
 
 def with_own_mask(df: DataFrame, hits: DataFrame) -> DataFrame:
     """``df`` (cohort, user, app, ...) with the mask of its own app; no hit gives the zero vector."""
-    return df.join(hits, [*COHORT, UID, APP], "left").fillna(0, subset=[MASK])
+    return lookup(df, hits, [*COHORT, UID, APP], "left").fillna(0, subset=[MASK])
 
 
 def _unpack(df: DataFrame, *keys: str) -> DataFrame:
@@ -152,14 +153,16 @@ def encode_own_target(df: DataFrame, slots: DataFrame) -> DataFrame:
     return rows.select(*df.columns, mask_to_text(F.col(MASK)).alias(VECTOR))
 
 
-def with_target_words(df: DataFrame, targets: DataFrame, hits: DataFrame) -> DataFrame:
+def with_target_words(
+    df: DataFrame, targets: DataFrame, hits: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """One row per row of ``df`` and word of the target list: ``word`` and ``bits`` next to the columns of ``df``.
 
     A row first meets the user's packed hits, of which there is one record per (cohort, user), and is only then
     unfolded, so the large result is not shuffled. Words that are not among the hits are zero."""
     words = F.ceil(F.size(target_list(targets)) / PER_WORD).cast("int")
     every = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
-    rows = df.join(hits, [*COHORT, UID], "left").withColumn("every", every)
+    rows = lookup(df, hits, [*COHORT, UID], "left", hot_rows).withColumn("every", every)
     found = F.coalesce(HITS, F.array().cast(hits.schema[HITS].dataType))
     missed = F.transform(
         F.array_except("every", F.transform(found, lambda h: h["word"])),

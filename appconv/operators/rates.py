@@ -9,6 +9,7 @@ from appconv.operators import encode
 from appconv.operators.bags import requests_with_bags
 from appconv.operators.encode import MASK
 from appconv.operators.events import attribute_downloads, cohort_apps
+from appconv.operators.skew import lookup
 
 
 def count_users(df: DataFrame, dims: list[str]) -> DataFrame:
@@ -64,7 +65,7 @@ def cvu_by_bag(requests: DataFrame, downloads: DataFrame, bags: DataFrame) -> Da
 
 def _hit_counts(requests: DataFrame, hits: DataFrame, dims: list[str], *keys: str) -> DataFrame:
     """Requests per segment, vector and ``keys``, for vectors that are not all zero."""
-    rows = encode.unfold_hits(requests.join(hits, [*COHORT, UID]).select(*dims, encode.HITS))
+    rows = encode.unfold_hits(lookup(requests, hits, [*COHORT, UID], "inner").select(*dims, encode.HITS))
     return rows.groupBy(*dims, *keys, MASK).agg(F.count("*").alias("n"))
 
 
@@ -121,7 +122,8 @@ def cvu_encoded(
     else:
         users = _all_counts(requests, hits, targets, SEGMENT)
     wanted = attribute_downloads(downloads.join(targets, APP, "left_semi"), requests)
-    own_hits = encode.own_target_hits(wanted, owned, slots)
+    popular_slots = slots.join(targets.withColumnRenamed(APP, encode.TARGET), encode.TARGET, "left_semi")
+    own_hits = encode.own_target_hits(wanted, owned, popular_slots)
     downloaded = encode.with_own_mask(wanted, own_hits).join(encode.target_positions(targets), APP)
     rates = conversion_rate(users, count_downloads(downloaded, [*dims, MASK]), [*dims, MASK], null_safe=null_safe)
     return _as_vector(rates.withColumn(APP, encode.app_at(targets)), [*SEGMENT, APP])
