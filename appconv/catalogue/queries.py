@@ -81,6 +81,10 @@ class Inputs:
     def staged_tgt(self) -> DataFrame:
         return cut_lineage(self.tgt())
 
+    @cached_property
+    def staged_requests(self) -> DataFrame:
+        return cut_lineage(self.window_requests())
+
     @cached_property
     def staged_downloads(self) -> DataFrame:
         return cut_lineage(self.downloads())
@@ -105,7 +109,7 @@ class Inputs:
 
     def cvu(self, table: Callable[..., DataFrame], **options) -> DataFrame:
         return table(
-            self.window_requests(),
+            self.staged_requests,
             self.staged_owned,
             self.staged_downloads,
             self.staged_popular,
@@ -262,20 +266,20 @@ def popular_targets(i: Inputs) -> DataFrame:
 
 
 def target_hits(i: Inputs) -> DataFrame:
-    members = events.cohort_apps(i.staged_owned, i.window_requests())
+    members = events.cohort_apps(i.staged_owned, i.staged_requests)
     hits = encode.target_hits(members, i.staged_popular, i.slots())
     digits = F.array_join(mask_to_array(F.col("mask")).cast("array<string>"), "")
     return hits.select(*COHORT, UID, "app_a0", digits.alias("slots"))
 
 
 def encode_own_target(i: Inputs) -> DataFrame:
-    attributed = events.attribute_downloads(i.downloads(), i.window_requests())
-    rows = bags.downloads_with_bags(attributed, bags.app_bags(i.staged_owned))
+    attributed = cut_lineage(events.attribute_downloads(i.downloads(), i.window_requests()))
+    rows = cut_lineage(bags.downloads_with_bags(attributed, bags.app_bags(i.staged_owned)))
     return encode.encode_own_target(rows, i.slots()).drop(BAG)
 
 
 def encode_all_targets(i: Inputs) -> DataFrame:
-    rows = bags.requests_with_bags(i.window_requests(), bags.app_bags(i.staged_owned))
+    rows = cut_lineage(bags.requests_with_bags(i.staged_requests, bags.app_bags(i.staged_owned)))
     return encode.encode_all_targets(rows, i.staged_popular, i.slots())
 
 
@@ -327,8 +331,8 @@ def cvu_encoded_appfree(i: Inputs) -> DataFrame:
 
 def table_sizes(i: Inputs) -> DataFrame:
     return rates.table_sizes(
-        plain=rates.cvu_plain(i.window_requests(), i.staged_downloads),
-        by_bag=rates.cvu_by_bag(i.window_requests(), i.staged_downloads, bags.app_bags(i.staged_owned)),
+        plain=rates.cvu_plain(i.staged_requests, i.staged_downloads),
+        by_bag=rates.cvu_by_bag(i.staged_requests, i.staged_downloads, bags.app_bags(i.staged_owned)),
         encoded=i.cvu(rates.cvu_encoded),
     )
 

@@ -55,10 +55,11 @@ def build_cvu(
     mode: str = "errorifexists",
 ) -> DataFrame:
     """CVU by segment, target app and lift vector over a window of requests and downloads."""
+    requests = stage(in_window(requests, DATE, *window).distinct(), f"{folder}/requests", mode)
     downloads = stage(mapped_downloads(download, app_map, window), f"{folder}/downloads", mode)
     wanted = stage(popular_targets(downloads, min_rows), f"{folder}/popular", mode)
     table = cvu_encoded_appfree if app_free else cvu_encoded
-    cvu = table(in_window(requests, DATE, *window), feed.owned, downloads, wanted, feed_slots(feed.feed))
+    cvu = table(requests, feed.owned, downloads, wanted, feed_slots(feed.feed))
     return stage(cvu, f"{folder}/cvu", mode)
 
 
