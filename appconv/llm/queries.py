@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from appconv.llm import warc
+from appconv.llm import url_rules, warc
 
-_MODULES = [warc]
+_MODULES = [warc, url_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
