@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from appconv.llm import url_rules, warc
+from appconv.llm import quality, url_rules, warc
 
-_MODULES = [warc, url_rules]
+_MODULES = [warc, url_rules, quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
