@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from appconv.llm import quality, url_rules, warc
+from appconv.llm import mixing, quality, url_rules, warc
 
-_MODULES = [warc, url_rules, quality]
+_MODULES = [warc, url_rules, quality, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
