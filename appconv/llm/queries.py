@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from appconv.llm import lines, mixing, quality, url_rules, warc
+from appconv.llm import contamination, lines, mixing, quality, url_rules, warc
 
-_MODULES = [warc, url_rules, quality, lines, mixing]
+_MODULES = [warc, url_rules, contamination, quality, lines, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
