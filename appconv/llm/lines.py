@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from appconv.llm.common import LOWER_BYTES, SPACE_BYTES, slices, staged, table
@@ -203,12 +203,8 @@ def _hash_texts(documents: DataFrame) -> DataFrame:
     return documents.withColumn("text_hash", F.pandas_udf(run, "long")(F.col("text")))
 
 
-def judge(documents: DataFrame, **options) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, n_lines, n_dropped, kept (the text without its dropped lines)."""
-    return _judged(documents.select("doc_id", "text"), **options).drop("text", "text_hash", "lines", "dropped")
-
-
 def _judged(documents: DataFrame, **options) -> DataFrame:
+    """documents (doc_id, text, rest) with n_lines, n_dropped and kept."""
     gone = dropped_lines(documents, **options).alias("g")
     docs = _hash_texts(documents).alias("d")
     rows = docs.join(gone, F.expr("d.text_hash = g.text_hash and d.doc_id <=> g.doc_id"), "left").select("d.*", "g.dropped")
@@ -223,6 +219,25 @@ def _judged(documents: DataFrame, **options) -> DataFrame:
     )
 
 
+def judge(documents: DataFrame, **options) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, n_lines, n_dropped, kept (the text without its dropped lines)."""
+    return _judged(documents.select("doc_id", "text"), **options).select("doc_id", "n_lines", "n_dropped", "kept")
+
+
+def drop_repeated(documents: DataFrame, **options) -> DataFrame:
+    """``documents`` with the texts that are left; a column n_chars is brought up to date."""
+    others = [c for c in documents.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None)
+    rows = _judged(documents.select("doc_id", "text", rest.alias("rest")), **options)
+
+    def column(name: str) -> Column:
+        if name == "n_chars":
+            return F.length("kept").cast(documents.schema["n_chars"].dataType)
+        return {"doc_id": F.col("doc_id"), "text": F.col("kept")}.get(name, F.col("rest").getField(name))
+
+    return rows.select(*[column(c).alias(c) for c in documents.columns])
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from appconv.llm import contamination, language, lines, mixing, near_copies, passages, quality, url_rules, warc
+from appconv.llm import contamination, html_text, language, lines, mixing, near_copies, passages, quality, url_rules, warc
 
-_MODULES = [warc, url_rules, contamination, quality, lines, language, mixing, passages, near_copies]
+_MODULES = [warc, url_rules, contamination, quality, lines, language, mixing, passages, html_text, near_copies]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
