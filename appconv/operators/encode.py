@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from appconv.functions import VECTOR_WIDTH, mask_to_text, slot_bit
 from appconv.names import APP, BAG, BIN, COHORT, DATE, OWNED, TARGET, UID, VECTOR
+from appconv.operators.ranking import ranked
 from appconv.operators.skew import HOT_ROWS, lookup
+from appconv.sources.staging import cut_lineage
 
 # Fixed value: user-day downloads from which an app counts as a popular target.
 MIN_ROWS = 10000
@@ -39,24 +41,18 @@ def popular_targets(downloads: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame
     )
 
 
-def _listed(targets: DataFrame) -> DataFrame:
-    """One row with the sorted popular targets. Each of them stands for ``min_rows`` downloads or more, which bounds
-    the list."""
-    return targets.agg(F.array_sort(F.collect_set(APP)).alias("listed"))
-
-
 def target_positions(targets: DataFrame) -> DataFrame:
-    """(app, position in the sorted list), from 0."""
-    return _listed(targets).select(F.posexplode("listed").alias(POS, APP))
+    """(app, position in the sorted list), from 0. A table that has positions already is returned as it is."""
+    return targets if POS in targets.columns else cut_lineage(ranked(targets.select(APP), [F.col(APP)], POS))
 
 
-def target_list(targets: DataFrame) -> Column:
-    """The sorted list as a scalar subquery, to look positions up without a join."""
-    return _listed(targets).scalar()
+def target_count(targets: DataFrame) -> Column:
+    return targets.agg(F.count("*").cast("int")).scalar()
 
 
-def app_at(targets: DataFrame) -> Column:
-    return F.get(target_list(targets), F.col(POS))
+def with_app(df: DataFrame, targets: DataFrame, name: str = APP) -> DataFrame:
+    """Positions back to the apps they stand for."""
+    return df.join(target_positions(targets).select(POS, F.col(APP).alias(name)), POS)
 
 
 def _feed_bits(slots: DataFrame) -> DataFrame:
@@ -87,17 +83,18 @@ def packed_hits(
 ) -> DataFrame:
     """Per (cohort, user) the vectors that are not all zero, as an array of words.
 
-    ``members`` holds distinct (cohort, user, owned app). Where the packed feed is small enough, users are laid out
-    first, the feed is broadcast, and all the rest happens in place. Beyond that the feed is joined by shuffling, where
-    adaptive execution splits the partitions of apps that everybody owns, and the users are laid out afterwards: what
-    moves is one word per owned app and seven targets. ``slots`` should be staged, as its size is measured."""
+    ``members`` holds distinct (cohort, user, owned app). The packed feed is staged once and measured. Where it is small
+    enough, users are laid out first, the feed is broadcast, and all the rest happens in place. Beyond that the feed is
+    joined by shuffling: as a staged table it comes from a shuffle like the members do, so adaptive execution splits the
+    partitions of apps that everybody owns, and the users are laid out afterwards: what moves is one word per owned app
+    and seven targets."""
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owned = members.select(*COHORT, UID, F.col(APP).alias(OWNED))
-    packed = pack_feed(slots, targets)
+    packed = cut_lineage(pack_feed(slots, targets))
     if packed_bytes(packed) <= broadcast_bytes:
         rows = owned.repartition(n, *COHORT, UID).join(F.broadcast(packed), [*COHORT, OWNED])
     else:
-        rows = owned.join(packed, [*COHORT, OWNED]).repartition(n, *COHORT, UID)
+        rows = owned.join(packed.hint("merge"), [*COHORT, OWNED]).repartition(n, *COHORT, UID)
     words = rows.select(*COHORT, UID, F.inline(HITS)).groupBy(*COHORT, UID, "word").agg(F.bit_or("bits").alias("bits"))
     return words.groupBy(*COHORT, UID).agg(F.collect_list(F.struct("word", "bits")).alias(HITS))
 
@@ -125,8 +122,9 @@ def target_hits(
     members: DataFrame, targets: DataFrame, slots: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Vectors that are not all zero, for every popular target: (cohort, user, a0, mask)."""
+    targets = target_positions(targets)
     hits = unfold_hits(packed_hits(members, targets, slots, broadcast_bytes))
-    return hits.select(*COHORT, UID, app_at(targets).alias(TARGET), MASK)
+    return with_app(hits, targets, TARGET).select(*COHORT, UID, TARGET, MASK)
 
 
 def own_target_hits(wanted: DataFrame, owned: DataFrame, slots: DataFrame) -> DataFrame:
@@ -160,7 +158,7 @@ def with_target_words(
 
     A row first meets the user's packed hits, of which there is one record per (cohort, user), and is only then
     unfolded, so the large result is not shuffled. Words that are not among the hits are zero."""
-    words = F.ceil(F.size(target_list(targets)) / PER_WORD).cast("int")
+    words = F.ceil(target_count(targets) / PER_WORD).cast("int")
     every = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
     rows = lookup(df, hits, [*COHORT, UID], "left", hot_rows).withColumn("every", every)
     found = F.coalesce(HITS, F.array().cast(hits.schema[HITS].dataType))
@@ -173,12 +171,13 @@ def with_target_words(
 
 def listed_only(df: DataFrame, targets: DataFrame) -> DataFrame:
     """Drop the unused positions of the last word."""
-    return df.filter(F.col(POS) < F.size(target_list(targets)))
+    return df.filter(F.col(POS) < target_count(targets))
 
 
 def encode_all_targets(df: DataFrame, targets: DataFrame, slots: DataFrame) -> DataFrame:
     """Rows that carry the user's bag, once per popular target, with that target's vector."""
+    targets = target_positions(targets)
     hits = packed_hits(_unpack(df, *COHORT, UID), targets, slots)
     rows = listed_only(unfold(with_target_words(df.drop(BAG), targets, hits)), targets)
     rest = [c for c in df.columns if c != BAG]
-    return rows.select(*rest, app_at(targets).alias(APP), mask_to_text(F.col(MASK)).alias(VECTOR))
+    return with_app(rows, targets).select(*rest, APP, mask_to_text(F.col(MASK)).alias(VECTOR))

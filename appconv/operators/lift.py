@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 
 from appconv.functions import clip_slot, log_bin
 from appconv.names import APP, BIN, COHORT, FEED_COLUMNS, OWNED, TARGET, UID
+from appconv.sources.staging import cut_lineage
 
 # An app is eligible from this many users in a cohort; missing numbers are stored as this sentinel.
 MIN_USERS = 10000
 MISSING = -999
 
-# Upper limit for the copies of the target app list made when pairs are built.
-MAX_SLICES = 256
+# Pairs that one slice of a cohort's pair universe holds, and slices that a task builds on average.
+SLICE_PAIRS = 250_000
+TASK_SLICES = 4
+
+# Pairs of one user's apps that are counted together; users with more are split into parts of about this size.
+USER_PAIRS = 1_000_000
 
 
 def _partitions(df: DataFrame) -> int:
@@ -61,62 +66,90 @@ def _eligible(counts: DataFrame, name: str, min_users: int) -> DataFrame:
     return counts.filter(F.col(name) >= min_users)
 
 
-def _pair_universe(owned: DataFrame, wanted: DataFrame) -> DataFrame:
+def _pair_universe(owned: DataFrame, wanted: DataFrame, slice_pairs: int = SLICE_PAIRS) -> DataFrame:
     """All ordered pairs of eligible apps of a cohort. The result is the feed's own grain, so its size is given.
 
-    A handful of cohorts would mean a handful of tasks. The owned apps are therefore dealt into slices that are part of
-    the join key, and the target apps are copied to each slice. Both sides are laid out by slice with a fixed number of
-    partitions: the lists are short enough for adaptive execution to merge them into one task otherwise."""
-    slices = min(_partitions(owned), MAX_SLICES)
-    dealt = owned.withColumn("slice", F.pmod(F.xxhash64(OWNED), F.lit(slices)).cast("int"))
-    copied = wanted.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    layout = [slices, *COHORT, "slice"]
+    A handful of cohorts would mean a handful of tasks. The owned apps of a cohort are therefore dealt into slices that
+    are part of the join key, as many as the cohort's pairs fill, and its target apps are copied to each slice. ``owned``
+    and ``wanted`` should be staged, as they are counted first."""
+    sizes = owned.groupBy(*COHORT).agg(F.count("*").alias("o")).join(wanted.groupBy(*COHORT).agg(F.count("*").alias("w")), COHORT)
+    slices = F.ceil(F.col("o") * F.col("w") / slice_pairs).cast("int")
+    # No more slices than owned apps: a finer deal would leave slices empty.
+    sizes = cut_lineage(sizes.select(*COHORT, F.least(slices, F.col("o").cast("int")).alias("slices")))
+    tasks = -(-(sizes.agg(F.sum("slices")).first()[0] or 1) // TASK_SLICES)
+    dealt = owned.join(sizes, COHORT).withColumn("slice", F.pmod(F.xxhash64(OWNED), F.col("slices")).cast("int")).drop("slices")
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    copied = wanted.join(sizes, COHORT).withColumn("slice", every).drop("slices")
+    layout = [max(tasks, _partitions(owned)), *COHORT, "slice"]
     pairs = dealt.repartition(*layout).join(copied.repartition(*layout), [*COHORT, "slice"])
     return pairs.filter(F.col(OWNED) != F.col(TARGET)).drop("slice")
 
 
+def _lists(own: DataFrame, tgt: DataFrame, min_users: int, distinct: bool) -> tuple[DataFrame, DataFrame]:
+    """The eligible owned and target apps with their users, staged: several steps read them, and a join with a staged
+    table has both its sides from a shuffle, so that adaptive execution can split an app that everybody owns."""
+    owned = _eligible(app_users(own, distinct), "A1users", min_users)
+    return cut_lineage(owned), cut_lineage(_eligible(target_users(tgt, distinct), "A0users", min_users))
+
+
 def eligible_pairs(
     own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, distinct: bool = False
 ) -> DataFrame:
     """Pairs of an owned and a different target app, both with at least ``min_users`` users in the cohort."""
-    owned = _eligible(app_users(own, distinct), "A1users", min_users).select(*COHORT, OWNED)
-    wanted = _eligible(target_users(tgt, distinct), "A0users", min_users).select(*COHORT, TARGET)
-    return _pair_universe(owned, wanted)
+    owned, wanted = _lists(own, tgt, min_users, distinct)
+    return _pair_universe(owned.select(*COHORT, OWNED), wanted.select(*COHORT, TARGET))
 
 
-def co_users(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, distinct: bool = False) -> DataFrame:
-    """Users per cohort who own a1 and converted on a0, for eligible pairs with at least one such user.
+def _user_parts(owned: DataFrame, wanted: DataFrame, user_pairs: int) -> DataFrame:
+    """Users with more than ``user_pairs`` pairs and the parts to split them into."""
+    n = owned.groupBy(*COHORT, UID).agg(F.count("*").alias("n"))
+    m = wanted.groupBy(*COHORT, UID).agg(F.count("*").alias("m"))
+    heavy = n.join(m, [*COHORT, UID]).filter(F.col("n") * F.col("m") > user_pairs)
+    parts = F.least(F.ceil(F.col("n") * F.col("m") / user_pairs), F.col("n")).cast("int")
+    return cut_lineage(heavy.select(*COHORT, UID, parts.alias("parts")))
 
-    Both sides are cut down to eligible apps before they meet: a user with n owned and m target apps yields n*m rows
-    in the join, which are counted in the same task before anything is shuffled again. After de-duplication a user
-    has one row per cohort and app at most, so no user is larger than the list of eligible apps. The owned side is
-    laid out by user with the full number of partitions, whatever the size of its input, because the work grows with
-    the pairs and not with the bytes read."""
-    owned, wanted = _members(own, OWNED, distinct), _members(tgt, TARGET, distinct)
-    owned = owned.join(
-        _eligible(_users(owned, OWNED, "A1users"), "A1users", min_users), [*COHORT, OWNED], "left_semi"
-    )
-    wanted = wanted.join(
-        _eligible(_users(wanted, TARGET, "A0users"), "A0users", min_users), [*COHORT, TARGET], "left_semi"
-    )
+
+def _co_users(
+    own: DataFrame, tgt: DataFrame, owned_apps: DataFrame, target_apps: DataFrame, distinct: bool, user_pairs: int = USER_PAIRS
+) -> DataFrame:
+    owned = _members(own, OWNED, distinct).join(owned_apps, [*COHORT, OWNED], "left_semi")
+    wanted = _members(tgt, TARGET, distinct).join(target_apps, [*COHORT, TARGET], "left_semi")
+    owned, wanted = cut_lineage(owned), cut_lineage(wanted)
+    heavy = _user_parts(owned, wanted, user_pairs)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = owned.join(heavy, [*COHORT, UID], "left").withColumn("part", F.pmod(F.xxhash64(OWNED), parts).cast("int"))
+    copied = wanted.join(heavy, [*COHORT, UID], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return (
-        owned.repartition(_partitions(own), *COHORT, UID)
-        .join(wanted, [*COHORT, UID])
+        dealt.drop("parts")
+        .repartition(_partitions(own), *COHORT, UID, "part")
+        .join(copied.drop("parts"), [*COHORT, UID, "part"])
         .filter(F.col(OWNED) != F.col(TARGET))
         .groupBy(*COHORT, TARGET, OWNED)
         .agg(F.count(UID).alias("A1A0users"))
     )
 
 
+def co_users(
+    own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, distinct: bool = False, user_pairs: int = USER_PAIRS
+) -> DataFrame:
+    """Users per cohort who own a1 and converted on a0, for eligible pairs with at least one such user.
+
+    Both sides are cut down to eligible apps before they meet: a user with n owned and m target apps yields n*m rows
+    in the join, which are counted in the same task before anything is shuffled again. A user with more than
+    ``user_pairs`` of them is split exactly: the owned apps are dealt over parts and the targets copied to each part. The
+    owned side is laid out by user and part with the full number of partitions, whatever the size of its input, because
+    the work grows with the pairs and not with the bytes read."""
+    return _co_users(own, tgt, *_lists(own, tgt, min_users, distinct), distinct, user_pairs)
+
+
 def pair_counts(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, distinct: bool = False) -> DataFrame:
     """Every eligible pair with its counts and the totals of its target app.
 
     The totals need no window over the pairs. The co-users of a target are summed over the pairs that have any; the
     users of its partners are the cohort's sum over eligible owned apps, less the target's own users when it is one of
     them."""
-    owned = _eligible(app_users(own, distinct), "A1users", min_users)
-    wanted = _eligible(target_users(tgt, distinct), "A0users", min_users)
-    together = co_users(own, tgt, min_users, distinct)
+    owned, wanted = _lists(own, tgt, min_users, distinct)
+    together = _co_users(own, tgt, owned, wanted, distinct)
 
     co_totals = together.groupBy(*COHORT, TARGET).agg(F.sum("A1A0users").alias("A1A0usersAggTarget"))
     cohort_totals = owned.groupBy(*COHORT).agg(F.sum("A1users").alias("all_users"))

@@ -112,21 +112,23 @@ def cvu_encoded(
     are unfolded over the targets in the same task that counts them. ``sparse`` is for feeds that cover few targets: it
     unfolds the vectors that are not zero and gets the zero ones by subtraction. Both give the same table."""
     requests = requests.distinct()
+    targets = encode.target_positions(targets)
     hits = encode.packed_hits(cohort_apps(owned, requests), targets, slots)
     dims = [*SEGMENT, encode.POS]
     if sparse:
         everyone = requests.groupBy(*SEGMENT).agg(F.count("*").alias("n"))
-        positions = F.posexplode(encode.target_list(targets)).alias(encode.POS, APP)
-        everyone = everyone.select(*SEGMENT, positions, "n").drop(APP)
+        last = encode.target_count(targets).cast("long") - 1
+        positions = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias(encode.POS)
+        everyone = everyone.filter(encode.target_count(targets) > 0).select(*SEGMENT, positions, "n")
         users = _with_zero_vectors(_hit_counts(requests, hits, SEGMENT, encode.POS), everyone, dims)
     else:
         users = _all_counts(requests, hits, targets, SEGMENT)
     wanted = attribute_downloads(downloads.join(targets, APP, "left_semi"), requests)
     popular_slots = slots.join(targets.withColumnRenamed(APP, encode.TARGET), encode.TARGET, "left_semi")
     own_hits = encode.own_target_hits(wanted, owned, popular_slots)
-    downloaded = encode.with_own_mask(wanted, own_hits).join(encode.target_positions(targets), APP)
+    downloaded = encode.with_own_mask(wanted, own_hits).join(targets, APP)
     rates = conversion_rate(users, count_downloads(downloaded, [*dims, MASK]), [*dims, MASK], null_safe=null_safe)
-    return _as_vector(rates.withColumn(APP, encode.app_at(targets)), [*SEGMENT, APP])
+    return _as_vector(encode.with_app(rates, targets), [*SEGMENT, APP])
 
 
 def cvu_encoded_appfree(

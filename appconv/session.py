@@ -1,6 +1,9 @@
 """Session set-up. The operators need nothing beyond Spark's defaults; these settings only spell out what the skew and
 broadcast handling described in the README relies on."""
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,8 +28,8 @@ def build_session(name: str = "appconv", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only where none is named (tests, a laptop) a
-    fresh local folder is set."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only where none is named and everything runs on
+    this machine (tests, a laptop) a fresh local folder is set, which goes when Python ends."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if not spark.sparkContext.getCheckpointDir():
@@ -35,6 +38,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     own = tempfile.mkdtemp(prefix="appconv-checkpoint-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
     return own
