@@ -169,7 +169,23 @@ def _sql(select: str, needs: str) -> str:
 
 
 _STATEMENTS = {
-    "parse_event_log": ("select request_uid, app_gpm_id, request_date from events_all where kind = 'N'", "events_all"),
+    "parse_event_log": ("select request_uid, app_gpm_id, request_date from events_all", "events_all"),
+    "request_log": ("select * from requests_all", "requests_all"),
+    # An empty cell of a CSV file is a missing one.
+    "request_csv": (
+        "select * replace (nullif(display_marketing_name, '') as display_marketing_name) from requests_all",
+        "requests_all",
+    ),
+    "app_map_csv": ("select * from app_map", "app_map"),
+    "requests_by_day": (
+        "select * replace ('2000-01-' || substr(request_date, 6, 2) as request_date) from requests",
+        "requests",
+    ),
+    "orc_events": (
+        "select distinct request_uid, app_gpm_id as app_id, '2000-01-' || substr(request_date, 6, 2) as request_date "
+        f"from events_all where kind = 'N' and request_date between '{W.TRAIN_START}' and '{W.TEST_DAY}'",
+        "events_all",
+    ),
     "app_map": ("select * from app_map", "app_map"),
     "requests": ("select * from requests_all", "requests_all"),
     "event_window": (
@@ -220,6 +236,12 @@ _STATEMENTS = {
     "pair_counts": ("select * from totalled", "totalled"),
     "pair_lift": (f"select {_COHORT}, app_a0, app_a1, nCVU, log_norm_cvu_ROUNDED from binned", "binned"),
     "lift_feed": ("select * from feed", "feed"),
+    "lift_feed_legacy": (
+        """select * exclude (nCVU, log_norm_cvu_ROUNDED), coalesce(nCVU, -999.0) as nCVU,
+                  case when A1A0usersAggTarget = 0 then 0 else coalesce(log_norm_cvu_ROUNDED, -999) end as log_norm_cvu_ROUNDED
+           from binned""",
+        "binned",
+    ),
     "feed_slots": ("select * from slots", "slots"),
     "lift_stats": (
         f"""select {_COHORT}, eligible_owned, eligible_targets, coalesce(pairs, 0) as pairs
@@ -247,6 +269,7 @@ _STATEMENTS = {
     "cvu_encoded": ("select * from encoded", "encoded"),
     "cvu_encoded_sparse": ("select * from encoded", "encoded"),
     "cvu_encoded_appfree": ("select * from appfree", "appfree"),
+    "cvu_encoded_appfree_min_users": (f"select * from appfree where user_count >= {W.LEAST_USERS}", "appfree"),
     "table_sizes": (
         "select 'plain' as table_name, count(*) as rows from plain union all "
         "select 'by_bag', count(*) from by_bag union all select 'encoded', count(*) from encoded",
@@ -290,6 +313,37 @@ _STATEMENTS = {
     "lr_calibration": ("select market_id, cast(sum(downloads) as bigint) as downloads from train group by all", "train"),
 }
 
+_STATEMENTS["target_hits_shuffled"] = _STATEMENTS["target_hits"]
+
+# One category, no regularisation: the most likely rate of each value is its ratio.
+_RATIO = """
+    (select market_id, sum(downloads)::double / sum(greatest(user_count, downloads))::double as p from train group by all)"""
+_ERROR = "sum(user_count * (CVU - p) * (CVU - p))"
+_RMSE = f"round({_ERROR}, 2) as weighted_error, sum(user_count)::bigint as weight, round(sqrt({_ERROR} / sum(user_count)), 3) as rmse"
+_STATEMENTS["lr_scores"] = (
+    f"select t.*, round(p, 3) as logistic_prediction from test t join {_RATIO} using (market_id)",
+    "test",
+)
+_STATEMENTS["lr_scores_fit_on_all"] = _STATEMENTS["lr_scores"]
+_STATEMENTS["lr_train_rmse"] = (f"select {_RMSE} from train t join {_RATIO} using (market_id)", "train")
+_STATEMENTS["compare_models"] = (
+    f"""select model, count(*) as cells, {_RMSE}
+        from (select b.market_id, b.user_count, b.CVU, unnest(['logistic', 'binning']) as model, unnest([r.p, a.CVU]) as p
+              from (select market_id, sum(downloads)::double / sum(user_count)::double as CVU from train group by all) a
+                   join (select market_id, sum(user_count)::bigint as user_count,
+                                sum(downloads)::double / sum(user_count)::double as CVU from test group by all) b using (market_id)
+                   join {_RATIO} r using (market_id))
+        group by model""",
+    "test",
+)
+_STATEMENTS["lr_calibration_all"] = (
+    " union all ".join(
+        f"select '{c}' as feature, {c} as label, sum(downloads)::bigint as downloads, 0.0::double as error from train group by {c}"
+        for c in _FEATURE_LIST
+    ),
+    "train",
+)
+
 _UNNAMED = f"""
     select u.*, app_id, coalesce(downloads, 0) as downloads, coalesce(downloads * 1.0::double / user_count, 0) as CVU
     from (select {_SEGMENT}, count(*) as user_count

@@ -13,10 +13,12 @@ from appconv.names import (
     APP,
     BAG,
     BIN,
+    BINNING,
     COHORT,
+    DATE,
     EVENT_LOG_SCHEMA,
     FEATURES,
-    REQUEST_COLUMNS,
+    REQUEST_LOG_SCHEMA,
     SEGMENT,
     STORE_ID,
     UID,
@@ -24,9 +26,11 @@ from appconv.names import (
 )
 from appconv.operators import bags, encode, events, lift, rates
 from appconv.plans.jobs import train_and_compare
-from appconv.sources.logs import parse_quoted_lines
+from appconv.functions import day_list
+from appconv.sources.logs import read_quoted_log
+from appconv.sources.tables import ORC_ORDINALS, event_days, read_app_map, read_orc_events, read_request_csv, read_request_log, read_requests
 from appconv.sources.order_tables import ALL_KINDS, CUSTOM, DOWNLOAD, PURCHASE, OrderTables
-from appconv.sources.staging import cut_lineage
+from appconv.sources.staging import cut_lineage, run_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,11 +133,61 @@ def _bag_text(df: DataFrame) -> DataFrame:
 
 
 def parse_event_log(i: Inputs) -> DataFrame:
-    """Event lines as they stand in a log, with quotes and blanks, read back into cells."""
-    lines = i.tables.event_lines((DOWNLOAD,)).select(
+    """Event lines of all kinds as they stand in a text log, with quotes and blanks, read back into cells."""
+    lines = i.tables.event_lines(ALL_KINDS).select(
         F.format_string('"%s" , "%s",\t"%s" ', UID, STORE_ID, "request_date").alias("value")
     )
-    return parse_quoted_lines(lines, EVENT_LOG_SCHEMA)
+    lines.write.text(path := run_folder(i.tables.spark))
+    return read_quoted_log(i.tables.spark, path, EVENT_LOG_SCHEMA)
+
+
+def _request_cells(i: Inputs) -> DataFrame:
+    """All requests with the nine columns of a request file."""
+    rows = i.requests().withColumn("constant", F.lit("1"))
+    return rows.select(*REQUEST_LOG_SCHEMA.names)
+
+
+def request_log(i: Inputs) -> DataFrame:
+    cells = [F.concat(F.lit('"'), c, F.lit('" ')) for c in REQUEST_LOG_SCHEMA.names]
+    _request_cells(i).select(F.concat_ws(", ", *cells).alias("value")).write.text(path := run_folder(i.tables.spark))
+    return read_request_log(i.tables.spark, path)
+
+
+def request_csv(i: Inputs) -> DataFrame:
+    _request_cells(i).write.csv(path := run_folder(i.tables.spark))
+    return read_request_csv(i.tables.spark, f"{path}/part-*")
+
+
+def app_map_csv(i: Inputs) -> DataFrame:
+    i.tables.raw_app_map().select(STORE_ID, APP).write.csv(path := run_folder(i.tables.spark))
+    return read_app_map(i.tables.spark, path)
+
+
+def _days(months: DataFrame) -> DataFrame:
+    """The months of the window as the first days of one month, as folders are kept by day."""
+    return months.withColumn(DATE, F.concat(F.lit("2000-01-"), F.substring(DATE, 6, 2)))
+
+
+_WINDOW_DAYS = 8
+
+
+def requests_by_day(i: Inputs) -> DataFrame:
+    """A Parquet folder for each day of the window, read as one table."""
+    rows, path = cut_lineage(_days(i.window_requests())), run_folder(i.tables.spark)
+    for day in day_list("2000-01-08", _WINDOW_DAYS):
+        rows.filter(F.col(DATE) == day).write.parquet(f"{path}/{day}")
+    return read_requests(i.tables.spark, path, "2000-01-08", _WINDOW_DAYS)
+
+
+def orc_events(i: Inputs) -> DataFrame:
+    """A wide ORC table in a folder for each day, columns taken by position, timestamps cut to days."""
+    lines = _days(i.tables.event_lines((DOWNLOAD,), W.TRAIN_START, W.TEST_DAY))
+    known = {ORC_ORDINALS[0]: F.col(UID), ORC_ORDINALS[1]: F.to_timestamp(DATE), ORC_ORDINALS[2]: F.col(STORE_ID)}
+    wide = [known.get(n, F.lit(n)).alias(f"c{n}") for n in range(max(ORC_ORDINALS) + 1)]
+    rows, path = cut_lineage(lines.select(*wide, DATE)), run_folder(i.tables.spark)
+    for day in day_list("2000-01-08", _WINDOW_DAYS):
+        rows.filter(F.col(DATE) == day).drop(DATE).write.orc(f"{path}/load_time={day.replace('-', '/')}")
+    return event_days(read_orc_events(i.tables.spark, path, "2000-01-08", _WINDOW_DAYS), "2000-01-01", "2000-01-08")
 
 
 def app_map(i: Inputs) -> DataFrame:
@@ -250,6 +304,11 @@ def lift_feed(i: Inputs) -> DataFrame:
     return i.feed()
 
 
+def lift_feed_legacy(i: Inputs) -> DataFrame:
+    """Targets that no partner shares users with are put into bin 0."""
+    return lift.lift_feed(i.staged_own, i.staged_tgt, W.MIN_USERS, legacy_nan=True, distinct=True)
+
+
 def feed_slots(i: Inputs) -> DataFrame:
     return lift.feed_slots(i.feed()).select(*COHORT, "app_a0", "app_a1", BIN)
 
@@ -265,9 +324,14 @@ def popular_targets(i: Inputs) -> DataFrame:
     return encode.popular_targets(i.downloads(), W.MIN_ROWS)
 
 
-def target_hits(i: Inputs) -> DataFrame:
+def target_hits_shuffled(i: Inputs) -> DataFrame:
+    """As for a packed feed that is too large to broadcast."""
+    return target_hits(i, broadcast_bytes=0)
+
+
+def target_hits(i: Inputs, **options) -> DataFrame:
     members = events.cohort_apps(i.staged_owned, i.staged_requests)
-    hits = encode.target_hits(members, i.staged_popular, i.slots())
+    hits = encode.target_hits(members, i.staged_popular, i.slots(), **options)
     digits = F.array_join(mask_to_array(F.col("mask")).cast("array<string>"), "")
     return hits.select(*COHORT, UID, "app_a0", digits.alias("slots"))
 
@@ -329,6 +393,10 @@ def cvu_encoded_appfree(i: Inputs) -> DataFrame:
     return i.cvu(rates.cvu_encoded_appfree)
 
 
+def cvu_encoded_appfree_min_users(i: Inputs) -> DataFrame:
+    return i.cvu(rates.cvu_encoded_appfree, min_users=W.LEAST_USERS)
+
+
 def table_sizes(i: Inputs) -> DataFrame:
     return rates.table_sizes(
         plain=rates.cvu_plain(i.staged_requests, i.staged_downloads),
@@ -390,16 +458,26 @@ def binning_cells(i: Inputs) -> DataFrame:
 
 def binning_rmse(i: Inputs) -> DataFrame:
     cells = evaluate.binning_cells(*i.split())
-    error = evaluate.weighted_rmse(cells, "CVU", "bining_prediction", "user_count")
+    error = evaluate.weighted_rmse(cells, "CVU", BINNING, "user_count")
     return error.select(F.round("weighted_error", 6).alias("weighted_error"), "weight", F.round("rmse", 6).alias("rmse"))
 
 
-def _trained(i: Inputs):
-    return train_and_compare(i.model_rows, (W.TRAIN_START, W.TRAIN_END), W.TEST_DAY)
+def _trained(i: Inputs, **options):
+    return train_and_compare(i.model_rows, (W.TRAIN_START, W.TRAIN_END), W.TEST_DAY, **options)
+
+
+# Over one category the model's maximum likelihood is the ratio of each of its values, which SQL can state.
+_ONE = ["market_id"]
 
 
 def lr_scores(i: Inputs) -> DataFrame:
-    return _trained(i).test_scores
+    return _trained(i, columns=_ONE).test_scores.withColumn("logistic_prediction", F.round("logistic_prediction", 3))
+
+
+def lr_scores_fit_on_all(i: Inputs) -> DataFrame:
+    """Category indexes fitted on all rows: the same predictions."""
+    scores = _trained(i, columns=_ONE, fit_on="all").test_scores
+    return scores.withColumn("logistic_prediction", F.round("logistic_prediction", 3))
 
 
 def lr_calibration(i: Inputs) -> DataFrame:
@@ -409,18 +487,38 @@ def lr_calibration(i: Inputs) -> DataFrame:
     return scores.groupBy("market_id").agg(F.round(expected, 0).cast("long").alias("downloads"))
 
 
+def lr_calibration_all(i: Inputs) -> DataFrame:
+    """The model over all five categories: for each value of each, how far expected downloads are from observed ones, as a
+    share of them."""
+    scores = _trained(i).train_scores
+    expected = F.col("logistic_prediction") * F.greatest("user_count", "downloads")
+    values = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("label")) for c in FEATURES])
+    rows = scores.select(F.inline(values), expected.alias("expected"), "downloads")
+    error = F.abs(F.sum("expected") - F.sum("downloads")) / F.sum("downloads")
+    return rows.groupBy("feature", "label").agg(F.sum("downloads").alias("downloads"), F.abs(F.round(error, 2)).alias("error"))
+
+
+def _errors(df: DataFrame) -> DataFrame:
+    return df.withColumn("weighted_error", F.round("weighted_error", 2)).withColumn("rmse", F.round("rmse", 3))
+
+
 def lr_train_rmse(i: Inputs) -> DataFrame:
-    return _trained(i).train_rmse
+    return _errors(_trained(i, columns=_ONE).train_rmse)
 
 
 def compare_models(i: Inputs) -> DataFrame:
-    return _trained(i).comparison
+    return _errors(_trained(i, columns=_ONE).comparison)
 
 
 CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
     f.__name__: f
     for f in (
         parse_event_log,
+        request_log,
+        request_csv,
+        app_map_csv,
+        requests_by_day,
+        orc_events,
         app_map,
         requests,
         event_window,
@@ -447,10 +545,12 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         pair_counts,
         pair_lift,
         lift_feed,
+        lift_feed_legacy,
         feed_slots,
         lift_stats,
         popular_targets,
         target_hits,
+        target_hits_shuffled,
         encode_own_target,
         encode_all_targets,
         count_users,
@@ -462,6 +562,7 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         cvu_encoded,
         cvu_encoded_sparse,
         cvu_encoded_appfree,
+        cvu_encoded_appfree_min_users,
         table_sizes,
         fill_missing,
         temporal_split,
@@ -473,7 +574,9 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         binning_cells,
         binning_rmse,
         lr_scores,
+        lr_scores_fit_on_all,
         lr_calibration,
+        lr_calibration_all,
         lr_train_rmse,
         compare_models,
     )

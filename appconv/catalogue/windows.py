@@ -7,3 +7,4 @@ TEST_DAY = "2000-08-01"
 
 MIN_USERS = 5
 MIN_ROWS = 20
+LEAST_USERS = 40

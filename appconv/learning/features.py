@@ -59,10 +59,10 @@ def feature_pipeline(columns: list[str] = FEATURES, unseen: str = "keep") -> Pip
     )
 
 
-def fit_features(train: DataFrame, everything: DataFrame, fit_on: str = "train"):
+def fit_features(train: DataFrame, everything: DataFrame, fit_on: str = "train", columns: list[str] = FEATURES):
     """Fit the category indexes on the training rows, keeping later categories as unknown, or on all rows."""
     if fit_on == "train":
-        return feature_pipeline(unseen="keep").fit(train)
+        return feature_pipeline(columns, unseen="keep").fit(train)
     if fit_on == "all":
-        return feature_pipeline(unseen="error").fit(everything)
+        return feature_pipeline(columns, unseen="error").fit(everything)
     raise ValueError(f"fit_on must be 'train' or 'all', not {fit_on!r}")

@@ -12,17 +12,22 @@ from appconv.names import FEATURES
 # Fixed value: iteration limit of the optimiser.
 MAX_ITER = 2000
 
+# The optimiser stops when its steps change the likelihood by less than this share.
+TOLERANCE = 1e-9
 
-def training_cells(rows: DataFrame) -> DataFrame:
+
+def training_cells(rows: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     """Instances with equal categories and label merged, weights summed. The weighted likelihood is the same sum with
     fewer terms, so every pass of the optimiser reads one row per cell instead of one per cell and day."""
-    return expand_instances(rows).groupBy(*FEATURES, "label").agg(F.sum("weight").alias("weight"))
+    return expand_instances(rows).groupBy(*columns, "label").agg(F.sum("weight").alias("weight"))
 
 
-def fit_logistic(train: DataFrame, features: PipelineModel, max_iter: int = MAX_ITER) -> LogisticRegressionModel:
+def fit_logistic(
+    train: DataFrame, features: PipelineModel, max_iter: int = MAX_ITER, columns: list[str] = FEATURES
+) -> LogisticRegressionModel:
     """No regularisation, with intercept."""
-    cells = features.transform(training_cells(train)).select("features", "label", "weight")
-    return LogisticRegression(weightCol="weight", maxIter=max_iter).fit(cells)
+    cells = features.transform(training_cells(train, columns)).select("features", "label", "weight")
+    return LogisticRegression(weightCol="weight", maxIter=max_iter, tol=TOLERANCE).fit(cells)
 
 
 def score(rows: DataFrame, features: PipelineModel, model: LogisticRegressionModel) -> DataFrame:

@@ -12,6 +12,7 @@ OWNED = "app_a1"
 TARGET = "app_a0"
 BIN = "log_norm_cvu_ROUNDED"
 VECTOR = "appOwnCVUEnc"
+BINNING = "bining_prediction"
 
 COHORT = ["country_id", "device_os_id", "device_type_id"]
 

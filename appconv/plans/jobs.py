@@ -8,7 +8,7 @@ from appconv.functions import in_window
 from appconv.learning.evaluate import binning_cells, compare_models, weighted_rmse
 from appconv.learning.features import fill_missing, fit_features, temporal_split
 from appconv.learning.training import MAX_ITER, fit_logistic, score
-from appconv.names import DATE
+from appconv.names import DATE, FEATURES
 from appconv.operators.encode import MIN_ROWS, popular_targets
 from appconv.operators.events import cohort_apps, mapped_downloads, owned_apps, union_events
 from appconv.operators.lift import MIN_USERS, feed_slots, lift_feed
@@ -79,13 +79,14 @@ def train_and_compare(
     test_day: str,
     fit_on: str = "train",
     max_iter: int = MAX_ITER,
+    columns: list[str] = FEATURES,
 ) -> Trained:
     """Weighted logistic regression against the binning baseline. ``rows`` should be a staged CVU table: the index fit,
     every pass of the optimiser's input and the evaluation read it."""
     rows = fill_missing(rows)
     train, test = temporal_split(rows, train_window, test_day)
-    features = fit_features(train, rows, fit_on)
-    model = fit_logistic(train, features, max_iter)
+    features = fit_features(train, rows, fit_on, columns)
+    model = fit_logistic(train, features, max_iter, columns)
     train_scores, test_scores = score(train, features, model), score(test, features, model)
     return Trained(
         features,
@@ -93,5 +94,5 @@ def train_and_compare(
         train_scores,
         test_scores,
         weighted_rmse(train_scores, "CVU", "logistic_prediction", "user_count"),
-        compare_models(binning_cells(train, test), test_scores),
+        compare_models(binning_cells(train, test, columns), test_scores, columns),
     )

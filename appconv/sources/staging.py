@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from appconv.session import checkpoint_dir
 
@@ -13,6 +13,11 @@ def stage(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def run_folder(spark: SparkSession) -> str:
+    """A fresh name in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Stage under a fresh name in the shared checkpoint folder, so a lost executor costs no earlier step."""
     folder = checkpoint_dir(df.sparkSession).rstrip("/")
