@@ -52,8 +52,6 @@ class Inputs:
         return self.tables.app_map()
 
     def owned(self) -> DataFrame:
-        if "staged_owned" in self.__dict__:
-            return self.staged_owned
         return events.owned_apps(self.tables.event_lines(ALL_KINDS, end=W.OWNED_END), self.app_map())
 
     def lately(self) -> DataFrame:
@@ -244,7 +242,8 @@ def app_bags(i: Inputs) -> DataFrame:
 
 
 def market_bags(i: Inputs) -> DataFrame:
-    return _bag_text(bags.app_bags(events.ownership(i.owned(), i.requests()), item="market_id"))
+    markets = i.requests().select(UID, "market_id").distinct()
+    return _bag_text(bags.app_bags(markets.join(i.owned().select(UID).distinct(), UID, "left_semi"), item="market_id"))
 
 
 def requests_with_bags(i: Inputs) -> DataFrame:
@@ -267,7 +266,7 @@ def bag_stats(i: Inputs) -> DataFrame:
 
 
 def cohort_counts(i: Inputs) -> DataFrame:
-    return lift.cohorts(events.ownership(i.owned(), i.requests()))
+    return lift.cohort_rows(i.owned(), i.requests())
 
 
 def cohort_reach(i: Inputs) -> DataFrame:
@@ -338,13 +337,12 @@ def target_hits(i: Inputs, **options) -> DataFrame:
 
 def encode_own_target(i: Inputs) -> DataFrame:
     attributed = cut_lineage(events.attribute_downloads(i.downloads(), i.window_requests()))
-    rows = cut_lineage(bags.downloads_with_bags(attributed, bags.app_bags(i.staged_owned)))
-    return encode.encode_own_target(rows, i.slots()).drop(BAG)
+    return encode.encode_own_target(attributed, i.slots(), i.staged_owned)
 
 
 def encode_all_targets(i: Inputs) -> DataFrame:
-    rows = cut_lineage(bags.requests_with_bags(i.staged_requests, bags.app_bags(i.staged_owned)))
-    return encode.encode_all_targets(rows, i.staged_popular, i.slots())
+    members = events.cohort_apps(i.staged_owned, i.staged_requests)
+    return encode.encode_all_targets(i.staged_requests, i.staged_popular, i.slots(), members)
 
 
 # --- rates --------------------------------------------------------------------------------------------------------
@@ -437,15 +435,17 @@ def string_index(i: Inputs) -> DataFrame:
 
 
 def feature_slots(i: Inputs) -> DataFrame:
-    """Positions of the ones in the assembled feature vector of every row."""
-    from pyspark.ml.functions import vector_to_array
-
+    """Positions of the ones in the assembled feature vector of every row, from the indexes and the widths of the
+    categories' parts: the last category of each has no position."""
     rows = i.model_rows
-    cells = rows.select(*FEATURES).distinct()
-    vectors = features.feature_pipeline(unseen="error").fit(rows).transform(cells)
-    dense = vectors.select(*FEATURES, vector_to_array("features").alias("v"))
-    ones = F.filter(F.sequence(F.lit(0), F.size("v") - 1), lambda p: F.get("v", p) == 1.0)
-    return dense.select(*FEATURES, F.size("v").alias("width"), F.array_join(ones.cast("array<string>"), ",").alias("ones"))
+    indexer = features.string_indexer(unseen="error").fit(rows)
+    indexed = indexer.transform(rows.select(*FEATURES).distinct())
+    width, ones = 0, []
+    for name, labels in zip(features.index_names(), indexer.labelsArray, strict=True):
+        ones.append(F.when(F.col(name) < len(labels) - 1, (F.col(name) + width).cast("int")))
+        width += len(labels) - 1
+    places = F.array_compact(F.array(*ones)).cast("array<string>")
+    return indexed.select(*FEATURES, F.lit(width).alias("width"), F.array_join(places, ",").alias("ones"))
 
 
 def binning_rates(i: Inputs) -> DataFrame:

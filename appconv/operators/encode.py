@@ -135,6 +135,16 @@ def own_target_hits(wanted: DataFrame, owned: DataFrame, slots: DataFrame) -> Da
     return bits.groupBy(*COHORT, UID, F.col(TARGET).alias(APP)).agg(F.bit_or("bit").alias(MASK))
 
 
+def with_own_mask_from_hits(df: DataFrame, hits: DataFrame) -> DataFrame:
+    """``df`` (cohort, user, position, ...) with the mask at its position, taken out of the packed hits of its user."""
+    place = F.floor(F.col(POS) / PER_WORD).cast("int")
+    rows = lookup(df.withColumn("word", place), hits, [*COHORT, UID], "left")
+    bits = F.get(F.filter(HITS, lambda h: h["word"] == F.col("word")), F.lit(0))["bits"]
+    shift = ((F.col(POS) % PER_WORD) * VECTOR_WIDTH).cast("int")
+    mask = F.call_function("shiftrightunsigned", bits, shift).bitwiseAND(F.lit((1 << VECTOR_WIDTH) - 1)).cast("int")
+    return rows.withColumn(MASK, F.coalesce(mask, F.lit(0))).drop("word", HITS)
+
+
 def with_own_mask(df: DataFrame, hits: DataFrame) -> DataFrame:
     """``df`` (cohort, user, app, ...) with the mask of its own app; no hit gives the zero vector."""
     return lookup(df, hits, [*COHORT, UID, APP], "left").fillna(0, subset=[MASK])
@@ -145,9 +155,10 @@ def _unpack(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, BAG).distinct().select(*keys, F.explode(BAG).alias(APP)).distinct()
 
 
-def encode_own_target(df: DataFrame, slots: DataFrame) -> DataFrame:
-    """Add the vector of the row's own ``app_id`` to rows that carry the user's bag. A NULL bag gives all zeros."""
-    rows = with_own_mask(df, own_target_hits(df, _unpack(df, UID), slots))
+def encode_own_target(df: DataFrame, slots: DataFrame, owned: DataFrame | None = None) -> DataFrame:
+    """Add the vector of the row's own ``app_id``. The users' apps are ``owned``, or the bag that each row carries, where
+    a NULL bag gives all zeros."""
+    rows = with_own_mask(df, own_target_hits(df, _unpack(df, UID) if owned is None else owned, slots))
     return rows.select(*df.columns, mask_to_text(F.col(MASK)).alias(VECTOR))
 
 
@@ -174,10 +185,13 @@ def listed_only(df: DataFrame, targets: DataFrame) -> DataFrame:
     return df.filter(F.col(POS) < target_count(targets))
 
 
-def encode_all_targets(df: DataFrame, targets: DataFrame, slots: DataFrame) -> DataFrame:
-    """Rows that carry the user's bag, once per popular target, with that target's vector."""
+def encode_all_targets(
+    df: DataFrame, targets: DataFrame, slots: DataFrame, members: DataFrame | None = None
+) -> DataFrame:
+    """Rows once per popular target, with that target's vector. The users' apps are ``members`` (distinct cohort, user,
+    app), or the bag that each row carries."""
     targets = target_positions(targets)
-    hits = packed_hits(_unpack(df, *COHORT, UID), targets, slots)
+    hits = packed_hits(_unpack(df, *COHORT, UID) if members is None else members, targets, slots)
     rows = listed_only(unfold(with_target_words(df.drop(BAG), targets, hits)), targets)
     rest = [c for c in df.columns if c != BAG]
     return with_app(rows, targets).select(*rest, APP, mask_to_text(F.col(MASK)).alias(VECTOR))

@@ -31,6 +31,14 @@ def cohorts(df: DataFrame) -> DataFrame:
     return df.groupBy(*COHORT).agg(F.count("*").alias("count"))
 
 
+def cohort_rows(owned: DataFrame, requests: DataFrame) -> DataFrame:
+    """Cohorts with the number of rows that owned apps and distinct requests have together, without building these: each
+    user counts apps times requests."""
+    apps = owned.select(UID, APP).distinct().groupBy(UID).agg(F.count("*").alias("apps"))
+    seen = requests.distinct().groupBy(*COHORT, UID).agg(F.count("*").alias("seen"))
+    return seen.join(apps, UID).groupBy(*COHORT).agg(F.sum(F.col("apps") * F.col("seen")).alias("count"))
+
+
 def cohort_reach(own: DataFrame) -> DataFrame:
     """Distinct owners per cohort."""
     return own.select(*COHORT, UID).distinct().groupBy(*COHORT).agg(F.count(UID).alias("RONusers"))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from appconv.functions import mask_to_text
 from appconv.names import APP, BAG, COHORT, DATE, MODEL_SEGMENT, SEGMENT, UID, VECTOR
 from appconv.operators import encode
-from appconv.operators.bags import requests_with_bags
 from appconv.operators.encode import MASK
 from appconv.operators.events import attribute_downloads, cohort_apps
 from appconv.operators.skew import lookup
+from appconv.sources.staging import cut_lineage
 
 
 def count_users(df: DataFrame, dims: list[str]) -> DataFrame:
@@ -53,14 +53,17 @@ def cvu_plain(requests: DataFrame, downloads: DataFrame, null_safe: bool = False
 def cvu_by_bag(requests: DataFrame, downloads: DataFrame, bags: DataFrame) -> DataFrame:
     """CVU grouped on the whole bag; segments without downloads, and users without a bag, drop out.
 
-    The bag belongs to the user, so downloads meet requests on (date, user) and the arrays are compared only as
-    grouping keys."""
-    with_bag = requests_with_bags(requests, bags, "inner")
+    The bag belongs to the user, so downloads meet requests on (date, user)."""
+    # The smallest user of a bag stands for it, so arrays are grouped once per user and not once per request.
+    distinct = cut_lineage(bags.groupBy(BAG).agg(F.min(UID).alias("bag_id")))
+    users = cut_lineage(bags.join(distinct, BAG).select(UID, "bag_id"))
+    with_bag = requests.distinct().join(users, UID)
     downloaded = downloads.select(DATE, UID, APP).distinct().join(with_bag, [DATE, UID])
-    dims = [*SEGMENT, BAG]
-    return conversion_rate(
+    dims = [*SEGMENT, "bag_id"]
+    rates = conversion_rate(
         count_users(with_bag, dims), count_downloads(downloaded, [*dims, APP]), dims, how="inner", fill=False
     )
+    return rates.join(distinct, "bag_id").drop("bag_id")
 
 
 def _hit_counts(requests: DataFrame, hits: DataFrame, dims: list[str], *keys: str) -> DataFrame:
@@ -124,9 +127,7 @@ def cvu_encoded(
     else:
         users = _all_counts(requests, hits, targets, SEGMENT)
     wanted = attribute_downloads(downloads.join(targets, APP, "left_semi"), requests)
-    popular_slots = slots.join(targets.withColumnRenamed(APP, encode.TARGET), encode.TARGET, "left_semi")
-    own_hits = encode.own_target_hits(wanted, owned, popular_slots)
-    downloaded = encode.with_own_mask(wanted, own_hits).join(targets, APP)
+    downloaded = encode.with_own_mask_from_hits(wanted.join(targets, APP), hits)
     rates = conversion_rate(users, count_downloads(downloaded, [*dims, MASK]), [*dims, MASK], null_safe=null_safe)
     return _as_vector(encode.with_app(rates, targets), [*SEGMENT, APP])
 
