@@ -2,13 +2,18 @@
 
 Equal shingle sets are one class, represented by its smallest doc_id. A class has ``COORDINATES`` MinHash values; a
 coordinate with its value is a token. Two sets of similarity 0.8 or more agree in at least ``MATCHES`` coordinates but for
-a chance below 1e-6. Tokens of one class only match nothing and are skipped, and with them every class that has too few
+a chance of 3e-6. Tokens of one class only match nothing and are skipped, and with them every class that has too few
 others. Of the n tokens that are left, two classes with ``MATCHES`` in common share one of the n - MATCHES + 1 rarest of
 each (prefix), so only these are posted. Candidates are counted on all their tokens, and those with enough matches are
 confirmed on full sets of words.
 
-Nothing lists all pairs of a group. First every member of a posting meets only the smallest member; components are formed;
-then members of a posting that still lie in different components meet, and pairs within a component never do.
+Nothing lists all pairs of a group. Every member of a posting meets its leader, the smallest member. Members that are
+confirmed to be similar to the leader leave the posting together with it: what is far from the leader (a similarity below
+0.6, by fewer than ``FAR`` matches but for a chance of 3e-6) cannot be similar to them, as the distance 1 - similarity
+keeps the triangle inequality. The rest gets a new leader. After ``ROUNDS`` components are formed; then members that were
+neither similar to a leader nor far from it, those that were, and those left in a posting are compared exactly where their
+posting still spans components: by the rarest shingles of their full sets (of two sets with similarity 0.8 each has a common
+one among the rarest fifth), at a place from where enough of both sets is left, and only across components.
 
 Defined cases: a text without words has an empty set and is linked with nothing; so is a row without doc_id, which is kept.
 Rows that repeat id and text get equal results; texts that share their smallest id count as linked. Other columns are kept
@@ -16,6 +21,7 @@ by ``deduplicate``. An empty table gives no rows."""
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,15 +34,18 @@ from appconv.llm.links import components
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
-COORDINATES = 48
-MATCHES = 22
-_TAG_BITS = 6
+COORDINATES = 96
+MATCHES = 58
+FAR = 36
+ROUNDS = 3
+_TAG_BITS = 7
 _HELD_SETS = 64
 _HELD_WORDS = 1 << 20
 _PIECE = 4096
 
 SETS = "doc_id long, n_shingles long, high long, low long, tokens array<long>"
 LINKS = "a long, b long"
+FULL = "rep long, n int, shingles array<long>"
 
 _FACTORS = np.random.default_rng(20).integers(1, 1 << 63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 
@@ -106,15 +115,17 @@ def _postings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = staged(known.filter(F.size("tokens") >= MATCHES).select("rep", F.array_sort("tokens").alias("tokens")))
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - (MATCHES - 1))
     postings = known.select("rep", F.explode(prefix).alias("t")).select(F.col("t.token").alias("token"), "rep")
-    return staged(postings), known.select("rep", F.col("tokens.token").alias("tokens"))
+    # For counting matches 32 bits of each token are enough; candidates are confirmed.
+    marks = F.transform("tokens.token", lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    return staged(postings), staged(known.select("rep", marks.alias("marks")))
 
 
-def _matching(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs with enough equal coordinates."""
-    a = known.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a"))
-    b = known.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b"))
+def _counted(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs with the number of their equal coordinates."""
+    a = known.select(F.col("rep").alias("a"), F.col("marks").alias("marks_a"))
+    b = known.select(F.col("rep").alias("b"), F.col("marks").alias("marks_b"))
     both = pairs.join(a, "a").join(b, "b")
-    return both.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES).select("a", "b")
+    return staged(both.select("a", "b", F.size(F.array_intersect("marks_a", "marks_b")).alias("matches")))
 
 
 def _confirmer(shingle_words: int):
@@ -155,6 +166,45 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, shingle_words: int) -> Da
     return staged(both.mapInPandas(_confirmer(shingle_words), LINKS).distinct())
 
 
+def _full_sets(shingle_words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = _WordHashes()
+        for batch in batches:
+            sets = []
+            for words in map(words_of, batch["text"]):
+                hashes = np.fromiter(map(number.__getitem__, words), np.uint64, len(words))
+                sets.append(shingle_hashes(hashes, shingle_words).view(np.int64))
+            yield pd.DataFrame({"rep": batch["doc_id"], "n": np.array([x.size for x in sets], "int32"), "shingles": sets})
+
+    return run
+
+
+def _across(members: DataFrame, parts: DataFrame, documents: DataFrame, shingle_words: int) -> DataFrame:
+    """Pairs of members (rep) in different components that a common rare shingle of their full sets allows to be similar."""
+    ids = staged(members.select(F.col("rep").alias("doc_id")).distinct())
+    texts = documents.select("doc_id", "text").filter("text is not null").join(ids, "doc_id", "left_semi")
+    sets = staged(texts.mapInPandas(_full_sets(shingle_words), FULL))
+    each = sets.select("rep", "n", F.explode("shingles").alias("shingle"))
+    common = staged(each.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1"))
+    ordered = each.join(common, "shingle").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("s"))
+    # Shingles of one member only come first and meet nothing.
+    own = F.col("n") - F.size("s")
+    rarest = F.col("n") - F.ceil(F.col("n") * SIMILAR_PERCENT / 100).cast("int") + 1
+    rows = ordered.withColumn("own", own).withColumn("s", F.slice("s", F.lit(1), F.greatest(F.lit(0), rarest - F.col("own"))))
+    rows = rows.select("rep", "n", "own", F.posexplode("s").alias("k", "s"))
+    part = F.coalesce("component", "rep").alias("part")
+    rows = rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = staged(rows.select("rep", part, "n", (F.col("n") - F.col("own") - F.col("k")).alias("left"), F.col("s.shingle").alias("shingle")))
+    x, y = (rows.select([F.col(c).alias(f"{name}_{c}") for c in rows.columns]) for name in "xy")
+    # What both have in common from this place on can reach the overlap that the similarity takes.
+    enough = (100 + SIMILAR_PERCENT) * F.least("x_left", "y_left") >= SIMILAR_PERCENT * (F.col("x_n") + F.col("y_n"))
+    pairs = x.join(
+        y,
+        (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_rep") < F.col("y_rep")) & (F.col("x_part") != F.col("y_part")) & enough,
+    )
+    return pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
+
+
 def group(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_shingles, component_id, kept: one row for each row."""
     sets = staged(signatures(documents, shingle_words))
@@ -163,25 +213,35 @@ def group(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame
     first = full.join(reps.withColumnRenamed("rep", "doc_id"), ["high", "low", "doc_id"])
     postings, known = _postings(first.select(F.col("doc_id").alias("rep"), "tokens"))
 
-    # Every member of a posting meets the smallest one.
-    leaders = staged(postings.groupBy("token").agg(F.min("rep").alias("a")))
-    near = postings.join(leaders, "token").select("a", F.col("rep").alias("b")).filter("a < b").distinct()
-    links = _confirmed(_matching(near, known), documents, shingle_words)
-    parts = components(links)
-
-    # Members of a posting that lie in different components meet each other.
+    confirm = lambda counted: _confirmed(counted.filter(F.col("matches") >= MATCHES).select("a", "b"), documents, shingle_words)
+    links, met = [], []
+    for _ in range(ROUNDS):
+        leaders = postings.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1")
+        members = staged(postings.join(staged(leaders.drop("n")), "token").filter("rep <> a"))
+        counted = _counted(members.select("a", F.col("rep").alias("b")).distinct(), known)
+        links.append(confirm(counted))
+        similar = links[-1].withColumn("linked", F.lit(True))
+        state = counted.join(similar, ["a", "b"], "left").select(
+            "a", F.col("b").alias("rep"), F.coalesce("linked", F.lit(False)).alias("linked"), (F.col("matches") >= FAR).alias("close")
+        )
+        met.append(staged(members.join(staged(state), ["a", "rep"]).select("token", "rep", "linked", "close")))
+        postings = met[-1].filter("not linked").select("token", "rep")
+        if postings.isEmpty():
+            break
+    all_ = lambda parts: reduce(DataFrame.unionByName, parts)
+    parts = staged(components(all_(links)))
+
+    # Only postings whose members lie in different components are still open.
     part = F.coalesce("component", "rep").alias("part")
-    placed = postings.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", part)
-    placed = staged(placed)
-    mixed = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("token")
-    open_ = staged(placed.join(staged(mixed), "token", "left_semi"))
-    one, other = (open_.selectExpr("token", f"rep as {r}", f"part as part_{r}") for r in "ab")
-    across = one.join(other, "token").filter("a < b and part_a <> part_b").select("a", "b").distinct()
-    met = staged(near)
-    across = staged(across.join(met, ["a", "b"], "left_anti"))
-    more = _confirmed(_matching(across, known), documents, shingle_words)
+    rest = [*(m.filter("close or linked").select("token", "rep") for m in met), postings]
+    open_ = []
+    for rows in rest:
+        placed = staged(rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", part))
+        mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("token")
+        open_.append(placed.join(staged(mixed), "token", "left_semi").select("rep"))
+    more = _confirmed(_across(all_(open_), parts, documents, shingle_words), documents, shingle_words)
     if not more.isEmpty():
-        parts = components(links.unionByName(more))
+        parts = components(all_([*links, more]))
 
     of_class = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "high", "low", F.coalesce("component", "rep").alias("component")
