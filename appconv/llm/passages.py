@@ -199,6 +199,8 @@ class _Reference:
         self.ids = np.array([x for p in parts for x in p], np.int64)
         self.doc = np.repeat(docs, self.lengths + 1)
         self.order = suffix_array(self.ids, np.flatnonzero(self.ids), depth)
+        # Where the suffixes of each first word begin.
+        self.begin = np.searchsorted(self.ids[self.order], np.arange(len(number) + 2))
         self.least = [self.doc[self.order]]
         step = 1
         while 2 * step <= self.order.size:
@@ -217,9 +219,11 @@ class _Reference:
     def longest(self, places: np.ndarray, limit: int) -> np.ndarray:
         """Words from each place on that a smaller document holds together, up to ``limit``."""
         length = np.zeros(places.size, np.int64)
-        low, high = np.zeros(places.size, np.int64), np.full(places.size, self.order.size, np.int64)
-        active = np.arange(places.size)
-        depth = 0
+        word = self.ids[places]
+        low, high = self.begin[word], self.begin[word + 1]
+        active = np.flatnonzero(self.smallest(low, high) < self.doc[places])
+        depth = 1
+        length[active] = depth
         while active.size and depth < limit:
             words = self.ids[places[active] + depth]
             active, words = active[words > 0], words[words > 0]
@@ -263,11 +267,16 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray, window: int) -> tuple
 
 def _parser(window: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
+        # A segment that a smaller document of the block has as a whole needs no parsing, and the block only one of them.
+        later = (block["doc_id"] > block.groupby("words")["doc_id"].transform("min")).to_numpy()
+        whole, block = block[later], block[~later]
+        lengths = np.array([w.count(b" ") + 1 for w in whole["words"]], np.int64)
         which, at = repeated_windows(block["words"].tolist(), block["doc_id"].to_numpy(np.int64), window)
-        rows = block[["doc_id", "text_hash", "at"]].iloc[which]
-        start = rows["at"].to_numpy() + at
+        rows = pd.concat([whole, block.iloc[which]])
+        start = rows["at"].to_numpy(np.int64) + np.concatenate([np.zeros(len(whole), np.int64), at])
+        end = start + np.concatenate([lengths, np.full(which.size, window)])
         return pd.DataFrame(
-            {"doc_id": rows["doc_id"].array, "text_hash": rows["text_hash"].array, "start": start.astype("int32"), "end": (start + window).astype("int32")}
+            {"doc_id": rows["doc_id"].array, "text_hash": rows["text_hash"].array, "start": start.astype("int32"), "end": end.astype("int32")}
         )
 
     return run
