@@ -2,6 +2,7 @@
 written out) and not the way the Spark jobs compute them."""
 
 from appconv.catalogue import windows as W
+from appconv.names import BINNING
 
 _COHORT = "country_id, device_os_id, device_type_id"
 _REQUEST = (
@@ -143,7 +144,7 @@ _TABLES = {
                cast(sum(downloads) as double) / cast(sum(user_count) as double) as CVU
         from test group by all""",
     "cells": f"""
-        select {_FEATURES}, b.CVU as bining_prediction, t.user_count, t.CVU
+        select {_FEATURES}, b.CVU as {BINNING}, t.user_count, t.CVU
         from train_bins b join test_bins t using ({_FEATURES})""",
     "categories": " union all ".join(
         f"select {n} as pos, '{c}' as feature, {c} as label, count(*) as n from model_rows group by {c}"
@@ -303,9 +304,9 @@ _STATEMENTS = {
     "binning_rates": ("select * from train_bins", "train_bins"),
     "binning_cells": ("select * from cells", "cells"),
     "binning_rmse": (
-        """select round(sum(user_count * (CVU - bining_prediction) * (CVU - bining_prediction)), 6) as weighted_error,
+        f"""select round(sum(user_count * (CVU - {BINNING}) * (CVU - {BINNING})), 6) as weighted_error,
                   cast(sum(user_count) as bigint) as weight,
-                  round(sqrt(sum(user_count * (CVU - bining_prediction) * (CVU - bining_prediction))
+                  round(sqrt(sum(user_count * (CVU - {BINNING}) * (CVU - {BINNING}))
                              / sum(user_count)), 6) as rmse
            from cells""",
         "cells",
@@ -344,6 +345,14 @@ _STATEMENTS["lr_calibration_all"] = (
     "train",
 )
 
+_COARSE = ", ".join(W.COARSE)
+_RATES = f"select {_COARSE}, sum(user_count)::bigint as user_count, sum(downloads)::double / sum(user_count)::double as CVU"
+_STATEMENTS["binning_cells_coarse"] = (
+    f"select {_COARSE}, a.CVU as {BINNING}, b.user_count, b.CVU from ({_RATES} from train group by all) a "
+    f"join ({_RATES} from test group by all) b using ({_COARSE})",
+    "test",
+)
+
 _UNNAMED = f"""
     select u.*, app_id, coalesce(downloads, 0) as downloads, coalesce(downloads * 1.0::double / user_count, 0) as CVU
     from (select {_SEGMENT}, count(*) as user_count

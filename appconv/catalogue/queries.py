@@ -25,7 +25,7 @@ from appconv.names import (
     VECTOR,
 )
 from appconv.operators import bags, encode, events, lift, rates
-from appconv.plans.jobs import train_and_compare
+from appconv.plans.jobs import Members, Window, stage_members, stage_window, train_and_compare
 from appconv.functions import day_list
 from appconv.sources.logs import read_quoted_log
 from appconv.sources.tables import ORC_ORDINALS, event_days, read_app_map, read_orc_events, read_request_csv, read_request_log, read_requests
@@ -72,28 +72,44 @@ class Inputs:
         return bags.app_bags(self.owned())
 
     @cached_property
-    def staged_owned(self) -> DataFrame:
-        return cut_lineage(self.owned())
+    def _folder(self) -> str:
+        return run_folder(self.tables.spark)
 
     @cached_property
-    def staged_own(self) -> DataFrame:
-        return cut_lineage(self.own())
+    def _members(self) -> Members:
+        lines = [self.tables.event_lines((kind,), end=W.TARGET_END) for kind in (DOWNLOAD, CUSTOM, PURCHASE)]
+        windows = ((W.FIRST_DAY, W.OWNED_END), (W.TARGET_START, W.TARGET_END))
+        return stage_members(*lines, self.app_map(), self.requests(), *windows, self._folder)
 
     @cached_property
+    def _window(self) -> Window:
+        days = (W.TRAIN_START, W.TEST_DAY)
+        lines = self.tables.event_lines((DOWNLOAD,), *days)
+        return stage_window(self.window_requests(), lines, self.app_map(), days, self._folder, W.MIN_ROWS)
+
+    @property
+    def staged_owned(self) -> DataFrame:
+        return self._members.owned
+
+    @property
+    def staged_own(self) -> DataFrame:
+        return self._members.own
+
+    @property
     def staged_tgt(self) -> DataFrame:
-        return cut_lineage(self.tgt())
+        return self._members.tgt
 
-    @cached_property
+    @property
     def staged_requests(self) -> DataFrame:
-        return cut_lineage(self.window_requests())
+        return self._window.requests
 
-    @cached_property
+    @property
     def staged_downloads(self) -> DataFrame:
-        return cut_lineage(self.downloads())
+        return self._window.downloads
 
-    @cached_property
+    @property
     def staged_popular(self) -> DataFrame:
-        return cut_lineage(encode.popular_targets(self.staged_downloads, W.MIN_ROWS))
+        return self._window.popular
 
     @cached_property
     def staged_feed(self) -> DataFrame:
@@ -456,6 +472,11 @@ def binning_cells(i: Inputs) -> DataFrame:
     return evaluate.binning_cells(*i.split())
 
 
+def binning_cells_coarse(i: Inputs) -> DataFrame:
+    """Cells of three categories, of which most are common to training and test."""
+    return evaluate.binning_cells(*i.split(), columns=W.COARSE)
+
+
 def binning_rmse(i: Inputs) -> DataFrame:
     cells = evaluate.binning_cells(*i.split())
     error = evaluate.weighted_rmse(cells, "CVU", BINNING, "user_count")
@@ -572,6 +593,7 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         feature_slots,
         binning_rates,
         binning_cells,
+        binning_cells_coarse,
         binning_rmse,
         lr_scores,
         lr_scores_fit_on_all,

@@ -78,17 +78,21 @@ def _pair_universe(owned: DataFrame, wanted: DataFrame, slice_pairs: int = SLICE
     """All ordered pairs of eligible apps of a cohort. The result is the feed's own grain, so its size is given.
 
     A handful of cohorts would mean a handful of tasks. The owned apps of a cohort are therefore dealt into slices that
-    are part of the join key, as many as the cohort's pairs fill, and its target apps are copied to each slice. ``owned``
-    and ``wanted`` should be staged, as they are counted first."""
-    sizes = owned.groupBy(*COHORT).agg(F.count("*").alias("o")).join(wanted.groupBy(*COHORT).agg(F.count("*").alias("w")), COHORT)
-    slices = F.ceil(F.col("o") * F.col("w") / slice_pairs).cast("int")
+    are part of the join key, as many as the cohort's pairs fill, and its target apps are copied to each slice. Where
+    there are few pairs, slices are smaller, so that every task gets some. ``owned`` and ``wanted`` should be staged, as
+    they are counted first."""
+    o = owned.groupBy(*COHORT).agg(F.count("*").alias("o"))
+    sizes = cut_lineage(o.join(wanted.groupBy(*COHORT).agg(F.count("*").alias("w")), COHORT))
+    total = sizes.agg(F.sum(F.col("o") * F.col("w"))).first()[0] or 0
+    each = max(1, min(slice_pairs, total // (TASK_SLICES * _partitions(owned))))
+    tasks = max(_partitions(owned), -(-total // (TASK_SLICES * each)))
     # No more slices than owned apps: a finer deal would leave slices empty.
-    sizes = cut_lineage(sizes.select(*COHORT, F.least(slices, F.col("o").cast("int")).alias("slices")))
-    tasks = -(-(sizes.agg(F.sum("slices")).first()[0] or 1) // TASK_SLICES)
+    slices = F.least(F.ceil(F.col("o") * F.col("w") / each), F.col("o")).cast("int")
+    sizes = sizes.select(*COHORT, slices.alias("slices"))
     dealt = owned.join(sizes, COHORT).withColumn("slice", F.pmod(F.xxhash64(OWNED), F.col("slices")).cast("int")).drop("slices")
     every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     copied = wanted.join(sizes, COHORT).withColumn("slice", every).drop("slices")
-    layout = [max(tasks, _partitions(owned)), *COHORT, "slice"]
+    layout = [tasks, *COHORT, "slice"]
     pairs = dealt.repartition(*layout).join(copied.repartition(*layout), [*COHORT, "slice"])
     return pairs.filter(F.col(OWNED) != F.col(TARGET)).drop("slice")
 

@@ -23,11 +23,12 @@ def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Data
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``rows`` with a ``table`` that is unique on ``keys``. Rows of a hot key are dealt over its parts, and the one
     record of the key is copied to each part; other keys have one part."""
-    hot = F.broadcast(hot_keys(rows, keys, hot_rows))
+    hot = hot_keys(rows, keys, hot_rows)
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    dealt = F.xxhash64(*rows.columns)
+    # The task is dealt by too, as equal rows would all go to one part.
+    dealt = F.xxhash64(*rows.columns, F.spark_partition_id())
     part = (
         F.when(no_key, F.pmod(dealt, F.lit(_NULL_PARTS)))
         .when(F.col("parts").isNotNull(), F.pmod(dealt, F.col("parts")))

@@ -10,18 +10,68 @@ from appconv.learning.features import fill_missing, fit_features, temporal_split
 from appconv.learning.training import MAX_ITER, fit_logistic, score
 from appconv.names import DATE, FEATURES
 from appconv.operators.encode import MIN_ROWS, popular_targets
-from appconv.operators.events import cohort_apps, mapped_downloads, owned_apps, union_events
+from appconv.operators.events import cohort_apps, cohort_members, mapped_downloads, owned_apps, union_events
 from appconv.operators.lift import MIN_USERS, feed_slots, lift_feed
 from appconv.operators.rates import cvu_encoded, cvu_encoded_appfree
 from appconv.sources.staging import stage
 
 
+@dataclass
+class Members:
+    """Distinct (user, app) and (cohort, user, app) of owned apps, (cohort, user, app) of recent conversions."""
+
+    owned: DataFrame
+    own: DataFrame
+    tgt: DataFrame
+
+
+@dataclass
+class Window:
+    requests: DataFrame
+    downloads: DataFrame
+    popular: DataFrame
+
+
 @dataclass
 class Feed:
     owned: DataFrame
     feed: DataFrame
 
 
+def stage_members(
+    download: DataFrame,
+    custom: DataFrame,
+    purchase: DataFrame,
+    app_map: DataFrame,
+    requests: DataFrame,
+    event_window: tuple[str, str],
+    target_window: tuple[str, str],
+    folder: str,
+    mode: str = "errorifexists",
+) -> Members:
+    events = union_events(download, custom, purchase, window=event_window)
+    owned = stage(owned_apps(events, app_map), f"{folder}/owned", mode)
+    lately = owned_apps(in_window(download, DATE, *target_window), app_map)
+    # Both sides meet the same cohort members, which are the requests without their repeats.
+    members = stage(cohort_members(requests), f"{folder}/members", mode)
+    own = stage(cohort_apps(owned, members), f"{folder}/ownership", mode)
+    return Members(owned, own, stage(cohort_apps(lately, members), f"{folder}/target", mode))
+
+
+def stage_window(
+    requests: DataFrame,
+    download: DataFrame,
+    app_map: DataFrame,
+    window: tuple[str, str],
+    folder: str,
+    min_rows: int = MIN_ROWS,
+    mode: str = "errorifexists",
+) -> Window:
+    requests = stage(in_window(requests, DATE, *window).distinct(), f"{folder}/requests", mode)
+    downloads = stage(mapped_downloads(download, app_map, window), f"{folder}/downloads", mode)
+    return Window(requests, downloads, stage(popular_targets(downloads, min_rows), f"{folder}/popular", mode))
+
+
 def build_feed(
     download: DataFrame,
     custom: DataFrame,
@@ -35,12 +85,8 @@ def build_feed(
     mode: str = "errorifexists",
 ) -> Feed:
     """Event logs, store-id mapping and requests to the staged owned apps and lift feed."""
-    events = union_events(download, custom, purchase, window=event_window)
-    owned = stage(owned_apps(events, app_map), f"{folder}/owned", mode)
-    lately = owned_apps(in_window(download, DATE, *target_window), app_map)
-    own = stage(cohort_apps(owned, requests), f"{folder}/ownership", mode)
-    tgt = stage(cohort_apps(lately, requests), f"{folder}/target", mode)
-    return Feed(owned, stage(lift_feed(own, tgt, min_users, distinct=True), f"{folder}/feed", mode))
+    apps = stage_members(download, custom, purchase, app_map, requests, event_window, target_window, folder, mode)
+    return Feed(apps.owned, stage(lift_feed(apps.own, apps.tgt, min_users, distinct=True), f"{folder}/feed", mode))
 
 
 def build_cvu(
@@ -55,11 +101,9 @@ def build_cvu(
     mode: str = "errorifexists",
 ) -> DataFrame:
     """CVU by segment, target app and lift vector over a window of requests and downloads."""
-    requests = stage(in_window(requests, DATE, *window).distinct(), f"{folder}/requests", mode)
-    downloads = stage(mapped_downloads(download, app_map, window), f"{folder}/downloads", mode)
-    wanted = stage(popular_targets(downloads, min_rows), f"{folder}/popular", mode)
+    read = stage_window(requests, download, app_map, window, folder, min_rows, mode)
     table = cvu_encoded_appfree if app_free else cvu_encoded
-    cvu = table(requests, feed.owned, downloads, wanted, feed_slots(feed.feed))
+    cvu = table(read.requests, feed.owned, read.downloads, read.popular, feed_slots(feed.feed))
     return stage(cvu, f"{folder}/cvu", mode)
 
 
