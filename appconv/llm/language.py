@@ -183,9 +183,17 @@ def _sample_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Network:
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     labelled = documents.filter(F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    first = labelled.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_documents)
+    # Few rows by language, whatever the size of the corpus: only hashes small enough for twice the sample go on to be ordered.
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("documents")).collect()
+    if not sizes:
+        return Network([], {})
+    reach = {r["lang"]: 2 * sample_documents / r["documents"] if r["documents"] > 10 * sample_documents else 1.0 for r in sizes}
+    limits = F.create_map(*[F.lit(x) for lang, share in reach.items() for x in (lang, share * float(1 << 63))])
+    near = labelled.withColumn("hash", place).filter(F.col("hash") <= limits[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id", F.xxhash64("text"))
+    first = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_documents)
     sample = first.mapInPandas(_sample_pieces, "lang string, place int, bytes binary").collect()
     sample = sorted((r.lang, r.place, bytes(r.bytes)) for r in sample)
     languages = sorted({lang for lang, _, _ in sample})
