@@ -33,7 +33,7 @@ ANCHOR_WORDS = 5
 BUCKET_BYTES = 32 << 20
 BLOCK_SEGMENTS = 20_000
 HOT_SEGMENTS = 5_000
-_HELD_WORDS = 1 << 20
+_HELD_WORDS = 1 << 18
 
 PACKS = "bucket int, anchors binary, docs binary, places binary, passed_docs binary, passed_places binary"
 SHARED = "doc_id long, place int"
