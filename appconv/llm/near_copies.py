@@ -13,7 +13,9 @@ confirmed to be similar to the leader leave the posting together with it: what i
 keeps the triangle inequality. The rest gets a new leader. After ``ROUNDS`` components are formed; then members that were
 neither similar to a leader nor far from it, those that were, and those left in a posting are compared exactly where their
 posting still spans components: by the rarest shingles of their full sets (of two sets with similarity 0.8 each has a common
-one among the rarest fifth), at a place from where enough of both sets is left, and only across components.
+one among the rarest fifth), at a place from where enough of both sets is left, and only across components. Each set has
+``PARITIES`` bits, a bit being the parity of the shingles hashed to it. Two sets differ in at least as many shingles as bits, so
+pairs with too many different bits are no candidates; this loses none, and is sharp for sets of up to about ``PARITIES``.
 
 Defined cases: a text without words has an empty set and is linked with nothing; so is a row without doc_id, which is kept.
 Rows that repeat id and text get equal results; texts that share their smallest id count as linked. Other columns are kept
@@ -26,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from appconv.llm.common import LOWER_BYTES, staged, table
@@ -38,6 +40,7 @@ COORDINATES = 96
 MATCHES = 58
 FAR = 36
 ROUNDS = 3
+PARITIES = 512
 _TAG_BITS = 7
 _HELD_SETS = 64
 _HELD_WORDS = 1 << 20
@@ -45,7 +48,7 @@ _PIECE = 4096
 
 SETS = "doc_id long, n_shingles long, high long, low long, tokens array<long>"
 LINKS = "a long, b long"
-FULL = "rep long, n int, shingles array<long>"
+FULL = "rep long, n int, parities array<long>, shingles array<long>"
 
 _FACTORS = np.random.default_rng(20).integers(1, 1 << 63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 
@@ -166,15 +169,25 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, shingle_words: int) -> Da
     return staged(both.mapInPandas(_confirmer(shingle_words), LINKS).distinct())
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """``PARITIES`` bits as longs: whether an odd number of shingles is hashed to each."""
+    places = (shingles >> np.uint64(32)) % np.uint64(PARITIES)
+    odd = np.bincount(places.astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _full_sets(shingle_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = _WordHashes()
         for batch in batches:
-            sets = []
+            sets, odd = [], []
             for words in map(words_of, batch["text"]):
                 hashes = np.fromiter(map(number.__getitem__, words), np.uint64, len(words))
-                sets.append(shingle_hashes(hashes, shingle_words).view(np.int64))
-            yield pd.DataFrame({"rep": batch["doc_id"], "n": np.array([x.size for x in sets], "int32"), "shingles": sets})
+                shingles = shingle_hashes(hashes, shingle_words)
+                odd.append(parities(shingles))
+                sets.append(shingles.view(np.int64))
+            sizes = np.array([x.size for x in sets], "int32")
+            yield pd.DataFrame({"rep": batch["doc_id"], "n": sizes, "parities": odd, "shingles": sets})
 
     return run
 
@@ -190,18 +203,21 @@ def _across(members: DataFrame, parts: DataFrame, documents: DataFrame, shingle_
     # Shingles of one member only come first and meet nothing.
     own = F.col("n") - F.size("s")
     rarest = F.col("n") - F.ceil(F.col("n") * SIMILAR_PERCENT / 100).cast("int") + 1
+    ordered = ordered.join(sets.select("rep", "n", "parities").distinct(), ["rep", "n"])
     rows = ordered.withColumn("own", own).withColumn("s", F.slice("s", F.lit(1), F.greatest(F.lit(0), rarest - F.col("own"))))
-    rows = rows.select("rep", "n", "own", F.posexplode("s").alias("k", "s"))
+    rows = rows.select("rep", "n", "parities", "own", F.posexplode("s").alias("k", "s"))
     part = F.coalesce("component", "rep").alias("part")
     rows = rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = staged(rows.select("rep", part, "n", (F.col("n") - F.col("own") - F.col("k")).alias("left"), F.col("s.shingle").alias("shingle")))
+    left = (F.col("n") - F.col("own") - F.col("k")).alias("left")
+    rows = staged(rows.select("rep", part, "n", "parities", left, F.col("s.shingle").alias("shingle")))
     x, y = (rows.select([F.col(c).alias(f"{name}_{c}") for c in rows.columns]) for name in "xy")
     # What both have in common from this place on can reach the overlap that the similarity takes.
     enough = (100 + SIMILAR_PERCENT) * F.least("x_left", "y_left") >= SIMILAR_PERCENT * (F.col("x_n") + F.col("y_n"))
-    pairs = x.join(
-        y,
-        (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_rep") < F.col("y_rep")) & (F.col("x_part") != F.col("y_part")) & enough,
-    )
+    # Similar sets differ in few shingles, and so in few parities.
+    bits = [F.bit_count(F.col("x_parities")[k].bitwiseXOR(F.col("y_parities")[k])) for k in range(PARITIES // 64)]
+    few = (100 + SIMILAR_PERCENT) * reduce(Column.__add__, bits) <= (100 - SIMILAR_PERCENT) * (F.col("x_n") + F.col("y_n"))
+    apart = (F.col("x_rep") < F.col("y_rep")) & (F.col("x_part") != F.col("y_part"))
+    pairs = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & apart & enough & few)
     return pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
 
 
