@@ -140,6 +140,36 @@ def test_near_copies_in_chains(spark):
     assert got == brute.near(rows, 2)
 
 
+def test_parities_differ_in_no_more_places_than_sets():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    for size in (0, 1, 30, 400, 3000):
+        common = draw.integers(0, 1 << 63, size, dtype=np.uint64)
+        for own in (0, 1, 40):
+            x, y = (np.unique(np.concatenate([common, draw.integers(0, 1 << 63, own, dtype=np.uint64)])) for _ in "xy")
+            bits = np.bitwise_count((near_copies.parities(x) ^ near_copies.parities(y)).view(np.uint64)).sum()
+            assert bits <= np.setxor1d(x, y).size
+            assert len(near_copies.parities(x)) == near_copies.PARITIES // 64
+
+
+def test_near_copies_around_the_threshold(spark):
+    """Copies with several words changed, most pairs a little below or above the similarity; short and long texts, ids repeated."""
+    draw = random.Random(6)
+    rows = []
+    for base, words, copies, most in ((0, 120, 90, 6), (1000, 2500, 25, 60), (2000, 9, 12, 1)):
+        own = prose(base + 1, words).split()
+        for k in range(copies):
+            text = list(own)
+            for _ in range(draw.randint(0, most)):
+                text[draw.randrange(len(text))] = draw.choice(("some", "other", f"new{draw.randrange(9)}"))
+            rows.append((base + k, " ".join(text)))
+    docs = spark.createDataFrame([*rows[::-1], *rows[:20]], "doc_id long, text string").repartition(4)
+    got = near_copies.group(docs, 5).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute.near(rows, 5)
+    assert len(got) == len(rows) + 20
+
+
 def test_components(spark):
     draw = random.Random(5)
     path = list(range(200))
