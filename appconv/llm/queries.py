@@ -4,9 +4,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from appconv.llm import contamination, html_text, language, lines, mixing, near_copies, passages, quality, url_rules, warc
-
-_MODULES = [warc, url_rules, contamination, quality, lines, language, mixing, passages, html_text, near_copies]
+from appconv.llm import (
+    contamination,
+    conversations,
+    html_text,
+    language,
+    lines,
+    merkle,
+    mixing,
+    near_copies,
+    passages,
+    quality,
+    sharding,
+    url_rules,
+    warc,
+)
+
+_MODULES = [
+    warc,
+    url_rules,
+    contamination,
+    quality,
+    lines,
+    language,
+    mixing,
+    passages,
+    html_text,
+    near_copies,
+    sharding,
+    merkle,
+    conversations,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
