@@ -21,7 +21,6 @@ import heapq
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from appconv.llm.common import lower_ascii, staged, table
 from appconv.llm.order import numbered_in_groups, sorted_rows
@@ -35,7 +34,7 @@ TAMPER_EVERY = 5
 
 NODES = "tree long, number long, total long, digest string"
 SUFFIXES = "tree long, number long, suffix string, subroot string"
-PROOFS = "doc_id string, number long, total long, tree long, leaf string, claimed string, subroot string, proof string"
+PROOFS = "doc_id string, number long, total long, tree long, leaf string, claimed string, subroot string, folded_root string"
 
 
 def digest_of(parts: list[str]) -> str:
@@ -162,10 +161,21 @@ def _backward_block(is_top: bool):
     return run
 
 
-def _leaf_block(block: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-    block, proofs = _proofs(block, above["suffix"].iloc[0])
-    block = block.rename(columns={"digest": "leaf"}).assign(subroot=above["subroot"].iloc[0], proof=proofs)
-    return block[[c.split()[0] for c in PROOFS.split(", ")]]
+def _leaf_block(trees: int, proof: str):
+    """Each leaf's proof (or its digest only, so that no more than a block's proofs are in memory) and the root to which the
+    claimed leaf and the proof lead."""
+
+    def run(block: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        block, proofs = _proofs(block, above["suffix"].iloc[0])
+        rows = zip(block["claimed"], proofs, block["number"], block["total"], block["tree"], strict=True)
+        block = block.rename(columns={"digest": "leaf"}).assign(
+            subroot=above["subroot"].iloc[0],
+            folded_root=[fold(c, p, [(n, t), (k, trees)]) for c, p, n, t, k in rows],
+            **{proof: [digest_of([p]) for p in proofs] if proof == "proof_sha256" else proofs},
+        )
+        return block[[*(c.split()[0] for c in PROOFS.split(", ")), proof]]
+
+    return run
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
@@ -192,10 +202,10 @@ def _down(rounds: list[DataFrame], suffixes: DataFrame, is_top: bool = False) ->
     return suffixes
 
 
-def manifest(documents: DataFrame, found: Column | None = None) -> DataFrame:
+def manifest(documents: DataFrame, found: Column | None = None, proof: str = "proof") -> DataFrame:
     """documents (doc_id, source, lang, n_chars, text) -> doc_id, leaf, number and total in its source's tree, tree and trees
-    (the same in the top tree), subroot, root, proof (siblings' digests from the leaf to the root) and claimed, the leaf
-    if ``found`` were the text."""
+    (the same in the top tree), subroot, root, proof (siblings' digests from the leaf to the root; with ``proof_sha256`` only
+    its digest), claimed, the leaf if ``found`` were the text, and the root that claimed and proof lead to."""
     kind = documents.schema["doc_id"].dataType
     columns = ["doc_id", "source", leaf_digest(F.col("text")).alias("digest")]
     claimed = leaf_digest(F.col("text") if found is None else found).alias("claimed")
@@ -212,30 +222,16 @@ def manifest(documents: DataFrame, found: Column | None = None) -> DataFrame:
     # A source is a leaf of the top tree and the single node of its own.
     suffixes = above.select(F.col("number").alias("tree"), F.lit(0).cast("long").alias("number"), "suffix", "subroot")
     blocks = _blocks(rounds[0]).groupBy("tree", "block").cogroup(_down(rounds[1:-1], suffixes).groupBy("tree", "number"))
-    proofs = blocks.applyInPandas(_leaf_block, PROOFS).withColumn("doc_id", F.col("doc_id").cast(kind))
+    proofs = blocks.applyInPandas(_leaf_block(trees, proof), f"{PROOFS}, {proof} string").withColumn("doc_id", F.col("doc_id").cast(kind))
     return proofs.withColumns({"trees": F.lit(trees).cast("long"), "root": F.lit(root.digest if root else None).cast("string")})
 
 
-@F.pandas_udf(StringType())
-def folded(claimed: pd.Series, proof: pd.Series, number: pd.Series, total: pd.Series, tree: pd.Series, trees: pd.Series) -> pd.Series:
-    """The root recomputed from a claimed leaf and a proof."""
-    rows = zip(claimed, proof, number, total, tree, trees, strict=True)
-    return pd.Series([fold(c, p, [(n, t), (k, m)]) for c, p, n, t, k, m in rows], dtype=object)
-
-
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     tampered = F.when(number % TAMPER_EVERY == 0, lower_ascii(F.col("text"))).otherwise(F.col("text"))
-    proofs = manifest(table(spark, sf_dir, "documents"), tampered)
-    result = proofs.select(
-        "doc_id",
-        "leaf",
-        "subroot",
-        "root",
-        F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
-        folded("claimed", "proof", "number", "total", "tree", "trees").alias("folded_root"),
-    )
-    return result.withColumn("verified", F.col("folded_root") == F.col("root"))
+    proofs = manifest(table(spark, sf_dir, "documents"), tampered, "proof_sha256")
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
 
 
 def _leaf_sql(text: str) -> str:
