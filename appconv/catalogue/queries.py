@@ -451,17 +451,11 @@ def string_index(i: Inputs) -> DataFrame:
 
 
 def feature_slots(i: Inputs) -> DataFrame:
-    """Positions of the ones in the assembled feature vector of every row, from the indexes and the widths of the
-    categories' parts: the last category of each has no position."""
+    """Width of the assembled feature vector and the positions of its ones, read off the vectors of every distinct row."""
     rows = i.model_rows
-    indexer = features.string_indexer(unseen="error").fit(rows)
-    indexed = indexer.transform(rows.select(*FEATURES).distinct())
-    width, ones = 0, []
-    for name, labels in zip(features.index_names(), indexer.labelsArray, strict=True):
-        ones.append(F.when(F.col(name) < len(labels) - 1, (F.col(name) + width).cast("int")))
-        width += len(labels) - 1
-    places = F.array_compact(F.array(*ones)).cast("array<string>")
-    return indexed.select(*FEATURES, F.lit(width).alias("width"), F.array_join(places, ",").alias("ones"))
+    vectors = features.fit_features(rows, rows, fit_on="all").transform(rows.select(*FEATURES).distinct())
+    ones = F.array_join(features.vector_ones(F.col("features")).cast("array<string>"), ",")
+    return vectors.select(*FEATURES, features.vector_width(F.col("features")).alias("width"), ones.alias("ones"))
 
 
 def binning_rates(i: Inputs) -> DataFrame:
@@ -523,6 +517,33 @@ def _errors(df: DataFrame) -> DataFrame:
     return df.withColumn("weighted_error", F.round("weighted_error", 2)).withColumn("rmse", F.round("rmse", 3))
 
 
+# Places after the point to which the optimiser and an exact solver agree.
+_PLACES = 4
+
+
+def _trained_on_all(i: Inputs):
+    return _trained(i, known_only=True)
+
+
+def lr_scores_all(i: Inputs) -> DataFrame:
+    """The model over all five categories; rows with a category that training has not seen have no score."""
+    scores = _trained_on_all(i).test_scores
+    return scores.withColumn("logistic_prediction", F.round("logistic_prediction", _PLACES))
+
+
+def lr_train_rmse_all(i: Inputs) -> DataFrame:
+    return _rounded_errors(_trained_on_all(i).train_rmse)
+
+
+def compare_models_all(i: Inputs) -> DataFrame:
+    """Both models over all five categories, on the test cells that training has seen."""
+    return _rounded_errors(_trained_on_all(i).comparison)
+
+
+def _rounded_errors(df: DataFrame) -> DataFrame:
+    return df.withColumn("weighted_error", F.round("weighted_error", 3)).withColumn("rmse", F.round("rmse", 5))
+
+
 def lr_train_rmse(i: Inputs) -> DataFrame:
     return _errors(_trained(i, columns=_ONE).train_rmse)
 
@@ -601,6 +622,9 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         lr_calibration_all,
         lr_train_rmse,
         compare_models,
+        lr_scores_all,
+        lr_train_rmse_all,
+        compare_models_all,
     )
 }
 

@@ -1,8 +1,10 @@
 """From CVU tables to weighted training instances and feature vectors."""
 
-from pyspark.ml import Pipeline
+from functools import reduce
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from appconv.functions import empty_to_na, in_window
@@ -66,3 +68,24 @@ def fit_features(train: DataFrame, everything: DataFrame, fit_on: str = "train",
     if fit_on == "all":
         return feature_pipeline(columns, unseen="error").fit(everything)
     raise ValueError(f"fit_on must be 'train' or 'all', not {fit_on!r}")
+
+
+def known_categories(fitted: PipelineModel) -> Column:
+    """Of rows with indexes: whether all their categories were there when the indexes were fitted."""
+    indexer = fitted.stages[0]
+    pairs = zip(indexer.getOutputCols(), indexer.labelsArray, strict=True)
+    return reduce(Column.__and__, [F.col(index) < len(labels) for index, labels in pairs])
+
+
+def vector_width(vector: Column) -> Column:
+    parts = F.unwrap_udt(vector)
+    return F.coalesce(parts["size"], F.size(parts["values"]))
+
+
+def vector_ones(vector: Column) -> Column:
+    """Places of a vector that are not zero, as an array. A sparse vector's own list of places is read; only what the assembler
+    left dense is looked through."""
+    parts = F.unwrap_udt(vector)
+    places = F.coalesce(parts["indices"], F.sequence(F.lit(0), F.size(parts["values"]) - 1))
+    pairs = F.filter(F.arrays_zip(places.alias("place"), parts["values"].alias("value")), lambda p: p["value"] != 0)
+    return F.transform(pairs, lambda p: p["place"])

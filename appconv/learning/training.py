@@ -6,14 +6,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from appconv.learning.features import expand_instances
+from appconv.learning.features import expand_instances, known_categories
 from appconv.names import FEATURES
 
 # Fixed value: iteration limit of the optimiser.
 MAX_ITER = 2000
 
-# The optimiser stops when its steps change the likelihood by less than this share.
-TOLERANCE = 1e-9
+# The optimiser stops when its steps change the likelihood by less than this share. Below that its line search ends, with
+# probabilities within 1e-6 of the maximum of the likelihood.
+TOLERANCE = 1e-12
 
 
 def training_cells(rows: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
@@ -30,7 +31,13 @@ def fit_logistic(
     return LogisticRegression(weightCol="weight", maxIter=max_iter, tol=TOLERANCE).fit(cells)
 
 
-def score(rows: DataFrame, features: PipelineModel, model: LogisticRegressionModel) -> DataFrame:
-    """Add P(label = 1) as ``logistic_prediction``."""
+def score(rows: DataFrame, features: PipelineModel, model: LogisticRegressionModel, known_only: bool = False) -> DataFrame:
+    """Add P(label = 1) as ``logistic_prediction``.
+
+    A category that the indexes keep as unknown has no weight, and what the model says about it depends on how the optimiser
+    shared the intercept; with ``known_only`` such rows get NULL."""
     scored = model.transform(features.transform(rows))
-    return scored.select(*rows.columns, vector_to_array("probability")[1].alias("logistic_prediction"))
+    prediction = vector_to_array("probability")[1]
+    if known_only:
+        prediction = F.when(known_categories(features), prediction)
+    return scored.select(*rows.columns, prediction.alias("logistic_prediction"))

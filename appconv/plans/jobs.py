@@ -124,14 +124,16 @@ def train_and_compare(
     fit_on: str = "train",
     max_iter: int = MAX_ITER,
     columns: list[str] = FEATURES,
+    known_only: bool = False,
 ) -> Trained:
     """Weighted logistic regression against the binning baseline. ``rows`` should be a staged CVU table: the index fit,
-    every pass of the optimiser's input and the evaluation read it."""
+    every pass of the optimiser's input and the evaluation read it. With ``known_only`` rows with a category that training has
+    not seen get no score."""
     rows = fill_missing(rows)
     train, test = temporal_split(rows, train_window, test_day)
     features = fit_features(train, rows, fit_on, columns)
     model = fit_logistic(train, features, max_iter, columns)
-    train_scores, test_scores = score(train, features, model), score(test, features, model)
+    train_scores, test_scores = (score(part, features, model, known_only) for part in (train, test))
     return Trained(
         features,
         model,

@@ -1,11 +1,20 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
 from appconv.learning.evaluate import binning_cells, compare_models, weighted_rmse
-from appconv.learning.features import clamped_rows, expand_instances, feature_pipeline, fill_missing, temporal_split
+from appconv.learning.features import (
+    clamped_rows,
+    expand_instances,
+    feature_pipeline,
+    fill_missing,
+    temporal_split,
+    vector_ones,
+    vector_width,
+)
 from appconv.learning.training import fit_logistic, training_cells
 from appconv.names import FEATURES
 from appconv.plans.jobs import train_and_compare
@@ -125,3 +134,40 @@ def test_compare_models_on_known_numbers(spark):
     scores = spark.createDataFrame([(*keys, 0.4)] * 2, ", ".join(f"{c} string" for c in FEATURES) + ", logistic_prediction double")
     got = {r["model"]: r["rmse"] for r in compare_models(cells, scores).collect()}
     assert got == {"binning": pytest.approx(0.2), "logistic": pytest.approx(0.1)}
+
+
+def newton(cells, steps=50):
+    """Probabilities of the cells (categories, downloads, users) by iteratively reweighted least squares on dense dummies."""
+    labels = [sorted({c[0][k] for c in cells}) for k in range(len(cells[0][0]))]
+    x = np.array([[1.0, *(float(c[0][k] == v) for k, own in enumerate(labels) for v in own)] for c in cells])
+    y, w = np.array([c[1] for c in cells], float), np.array([c[2] for c in cells], float)
+    beta = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta += np.linalg.lstsq((x.T * (w * p * (1 - p))) @ x, x.T @ (y - w * p), rcond=1e-10)[0]
+    return 1 / (1 + np.exp(-x @ beta))
+
+
+def test_scores_equal_those_of_newton_steps(trained, rows):
+    """All five categories, another solver on the merged cells."""
+    train = temporal_split(fill_missing(rows), TRAIN, TEST)[0]
+    cells = train.groupBy(*FEATURES).agg(F.sum("downloads").alias("d"), F.sum(F.greatest("user_count", "downloads")).alias("w")).collect()
+    cells = [(tuple(r[c] for c in FEATURES), r["d"], r["w"]) for r in cells]
+    want = dict(zip((c[0] for c in cells), newton(cells), strict=True))
+    got = {tuple(r[c] for c in FEATURES): r["logistic_prediction"] for r in trained.train_scores.collect()}
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-5
+
+
+def test_unknown_categories_get_no_score_on_request(rows):
+    scores = train_and_compare(rows, TRAIN, TEST, known_only=True).test_scores.collect()
+    assert {r["app_id"]: r["logistic_prediction"] is None for r in scores} == {"new": True, **{f"a{k}": False for k in range(4)}}
+
+
+def test_places_of_vectors(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import StructField, StructType
+
+    vectors = [Vectors.sparse(6, [1, 4], [1.0, 1.0]), Vectors.dense([0, 2, 0, 1]), Vectors.sparse(3, [], []), Vectors.sparse(5, [0, 2], [0.0, 1.0])]
+    df = spark.createDataFrame([(v,) for v in vectors], StructType([StructField("v", VectorUDT())]))
+    got = df.select(vector_width(F.col("v")).alias("n"), vector_ones(F.col("v")).alias("ones")).collect()
+    assert [(r.n, r.ones) for r in got] == [(6, [1, 4]), (4, [1, 3]), (3, []), (5, [2])]
