@@ -336,6 +336,20 @@ _STATEMENTS = {
 }
 
 _STATEMENTS["target_hits_shuffled"] = _STATEMENTS["target_hits"]
+_STATEMENTS["target_hits_compact"] = _STATEMENTS["target_hits"]
+_STATEMENTS["cvu_encoded_compact"] = _STATEMENTS["cvu_encoded"]
+_STATEMENTS["lift_feed_unfolded"] = _STATEMENTS["lift_feed"]
+_STATEMENTS["string_index_table"] = _STATEMENTS["string_index"]
+_STATEMENTS["feature_slots_table"] = _STATEMENTS["feature_slots"]
+_STATEMENTS["lift_feed_compact"] = (
+    f"""select {_COHORT}, app_a0, app_a1, cast(least(greatest(log_norm_cvu_ROUNDED, -3), 5) + 3 as integer) as log_norm_cvu_ROUNDED
+        from feed where A1A0users > 0
+        union all
+        select {_COHORT}, app_a0, null, 0
+        from (select {_COHORT}, app_a0 from users_a0 where A0users >= {W.MIN_USERS})
+             semi join (select {_COHORT} from users_a1 where A1users >= {W.MIN_USERS}) using ({_COHORT})""",
+    "slots",
+)
 
 # One category, no regularisation: the most likely rate of each value is its ratio.
 _RATIO = """

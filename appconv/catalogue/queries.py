@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from appconv.catalogue import windows as W
 from appconv.functions import cohort_filter, in_window, known_ids, mask_to_array
-from appconv.learning import evaluate, features, training
+from appconv.learning import dictionary, evaluate, features, training
 from appconv.names import (
     APP,
     BAG,
@@ -24,7 +24,7 @@ from appconv.names import (
     UID,
     VECTOR,
 )
-from appconv.operators import bags, encode, events, lift, rates
+from appconv.operators import bags, compact, encode, events, lift, rates
 from appconv.plans.jobs import Members, Window, stage_members, stage_window, train_and_compare
 from appconv.functions import day_list
 from appconv.sources.logs import read_quoted_log
@@ -119,6 +119,10 @@ class Inputs:
     def model_rows(self) -> DataFrame:
         return features.fill_missing(cut_lineage(self.cvu(rates.cvu_encoded_appfree)))
 
+    @cached_property
+    def compact_feed(self) -> compact.CompactFeed:
+        return compact.compact_feed(self.staged_own, self.staged_tgt, W.MIN_USERS, distinct=True)
+
     def feed(self, min_users: int = W.MIN_USERS) -> DataFrame:
         return lift.lift_feed(self.staged_own, self.staged_tgt, min_users, distinct=True)
 
@@ -332,6 +336,16 @@ def lift_stats(i: Inputs) -> DataFrame:
     return lift.lift_stats(i.own(), i.tgt(), W.MIN_USERS, distinct=True)
 
 
+def lift_feed_compact(i: Inputs) -> DataFrame:
+    """Co-owned pairs and one default slot for each target of a cohort, which has no owned app."""
+    return i.compact_feed.rows()
+
+
+def lift_feed_unfolded(i: Inputs) -> DataFrame:
+    """The whole feed out of the compact one."""
+    return i.compact_feed.full()
+
+
 # --- encode -------------------------------------------------------------------------------------------------------
 
 
@@ -351,6 +365,14 @@ def target_hits(i: Inputs, **options) -> DataFrame:
     return hits.select(*COHORT, UID, "app_a0", digits.alias("slots"))
 
 
+def target_hits_compact(i: Inputs) -> DataFrame:
+    """The encoder on the compact feed."""
+    members = events.cohort_apps(i.staged_owned, i.staged_requests)
+    hits = compact.target_hits(members, i.staged_popular, i.compact_feed)
+    digits = F.array_join(mask_to_array(F.col("mask")).cast("array<string>"), "")
+    return hits.select(*COHORT, UID, "app_a0", digits.alias("slots"))
+
+
 def encode_own_target(i: Inputs) -> DataFrame:
     attributed = cut_lineage(events.attribute_downloads(i.downloads(), i.window_requests()))
     return encode.encode_own_target(attributed, i.slots(), i.staged_owned)
@@ -403,6 +425,13 @@ def cvu_encoded_sparse(i: Inputs) -> DataFrame:
     return i.cvu(rates.cvu_encoded, sparse=True)
 
 
+def cvu_encoded_compact(i: Inputs) -> DataFrame:
+    """The same table, encoded from the compact feed."""
+    targets = encode.target_positions(i.staged_popular)
+    hits = compact.packed_hits(events.cohort_apps(i.staged_owned, i.staged_requests), targets, i.compact_feed)
+    return rates.cvu_encoded(i.staged_requests, i.staged_owned, i.staged_downloads, targets, None, hits=hits)
+
+
 def cvu_encoded_appfree(i: Inputs) -> DataFrame:
     return i.cvu(rates.cvu_encoded_appfree)
 
@@ -458,6 +487,18 @@ def feature_slots(i: Inputs) -> DataFrame:
     return vectors.select(*FEATURES, features.vector_width(F.col("features")).alias("width"), ones.alias("ones"))
 
 
+def string_index_table(i: Inputs) -> DataFrame:
+    """The same indexes from a dictionary that stays a table."""
+    return dictionary.label_dictionary(i.model_rows).select("feature", "label", "index")
+
+
+def feature_slots_table(i: Inputs) -> DataFrame:
+    """The positions of the ones by joins with the dictionary."""
+    rows = i.model_rows
+    slots = dictionary.with_slots(rows.select(*FEATURES).distinct(), dictionary.label_dictionary(rows))
+    return slots.select(*FEATURES, "width", F.array_join(F.col("ones").cast("array<string>"), ",").alias("ones"))
+
+
 def binning_rates(i: Inputs) -> DataFrame:
     return evaluate.binning_rates(i.split()[0])
 
@@ -589,10 +630,13 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         lift_feed,
         lift_feed_legacy,
         feed_slots,
+        lift_feed_compact,
+        lift_feed_unfolded,
         lift_stats,
         popular_targets,
         target_hits,
         target_hits_shuffled,
+        target_hits_compact,
         encode_own_target,
         encode_all_targets,
         count_users,
@@ -603,6 +647,7 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         cvu_by_bag,
         cvu_encoded,
         cvu_encoded_sparse,
+        cvu_encoded_compact,
         cvu_encoded_appfree,
         cvu_encoded_appfree_min_users,
         table_sizes,
@@ -612,6 +657,8 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         training_cells,
         string_index,
         feature_slots,
+        string_index_table,
+        feature_slots_table,
         binning_rates,
         binning_cells,
         binning_cells_coarse,

@@ -135,10 +135,11 @@ def own_target_hits(wanted: DataFrame, owned: DataFrame, slots: DataFrame) -> Da
     return bits.groupBy(*COHORT, UID, F.col(TARGET).alias(APP)).agg(F.bit_or("bit").alias(MASK))
 
 
-def with_own_mask_from_hits(df: DataFrame, hits: DataFrame) -> DataFrame:
-    """``df`` (cohort, user, position, ...) with the mask at its position, taken out of the packed hits of its user."""
+def with_own_mask_from_hits(df: DataFrame, targets: DataFrame, hits: DataFrame) -> DataFrame:
+    """``df`` (cohort, user, app, ...), of popular targets only, with position and mask of its app, taken out of the packed
+    hits of its user. ``df`` is read twice and should be staged."""
     place = F.floor(F.col(POS) / PER_WORD).cast("int")
-    rows = lookup(df.withColumn("word", place), hits, [*COHORT, UID], "left")
+    rows = lookup(df.join(targets, APP).withColumn("word", place), hits, [*COHORT, UID], "left")
     bits = F.get(F.filter(HITS, lambda h: h["word"] == F.col("word")), F.lit(0))["bits"]
     shift = ((F.col(POS) % PER_WORD) * VECTOR_WIDTH).cast("int")
     mask = F.call_function("shiftrightunsigned", bits, shift).bitwiseAND(F.lit((1 << VECTOR_WIDTH) - 1)).cast("int")
@@ -186,12 +187,13 @@ def listed_only(df: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def encode_all_targets(
-    df: DataFrame, targets: DataFrame, slots: DataFrame, members: DataFrame | None = None
+    df: DataFrame, targets: DataFrame, slots: DataFrame | None, members: DataFrame | None = None, hits: DataFrame | None = None
 ) -> DataFrame:
     """Rows once per popular target, with that target's vector. The users' apps are ``members`` (distinct cohort, user,
-    app), or the bag that each row carries."""
+    app), or the bag that each row carries. ``hits`` that were packed already (from a compact feed) go instead of ``slots``."""
     targets = target_positions(targets)
-    hits = packed_hits(_unpack(df, *COHORT, UID) if members is None else members, targets, slots)
+    if hits is None:
+        hits = packed_hits(_unpack(df, *COHORT, UID) if members is None else members, targets, slots)
     rows = listed_only(unfold(with_target_words(df.drop(BAG), targets, hits)), targets)
     rest = [c for c in df.columns if c != BAG]
     return with_app(rows, targets).select(*rest, APP, mask_to_text(F.col(MASK)).alias(VECTOR))

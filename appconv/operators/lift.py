@@ -154,8 +154,8 @@ def co_users(
     return _co_users(own, tgt, *_lists(own, tgt, min_users, distinct), distinct, user_pairs)
 
 
-def pair_counts(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, distinct: bool = False) -> DataFrame:
-    """Every eligible pair with its counts and the totals of its target app.
+def pair_parts(own: DataFrame, tgt: DataFrame, min_users: int, distinct: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the pair table is made of: eligible owned apps, eligible targets with their totals, and the co-owned pairs.
 
     The totals need no window over the pairs. The co-users of a target are summed over the pairs that have any; the
     users of its partners are the cohort's sum over eligible owned apps, less the target's own users when it is one of
@@ -180,6 +180,11 @@ def pair_counts(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, dist
             (F.col("all_users") - F.coalesce("own_users", F.lit(0))).alias("A1usersAggTarget"),
         )
     )
+    return owned, totals, together
+
+
+def expand_pairs(owned: DataFrame, totals: DataFrame, together: DataFrame) -> DataFrame:
+    """All pairs of the two sides with their counts; a pair that is not in ``together`` has no co-users."""
     return (
         _pair_universe(owned, totals)
         .join(together, [*COHORT, TARGET, OWNED], "left")
@@ -188,6 +193,11 @@ def pair_counts(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, dist
     )
 
 
+def pair_counts(own: DataFrame, tgt: DataFrame, min_users: int = MIN_USERS, distinct: bool = False) -> DataFrame:
+    """Every eligible pair with its counts and the totals of its target app."""
+    return expand_pairs(*pair_parts(own, tgt, min_users, distinct))
+
+
 def pair_lift(pairs: DataFrame, legacy_nan: bool = False) -> DataFrame:
     """Lift and its bin. A target that no partner shares users with has no lift: NULL, or bin 0 with ``legacy_nan``."""
     together, partner_total = F.col("A1A0users").cast("double"), F.col("A1usersAggTarget").cast("double")

@@ -105,18 +105,21 @@ def cvu_encoded(
     owned: DataFrame,
     downloads: DataFrame,
     targets: DataFrame,
-    slots: DataFrame,
+    slots: DataFrame | None,
     sparse: bool = False,
     null_safe: bool = False,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
     """CVU by segment, popular target and lift vector; every request counts once per popular target.
 
     A feed has a slot for every eligible pair, so nearly every owner has a vector for nearly every target, and requests
     are unfolded over the targets in the same task that counts them. ``sparse`` is for feeds that cover few targets: it
-    unfolds the vectors that are not zero and gets the zero ones by subtraction. Both give the same table."""
+    unfolds the vectors that are not zero and gets the zero ones by subtraction. Both give the same table. ``hits`` that were
+    packed already (from a compact feed, for ``targets`` with positions) go instead of ``slots``."""
     requests = requests.distinct()
     targets = encode.target_positions(targets)
-    hits = encode.packed_hits(cohort_apps(owned, requests), targets, slots)
+    if hits is None:
+        hits = encode.packed_hits(cohort_apps(owned, requests), targets, slots)
     dims = [*SEGMENT, encode.POS]
     if sparse:
         everyone = requests.groupBy(*SEGMENT).agg(F.count("*").alias("n"))
@@ -126,8 +129,8 @@ def cvu_encoded(
         users = _with_zero_vectors(_hit_counts(requests, hits, SEGMENT, encode.POS), everyone, dims)
     else:
         users = _all_counts(requests, hits, targets, SEGMENT)
-    wanted = attribute_downloads(downloads.join(targets, APP, "left_semi"), requests)
-    downloaded = encode.with_own_mask_from_hits(wanted.join(targets, APP), hits)
+    wanted = cut_lineage(attribute_downloads(downloads.join(targets, APP, "left_semi"), requests))
+    downloaded = encode.with_own_mask_from_hits(wanted, targets, hits)
     rates = conversion_rate(users, count_downloads(downloaded, [*dims, MASK]), [*dims, MASK], null_safe=null_safe)
     return _as_vector(encode.with_app(rates, targets), [*SEGMENT, APP])
 
@@ -155,7 +158,8 @@ def cvu_encoded_appfree(
     everyone = everyone.select(*MODEL_SEGMENT, (F.col("rows") * how_many).alias("n"))
     users = _with_zero_vectors(counted, everyone, MODEL_SEGMENT).filter(F.col("user_count") >= min_users)
 
-    attributed = attribute_downloads(downloads, requests)
+    # Read three times below.
+    attributed = cut_lineage(attribute_downloads(downloads, requests))
     own_hits = encode.own_target_hits(attributed, owned, slots)
     downloaded = count_downloads(encode.with_own_mask(attributed, own_hits), [*MODEL_SEGMENT, APP, MASK])
     rates = conversion_rate(users, downloaded, [*MODEL_SEGMENT, MASK], how="inner", null_safe=null_safe, fill=False)
