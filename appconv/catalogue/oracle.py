@@ -337,6 +337,26 @@ _STATEMENTS = {
 
 _STATEMENTS["target_hits_shuffled"] = _STATEMENTS["target_hits"]
 _STATEMENTS["target_hits_compact"] = _STATEMENTS["target_hits"]
+_STATEMENTS["requests_redone_day"] = ("select * from requests", "requests")
+_STATEMENTS["cohort_apps_bucketed"] = _STATEMENTS["cohort_apps"]
+_STATEMENTS["requests_with_bags_bucketed"] = _STATEMENTS["requests_with_bags"]
+_STATEMENTS["owned_apps_sliding"] = (
+    " union all ".join(
+        f"select distinct request_uid, app_id, '{end}' as window_end from events_all join app_map using (app_gpm_id) "
+        f"where request_date between '{start}' and '{end}'"
+        for start, end in W.SLIDING
+    ),
+    "app_map",
+)
+_STATEMENTS["feed_preview"] = (
+    f"select * from feed order by nCVU desc, A1A0users desc, {_COHORT}, app_a0, app_a1 limit 20",
+    "feed",
+)
+_STATEMENTS["feed_counts"] = (
+    """select count(*) as pairs, count(*) filter (A1A0users > 0) as co_owned, count(*) filter (log_norm_cvu_ROUNDED <> -999) as with_bin,
+              sum(A1A0users)::bigint as co_users from feed""",
+    "feed",
+)
 _STATEMENTS["cvu_encoded_compact"] = _STATEMENTS["cvu_encoded"]
 _STATEMENTS["lift_feed_unfolded"] = _STATEMENTS["lift_feed"]
 _STATEMENTS["string_index_table"] = _STATEMENTS["string_index"]

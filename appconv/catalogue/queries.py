@@ -24,13 +24,13 @@ from appconv.names import (
     UID,
     VECTOR,
 )
-from appconv.operators import bags, compact, encode, events, lift, rates
+from appconv.operators import bags, compact, encode, events, lift, rates, sliding
 from appconv.plans.jobs import Members, Window, stage_members, stage_window, train_and_compare
 from appconv.functions import day_list
 from appconv.sources.logs import read_quoted_log
 from appconv.sources.tables import ORC_ORDINALS, event_days, read_app_map, read_orc_events, read_request_csv, read_request_log, read_requests
 from appconv.sources.order_tables import ALL_KINDS, CUSTOM, DOWNLOAD, PURCHASE, OrderTables
-from appconv.sources.staging import cut_lineage, run_folder
+from appconv.sources.staging import cut_lineage, preview, redo_days, run_folder, stage_bucketed, stage_counted, stage_days
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -197,6 +197,17 @@ def requests_by_day(i: Inputs) -> DataFrame:
     return read_requests(i.tables.spark, path, "2000-01-08", _WINDOW_DAYS)
 
 
+def requests_redone_day(i: Inputs) -> DataFrame:
+    """All days staged while one was still coming in, with half of its rows and some of the day before; then that day alone is
+    written again."""
+    rows, path = cut_lineage(i.window_requests()), run_folder(i.tables.spark)
+    late = F.col(DATE) == W.LATE_DAY
+    early = rows.filter(~late).unionByName(rows.filter(late & (F.xxhash64(UID) % 2 == 0)))
+    wrong = rows.filter(F.col(DATE) == W.TRAIN_START).withColumn(DATE, F.lit(W.LATE_DAY))
+    stage_days(early.unionByName(wrong), path)
+    return redo_days(rows, path, [W.LATE_DAY])
+
+
 def orc_events(i: Inputs) -> DataFrame:
     """A wide ORC table in a folder for each day, columns taken by position, timestamps cut to days."""
     lines = _days(i.tables.event_lines((DOWNLOAD,), W.TRAIN_START, W.TEST_DAY))
@@ -237,6 +248,16 @@ def owned_apps(i: Inputs) -> DataFrame:
     return i.owned()
 
 
+def owned_apps_sliding(i: Inputs) -> DataFrame:
+    """The owned apps of windows that move on by a month, each from the state before and one month of events."""
+    found, state = [], None
+    for start, end in W.SLIDING:
+        days = sliding.day_state(i.tables.event_lines(ALL_KINDS, end if state else start, end), i.app_map())
+        state = cut_lineage(sliding.advance(state, days, start) if state else days)
+        found.append(sliding.owned_since(state, start).withColumn("window_end", F.lit(end)))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def ownership(i: Inputs) -> DataFrame:
     return events.ownership(i.owned(), i.requests())
 
@@ -250,6 +271,19 @@ def cohort_apps(i: Inputs) -> DataFrame:
     return i.own()
 
 
+_BUCKETS = 8
+
+
+def _bucketed(i: Inputs, rows: DataFrame) -> DataFrame:
+    return stage_bucketed(rows, run_folder(i.tables.spark), UID, _BUCKETS)
+
+
+def cohort_apps_bucketed(i: Inputs) -> DataFrame:
+    """Owned apps and cohort members in buckets by user: they meet without a shuffle."""
+    members = events.cohort_members(i.requests())
+    return events.cohort_apps(_bucketed(i, i.owned()), _bucketed(i, members), distinct=True)
+
+
 def attribute_downloads(i: Inputs) -> DataFrame:
     return events.attribute_downloads(i.downloads(), i.window_requests())
 
@@ -270,6 +304,13 @@ def requests_with_bags(i: Inputs) -> DataFrame:
     return _bag_text(bags.requests_with_bags(i.window_requests(), i.bags()))
 
 
+def requests_with_bags_bucketed(i: Inputs) -> DataFrame:
+    """Bags grouped, and requests joined with them, without a shuffle of either."""
+    own, requests = _bucketed(i, i.owned()), _bucketed(i, i.window_requests().distinct())
+    own_bags = own.groupBy(UID).agg(F.sort_array(F.collect_list(APP)).alias(BAG))
+    return _bag_text(requests.join(own_bags, UID, "left").select(*requests.columns, BAG))
+
+
 def requests_of_owners(i: Inputs) -> DataFrame:
     return _bag_text(bags.requests_with_bags(i.window_requests(), i.bags(), how="inner"))
 
@@ -336,6 +377,25 @@ def lift_stats(i: Inputs) -> DataFrame:
     return lift.lift_stats(i.own(), i.tgt(), W.MIN_USERS, distinct=True)
 
 
+def feed_preview(i: Inputs) -> DataFrame:
+    """The pairs with the strongest lift."""
+    order = [F.col("nCVU").desc(), F.col("A1A0users").desc(), *[F.col(c) for c in (*COHORT, "app_a0", "app_a1")]]
+    return preview(i.staged_feed, 20, order)
+
+
+def feed_counts(i: Inputs) -> DataFrame:
+    """Pairs of the feed, those of them that were co-owned and that have a bin, and their users, counted while the feed is
+    written."""
+    counts = {
+        "pairs": F.count("*"),
+        "co_owned": F.count_if(F.col("A1A0users") > 0),
+        "with_bin": F.count_if(F.col(BIN) != lift.MISSING),
+        "co_users": F.coalesce(F.sum("A1A0users"), F.lit(0)),
+    }
+    _, seen = stage_counted(i.feed(), run_folder(i.tables.spark), counts)
+    return i.tables.spark.createDataFrame([tuple(seen[c] for c in counts)], ", ".join(f"{c} long" for c in counts))
+
+
 def lift_feed_compact(i: Inputs) -> DataFrame:
     """Co-owned pairs and one default slot for each target of a cohort, which has no owned app."""
     return i.compact_feed.rows()
@@ -601,6 +661,7 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         request_csv,
         app_map_csv,
         requests_by_day,
+        requests_redone_day,
         orc_events,
         app_map,
         requests,
@@ -609,13 +670,16 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         union_events,
         map_store_ids,
         owned_apps,
+        owned_apps_sliding,
         ownership,
         targets,
         cohort_apps,
+        cohort_apps_bucketed,
         attribute_downloads,
         app_bags,
         market_bags,
         requests_with_bags,
+        requests_with_bags_bucketed,
         requests_of_owners,
         downloads_with_bags,
         bag_stats,
@@ -633,6 +697,8 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         lift_feed_compact,
         lift_feed_unfolded,
         lift_stats,
+        feed_preview,
+        feed_counts,
         popular_targets,
         target_hits,
         target_hits_shuffled,

@@ -10,3 +10,7 @@ MIN_USERS = 5
 MIN_ROWS = 20
 LEAST_USERS = 40
 COARSE = ["display_marketing_name", "os_version_id", "market_id"]
+
+# Windows of twelve months that move on by one: start and end of each.
+SLIDING = (("1997-11-01", "1998-10-01"), ("1997-12-01", "1998-11-01"), ("1998-01-01", "1998-12-01"))
+LATE_DAY = "2000-05-01"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from appconv.names import APP, BAG, REQUEST_COLUMNS, UID
 from appconv.operators.skew import HOT_ROWS, lookup
+from appconv.sources.staging import cut_lineage
 
 
 def app_bags(df: DataFrame, item: str = APP, uid: str = UID) -> DataFrame:
@@ -19,13 +20,13 @@ def requests_with_bags(
     """Request tuples with the user's bag: ``left`` keeps users without a bag, ``inner`` drops them.
 
     A bag is unique per user, so distinct requests give a distinct result."""
-    rows = requests.select(*REQUEST_COLUMNS).distinct()
+    rows = cut_lineage(requests.select(*REQUEST_COLUMNS).distinct())
     return lookup(rows, bags, [UID], how, hot_rows).select(*REQUEST_COLUMNS, BAG)
 
 
 def downloads_with_bags(downloads: DataFrame, bags: DataFrame, how: str = "left") -> DataFrame:
     """(Attributed) downloads with the user's bag."""
-    return lookup(downloads.distinct(), bags, [UID], how)
+    return lookup(cut_lineage(downloads.distinct()), bags, [UID], how)
 
 
 def bag_stats(bags: DataFrame) -> DataFrame:

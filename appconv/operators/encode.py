@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from appconv.functions import VECTOR_WIDTH, mask_to_text, slot_bit
 from appconv.names import APP, BAG, BIN, COHORT, DATE, OWNED, TARGET, UID, VECTOR
 from appconv.operators.ranking import ranked
-from appconv.operators.skew import HOT_ROWS, lookup
+from appconv.operators.skew import HOT_ROWS, USER_PAIRS, heavy_users, lookup
 from appconv.sources.staging import cut_lineage
 
 # Fixed value: user-day downloads from which an app counts as a popular target.
@@ -127,11 +127,18 @@ def target_hits(
     return with_app(hits, targets, TARGET).select(*COHORT, UID, TARGET, MASK)
 
 
-def own_target_hits(wanted: DataFrame, owned: DataFrame, slots: DataFrame) -> DataFrame:
-    """Vectors that are not all zero, for the (cohort, user, app) rows of ``wanted`` only."""
-    asked = wanted.select(*COHORT, UID, F.col(APP).alias(TARGET)).distinct()
-    rows = asked.join(owned.select(UID, F.col(APP).alias(OWNED)).distinct(), UID)
-    bits = rows.join(_feed_bits(slots), [*COHORT, TARGET, OWNED])
+def own_target_hits(wanted: DataFrame, owned: DataFrame, slots: DataFrame, user_pairs: int = USER_PAIRS) -> DataFrame:
+    """Vectors that are not all zero, for the (cohort, user, app) rows of ``wanted`` only.
+
+    A user with n such rows and m owned apps makes n*m pairs. With more than ``user_pairs`` of them the user is split exactly:
+    the owned apps are dealt over parts and the wanted rows copied to each part; the parts' vectors are or-ed."""
+    asked = cut_lineage(wanted.select(*COHORT, UID, F.col(APP).alias(TARGET)).distinct())
+    apps = owned.select(UID, F.col(APP).alias(OWNED)).distinct()
+    heavy = heavy_users(apps, asked, [UID], user_pairs)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = apps.join(heavy, UID, "left").withColumn("part", F.pmod(F.xxhash64(OWNED), parts).cast("int")).drop("parts")
+    copied = asked.join(heavy, UID, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    bits = copied.join(dealt, [UID, "part"]).join(_feed_bits(slots), [*COHORT, TARGET, OWNED])
     return bits.groupBy(*COHORT, UID, F.col(TARGET).alias(APP)).agg(F.bit_or("bit").alias(MASK))
 
 

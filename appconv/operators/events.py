@@ -64,9 +64,11 @@ def cohort_members(requests: DataFrame) -> DataFrame:
     return requests.select(*COHORT, UID).distinct()
 
 
-def cohort_apps(owned: DataFrame, requests: DataFrame) -> DataFrame:
-    """Distinct (cohort, user, app): what the lift feed needs of ``ownership``, without building one row per request."""
-    return cohort_members(requests).join(owned.distinct(), UID).select(*COHORT, UID, APP)
+def cohort_apps(owned: DataFrame, requests: DataFrame, distinct: bool = False) -> DataFrame:
+    """Distinct (cohort, user, app): what the lift feed needs of ``ownership``, without building one row per request.
+    ``distinct`` says that both inputs, of which the second then has the cohort members, are distinct already."""
+    members, apps = (requests, owned) if distinct else (cohort_members(requests), owned.distinct())
+    return members.join(apps, UID).select(*COHORT, UID, APP)
 
 
 def attribute_downloads(downloads: DataFrame, requests: DataFrame) -> DataFrame:

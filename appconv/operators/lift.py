@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from appconv.functions import clip_slot, log_bin
 from appconv.names import APP, BIN, COHORT, FEED_COLUMNS, OWNED, TARGET, UID
+from appconv.operators.skew import USER_PAIRS, heavy_users
 from appconv.sources.staging import cut_lineage
 
 # An app is eligible from this many users in a cohort; missing numbers are stored as this sentinel.
@@ -18,9 +19,6 @@ MISSING = -999
 SLICE_PAIRS = 250_000
 TASK_SLICES = 4
 
-# Pairs of one user's apps that are counted together; users with more are split into parts of about this size.
-USER_PAIRS = 1_000_000
-
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -112,22 +110,13 @@ def eligible_pairs(
     return _pair_universe(owned.select(*COHORT, OWNED), wanted.select(*COHORT, TARGET))
 
 
-def _user_parts(owned: DataFrame, wanted: DataFrame, user_pairs: int) -> DataFrame:
-    """Users with more than ``user_pairs`` pairs and the parts to split them into."""
-    n = owned.groupBy(*COHORT, UID).agg(F.count("*").alias("n"))
-    m = wanted.groupBy(*COHORT, UID).agg(F.count("*").alias("m"))
-    heavy = n.join(m, [*COHORT, UID]).filter(F.col("n") * F.col("m") > user_pairs)
-    parts = F.least(F.ceil(F.col("n") * F.col("m") / user_pairs), F.col("n")).cast("int")
-    return cut_lineage(heavy.select(*COHORT, UID, parts.alias("parts")))
-
-
 def _co_users(
     own: DataFrame, tgt: DataFrame, owned_apps: DataFrame, target_apps: DataFrame, distinct: bool, user_pairs: int = USER_PAIRS
 ) -> DataFrame:
     owned = _members(own, OWNED, distinct).join(owned_apps, [*COHORT, OWNED], "left_semi")
     wanted = _members(tgt, TARGET, distinct).join(target_apps, [*COHORT, TARGET], "left_semi")
     owned, wanted = cut_lineage(owned), cut_lineage(wanted)
-    heavy = _user_parts(owned, wanted, user_pairs)
+    heavy = heavy_users(owned, wanted, [*COHORT, UID], user_pairs)
     parts = F.coalesce("parts", F.lit(1))
     dealt = owned.join(heavy, [*COHORT, UID], "left").withColumn("part", F.pmod(F.xxhash64(OWNED), parts).cast("int"))
     copied = wanted.join(heavy, [*COHORT, UID], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))

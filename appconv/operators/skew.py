@@ -6,9 +6,14 @@ just aggregated per user does not, so its hot users are split here."""
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from appconv.sources.staging import cut_lineage
+
 # A key with more rows than this is split into parts of about this size.
 HOT_ROWS = 1_000_000
 
+# Pairs that one key makes in a join of two tables; keys with more are split into parts of about this size.
+USER_PAIRS = 1_000_000
+
 # Rows with a NULL key match nothing and go anywhere.
 _NULL_PARTS = 1024
 
@@ -20,8 +25,17 @@ def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Data
     return counts.select(*keys, F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"))
 
 
+def heavy_users(dealt: DataFrame, copied: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Keys that make more than ``most`` pairs of rows and the parts to split them into; at most one row of ``dealt`` each."""
+    n = dealt.groupBy(*keys).agg(F.count("*").alias("n"))
+    m = copied.groupBy(*keys).agg(F.count("*").alias("m"))
+    heavy = n.join(m, keys).filter(F.col("n") * F.col("m") > most)
+    parts = F.least(F.ceil(F.col("n") * F.col("m") / most), F.col("n")).cast("int")
+    return cut_lineage(heavy.select(*keys, parts.alias("parts")))
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join ``rows`` with a ``table`` that is unique on ``keys``. Rows of a hot key are dealt over its parts, and the one
+    """Join ``rows``, which are read twice and should be staged, with a ``table`` that is unique on ``keys``. Rows of a hot key are dealt over its parts, and the one
     record of the key is copied to each part; other keys have one part."""
     hot = hot_keys(rows, keys, hot_rows)
     no_key = F.lit(False)

@@ -2,8 +2,10 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from appconv.names import DATE
 from appconv.session import checkpoint_dir
 
 
@@ -24,5 +26,51 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return stage(df, f"{folder}/staged-{uuid.uuid4().hex}")
 
 
-def preview(df: DataFrame, rows: int = 20) -> DataFrame:
-    return df.limit(rows)
+def stage_counted(df: DataFrame, path: str, counts: dict[str, Column], mode: str = "errorifexists") -> tuple[DataFrame, dict]:
+    """Stage and take ``counts`` (aggregates over all rows) in the pass that writes, instead of reading the table again."""
+    seen = Observation()
+    written = stage(df.observe(seen, *[c.alias(name) for name, c in counts.items()]), path, mode)
+    return written, seen.get
+
+
+def stage_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Stage in ``buckets`` files by ``key``, sorted by it. Tables with one number of buckets meet on the key, and are grouped by
+    it, without a shuffle. A key is kept in one bucket, so this is for tables whose rows a key are bounded, such as
+    distinct (user, app); adaptive execution cannot split a bucket."""
+    name = f"staged_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def _by_day(df: DataFrame, path: str) -> None:
+    # Ranges of (day, row), so that a day with most of the rows is written by several tasks and others by one.
+    dealt = df.repartitionByRange(DATE, F.xxhash64(*[c for c in df.columns if c != DATE]))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(path)
+
+
+def read_days(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The days under ``path``, days being text; a filter on the day is answered by the names of the folders."""
+    return spark.read.schema(like.schema).parquet(path).select(*like.columns)
+
+
+def stage_days(df: DataFrame, path: str) -> DataFrame:
+    """Stage with a folder for each day."""
+    _by_day(df, path)
+    return read_days(df.sparkSession, path, df)
+
+
+def redo_days(df: DataFrame, path: str, days: list[str]) -> DataFrame:
+    """Replace ``days`` by their rows in ``df``; folders of other days are not touched. A day without rows becomes empty."""
+    rows = df.filter(F.col(DATE).isin(days))
+    found = {r[0] for r in rows.select(DATE).distinct().collect()}
+    if found:
+        _by_day(rows, path)
+    for day in set(days) - found:
+        rows.limit(0).drop(DATE).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{DATE}={day}")
+    return read_days(df.sparkSession, path, df)
+
+
+def preview(df: DataFrame, rows: int = 20, order: list[Column] | None = None) -> DataFrame:
+    """A few rows; with ``order`` the first ones in it, of which each task sends no more than it shows."""
+    return df.orderBy(*order).limit(rows) if order else df.limit(rows)

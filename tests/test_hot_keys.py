@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from appconv.names import COHORT
 from appconv.operators import encode, lift
 from appconv.operators.ranking import ranked
+from appconv.operators.skew import heavy_users
 from appconv.session import checkpoint_dir
 
 SMALL = {
@@ -61,12 +62,24 @@ def test_heavy_user_is_split(spark):
     whole = lift.co_users(own, tgt, min_users=1)
     split = lift.co_users(own, tgt, min_users=1, user_pairs=100)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect()))
-    parts = lift._user_parts(
-        own.withColumnRenamed("app_id", "app_a1"), tgt.withColumnRenamed("app_id", "app_a0"), 100
-    ).collect()
+    parts = heavy_users(own, tgt, [*COHORT, "request_uid"], 100).collect()
     assert [(r.request_uid, r.parts) for r in parts] == [("bot", 30)]
 
 
+def test_heavy_user_of_own_targets_is_split(spark):
+    """A bot with many downloads and many owned apps: the same vectors from parts, and parts of bounded size."""
+    user = lambda name, apps: [("1", "1", "1", name, a) for a in apps]
+    schema = "country_id string, device_os_id string, device_type_id string, request_uid string, app_id string"
+    wanted = spark.createDataFrame(user("bot", [f"t{k}" for k in range(40)]) + user("u", ["t1", "t2"]) + user("v", ["t3"]), schema)
+    owned = [("bot", f"a{k}") for k in range(50)] + [("u", "a1"), ("u", "a2"), ("w", "a3")]
+    owned = spark.createDataFrame(owned, "request_uid string, app_id string")
+    slots = cohort(spark.createDataFrame([(f"t{t}", f"a{a}", (t * a) % 9) for t in range(40) for a in range(50)], f"app_a0 string, app_a1 string, {lift.BIN} int"))
+    whole, split = (encode.own_target_hits(wanted, owned, slots, user_pairs=n) for n in (10**6, 50))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect()))
+    assert whole.count() == 42
+    assert [tuple(r) for r in heavy_users(owned, wanted, ["request_uid"], 50).collect()] == [("bot", 40)]
+
+
 def test_pair_slices_follow_the_pair_count(spark):
     def apps(name, n):
         return cohort(spark.createDataFrame([(f"x{k}",) for k in range(n)], f"{name} string"))
