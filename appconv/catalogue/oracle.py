@@ -375,9 +375,9 @@ _STATEMENTS["lift_feed_compact"] = (
 _RATIO = """
     (select market_id, sum(downloads)::double / sum(greatest(user_count, downloads))::double as p from train group by all)"""
 _ERROR = "sum(user_count * (CVU - p) * (CVU - p))"
-_RMSE = f"round({_ERROR}, 2) as weighted_error, sum(user_count)::bigint as weight, round(sqrt({_ERROR} / sum(user_count)), 3) as rmse"
+_RMSE = f"round({_ERROR}, 4) as weighted_error, sum(user_count)::bigint as weight, round(sqrt({_ERROR} / sum(user_count)), 6) as rmse"
 _STATEMENTS["lr_scores"] = (
-    f"select t.*, round(p, 3) as logistic_prediction from test t join {_RATIO} using (market_id)",
+    f"select t.*, round(p, 6) as logistic_prediction from test t join {_RATIO} using (market_id)",
     "test",
 )
 _STATEMENTS["lr_scores_fit_on_all"] = _STATEMENTS["lr_scores"]

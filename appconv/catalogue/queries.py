@@ -585,15 +585,18 @@ def _trained(i: Inputs, **options):
 # Over one category the model's maximum likelihood is the ratio of each of its values, which SQL can state.
 _ONE = ["market_id"]
 
+# Places after the point to which the optimiser meets the ratio.
+_PLACES_OF_ONE = 6
+
 
 def lr_scores(i: Inputs) -> DataFrame:
-    return _trained(i, columns=_ONE).test_scores.withColumn("logistic_prediction", F.round("logistic_prediction", 3))
+    return _trained(i, columns=_ONE).test_scores.withColumn("logistic_prediction", F.round("logistic_prediction", _PLACES_OF_ONE))
 
 
 def lr_scores_fit_on_all(i: Inputs) -> DataFrame:
     """Category indexes fitted on all rows: the same predictions."""
     scores = _trained(i, columns=_ONE, fit_on="all").test_scores
-    return scores.withColumn("logistic_prediction", F.round("logistic_prediction", 3))
+    return scores.withColumn("logistic_prediction", F.round("logistic_prediction", _PLACES_OF_ONE))
 
 
 def lr_calibration(i: Inputs) -> DataFrame:
@@ -615,7 +618,7 @@ def lr_calibration_all(i: Inputs) -> DataFrame:
 
 
 def _errors(df: DataFrame) -> DataFrame:
-    return df.withColumn("weighted_error", F.round("weighted_error", 2)).withColumn("rmse", F.round("rmse", 3))
+    return df.withColumn("weighted_error", F.round("weighted_error", 4)).withColumn("rmse", F.round("rmse", 6))
 
 
 # Places after the point to which the optimiser and an exact solver agree.
