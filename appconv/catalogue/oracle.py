@@ -358,6 +358,8 @@ _STATEMENTS["feed_counts"] = (
     "feed",
 )
 _STATEMENTS["cvu_encoded_compact"] = _STATEMENTS["cvu_encoded"]
+_STATEMENTS["cvu_encoded_appfree_compact"] = _STATEMENTS["cvu_encoded_appfree"]
+_STATEMENTS["encode_own_target_compact"] = _STATEMENTS["encode_own_target"]
 _STATEMENTS["lift_feed_unfolded"] = _STATEMENTS["lift_feed"]
 _STATEMENTS["string_index_table"] = _STATEMENTS["string_index"]
 _STATEMENTS["feature_slots_table"] = _STATEMENTS["feature_slots"]

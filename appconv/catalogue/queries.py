@@ -24,8 +24,8 @@ from appconv.names import (
     UID,
     VECTOR,
 )
-from appconv.operators import bags, compact, encode, events, lift, rates, sliding
-from appconv.plans.jobs import Members, Window, stage_members, stage_window, train_and_compare
+from appconv.operators import bags, compact, encode, events, lift, rates
+from appconv.plans.jobs import Members, Window, slide_owned, stage_members, stage_window, train_and_compare
 from appconv.functions import day_list
 from appconv.sources.logs import read_quoted_log
 from appconv.sources.tables import ORC_ORDINALS, event_days, read_app_map, read_orc_events, read_request_csv, read_request_log, read_requests
@@ -129,13 +129,13 @@ class Inputs:
     def slots(self) -> DataFrame:
         return lift.feed_slots(self.staged_feed)
 
-    def cvu(self, table: Callable[..., DataFrame], **options) -> DataFrame:
+    def cvu(self, table: Callable[..., DataFrame], slots: encode.Slots | None = None, **options) -> DataFrame:
         return table(
             self.staged_requests,
             self.staged_owned,
             self.staged_downloads,
             self.staged_popular,
-            self.slots(),
+            self.slots() if slots is None else slots,
             **options,
         )
 
@@ -250,11 +250,11 @@ def owned_apps(i: Inputs) -> DataFrame:
 
 def owned_apps_sliding(i: Inputs) -> DataFrame:
     """The owned apps of windows that move on by a month, each from the state before and one month of events."""
-    found, state = [], None
+    found, state, path = [], None, run_folder(i.tables.spark)
     for start, end in W.SLIDING:
-        days = sliding.day_state(i.tables.event_lines(ALL_KINDS, end if state else start, end), i.app_map())
-        state = cut_lineage(sliding.advance(state, days, start) if state else days)
-        found.append(sliding.owned_since(state, start).withColumn("window_end", F.lit(end)))
+        new = i.tables.event_lines(ALL_KINDS, end if state else start, end)
+        owned, state = slide_owned(state, new, i.app_map(), (start, end), path)
+        found.append(owned.withColumn("window_end", F.lit(end)))
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
@@ -384,16 +384,10 @@ def feed_preview(i: Inputs) -> DataFrame:
 
 
 def feed_counts(i: Inputs) -> DataFrame:
-    """Pairs of the feed, those of them that were co-owned and that have a bin, and their users, counted while the feed is
-    written."""
-    counts = {
-        "pairs": F.count("*"),
-        "co_owned": F.count_if(F.col("A1A0users") > 0),
-        "with_bin": F.count_if(F.col(BIN) != lift.MISSING),
-        "co_users": F.coalesce(F.sum("A1A0users"), F.lit(0)),
-    }
+    """Counts of the feed, taken while it is written."""
+    counts = lift.feed_counts()
     _, seen = stage_counted(i.feed(), run_folder(i.tables.spark), counts)
-    return i.tables.spark.createDataFrame([tuple(seen[c] for c in counts)], ", ".join(f"{c} long" for c in counts))
+    return i.tables.spark.range(1).select(*[F.lit(seen[c]).cast("long").alias(c) for c in counts])
 
 
 def lift_feed_compact(i: Inputs) -> DataFrame:
@@ -418,19 +412,16 @@ def target_hits_shuffled(i: Inputs) -> DataFrame:
     return target_hits(i, broadcast_bytes=0)
 
 
-def target_hits(i: Inputs, **options) -> DataFrame:
+def target_hits(i: Inputs, slots: encode.Slots | None = None, **options) -> DataFrame:
     members = events.cohort_apps(i.staged_owned, i.staged_requests)
-    hits = encode.target_hits(members, i.staged_popular, i.slots(), **options)
+    hits = encode.target_hits(members, i.staged_popular, i.slots() if slots is None else slots, **options)
     digits = F.array_join(mask_to_array(F.col("mask")).cast("array<string>"), "")
     return hits.select(*COHORT, UID, "app_a0", digits.alias("slots"))
 
 
 def target_hits_compact(i: Inputs) -> DataFrame:
     """The encoder on the compact feed."""
-    members = events.cohort_apps(i.staged_owned, i.staged_requests)
-    hits = compact.target_hits(members, i.staged_popular, i.compact_feed)
-    digits = F.array_join(mask_to_array(F.col("mask")).cast("array<string>"), "")
-    return hits.select(*COHORT, UID, "app_a0", digits.alias("slots"))
+    return target_hits(i, i.compact_feed)
 
 
 def encode_own_target(i: Inputs) -> DataFrame:
@@ -487,9 +478,16 @@ def cvu_encoded_sparse(i: Inputs) -> DataFrame:
 
 def cvu_encoded_compact(i: Inputs) -> DataFrame:
     """The same table, encoded from the compact feed."""
-    targets = encode.target_positions(i.staged_popular)
-    hits = compact.packed_hits(events.cohort_apps(i.staged_owned, i.staged_requests), targets, i.compact_feed)
-    return rates.cvu_encoded(i.staged_requests, i.staged_owned, i.staged_downloads, targets, None, hits=hits)
+    return i.cvu(rates.cvu_encoded, slots=i.compact_feed)
+
+
+def cvu_encoded_appfree_compact(i: Inputs) -> DataFrame:
+    return i.cvu(rates.cvu_encoded_appfree, slots=i.compact_feed)
+
+
+def encode_own_target_compact(i: Inputs) -> DataFrame:
+    attributed = cut_lineage(events.attribute_downloads(i.downloads(), i.window_requests()))
+    return encode.encode_own_target(attributed, i.compact_feed, i.staged_owned)
 
 
 def cvu_encoded_appfree(i: Inputs) -> DataFrame:
@@ -717,6 +715,8 @@ CATALOGUE: dict[str, Callable[[Inputs], DataFrame]] = {
         cvu_encoded,
         cvu_encoded_sparse,
         cvu_encoded_compact,
+        cvu_encoded_appfree_compact,
+        encode_own_target_compact,
         cvu_encoded_appfree,
         cvu_encoded_appfree_min_users,
         table_sizes,

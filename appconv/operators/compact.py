@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from appconv.functions import VECTOR_WIDTH, clip_slot
+from appconv.functions import VECTOR_WIDTH, clip_slot, slot_bit
 from appconv.names import APP, BIN, COHORT, FEED_COLUMNS, OWNED, TARGET, UID
 from appconv.operators import encode, lift
 from appconv.operators.skew import lookup
@@ -50,6 +50,31 @@ class CompactFeed:
         nobody = self.targets.withColumns({"A1A0users": F.lit(0).cast("long"), "A1users": F.lit(1).cast("long")})
         return _slot(lift.pair_lift(nobody, self.legacy_nan)).select(*COHORT, TARGET, BIN)
 
+    def packed_hits(self, members: DataFrame, targets: DataFrame) -> DataFrame:
+        """Per (cohort, user) the words of all targets, as ``encode.packed_hits`` gives them.
+
+        Of a user's eligible apps those without an exception in a word share its default, so the default is or-ed in where
+        fewer exceptions than apps were seen; words without any exception are the default itself."""
+        targets = encode.target_positions(targets)
+        defaults = cut_lineage(default_words(self, targets))
+        packed = cut_lineage(pack_exceptions(self, targets, defaults))
+        owned = members.select(*COHORT, UID, F.col(APP).alias(OWNED))
+        everyone = F.array(F.struct(F.lit(_ALL).alias("word"), F.lit(0).cast("long").alias("bits")))
+        rows = owned.join(packed, [*COHORT, OWNED]).select(*COHORT, UID, F.inline(F.concat(encode.HITS, everyone)))
+        words = rows.groupBy(*COHORT, UID, "word").agg(F.bit_or("bits").alias("bits"), F.count("*").alias("n"))
+        found = words.groupBy(*COHORT, UID).agg(F.collect_list(F.struct("word", F.struct("bits", "n"))).alias("found"))
+        lists = defaults.groupBy(*COHORT).agg(F.collect_list(F.struct("word", "bits")).alias("defaults"))
+        both = lookup(cut_lineage(found), lists, COHORT, "inner").withColumn("found", F.map_from_entries("found"))
+        hits = F.filter(F.transform("defaults", _with_default), lambda h: h["bits"] != 0)
+        return both.select(*COHORT, UID, hits.alias(encode.HITS)).filter(F.size(encode.HITS) > 0)
+
+    def pair_bits(self, pairs: DataFrame) -> DataFrame:
+        """(cohort, user, a0, a1) -> with the bit of each eligible pair."""
+        known = pairs.filter(F.col(TARGET) != F.col(OWNED)).join(self.owned.select(*COHORT, OWNED), [*COHORT, OWNED])
+        known = known.join(self.defaults().withColumnRenamed(BIN, "default"), [*COHORT, TARGET])
+        slots = known.join(self.listed(), [*COHORT, TARGET, OWNED], "left")
+        return slots.withColumn("bit", slot_bit(F.coalesce(BIN, "default")))
+
     def rows(self) -> DataFrame:
         """Both in one table; a default has no owned app."""
         none = F.lit(None).cast("string").alias(OWNED)
@@ -107,32 +132,8 @@ def pack_exceptions(feed: CompactFeed, targets: DataFrame, defaults: DataFrame)
     )
 
 
-def packed_hits(members: DataFrame, targets: DataFrame, feed: CompactFeed) -> DataFrame:
-    """Per (cohort, user) the words of all targets, as ``encode.packed_hits`` gives them.
-
-    Of a user's eligible apps those without an exception in a word share its default, so the default is or-ed in where fewer
-    exceptions than apps were seen; words without any exception are the default itself."""
-    defaults = cut_lineage(default_words(feed, targets))
-    packed = cut_lineage(pack_exceptions(feed, targets, defaults))
-    owned = members.select(*COHORT, UID, F.col(APP).alias(OWNED))
-    everyone = F.array(F.struct(F.lit(_ALL).alias("word"), F.lit(0).cast("long").alias("bits")))
-    rows = owned.join(packed, [*COHORT, OWNED]).select(*COHORT, UID, F.inline(F.concat(encode.HITS, everyone)))
-    words = rows.groupBy(*COHORT, UID, "word").agg(F.bit_or("bits").alias("bits"), F.count("*").alias("n"))
-    found = words.groupBy(*COHORT, UID).agg(F.collect_list(F.struct("word", F.struct("bits", "n"))).alias("found"))
-    lists = defaults.groupBy(*COHORT).agg(F.collect_list(F.struct("word", "bits")).alias("defaults"))
-
-    def filled(default: Column) -> Column:
-        own = F.col("found")[default["word"]]
-        rest = F.when(own["n"] < F.col("found")[F.lit(_ALL)]["n"], default["bits"]).otherwise(F.lit(0))
-        return F.struct(default["word"].alias("word"), F.when(own.isNull(), default["bits"]).otherwise(own["bits"].bitwiseOR(rest)).alias("bits"))
-
-    both = lookup(cut_lineage(found), lists, COHORT, "inner").withColumn("found", F.map_from_entries("found"))
-    hits = F.filter(F.transform("defaults", filled), lambda h: h["bits"] != 0)
-    return both.select(*COHORT, UID, hits.alias(encode.HITS)).filter(F.size(encode.HITS) > 0)
-
-
-def target_hits(members: DataFrame, targets: DataFrame, feed: CompactFeed) -> DataFrame:
-    """Vectors that are not all zero, for every popular target: (cohort, user, a0, mask)."""
-    targets = encode.target_positions(targets)
-    hits = encode.unfold_hits(packed_hits(members, targets, feed))
-    return encode.with_app(hits, targets, TARGET).select(*COHORT, UID, TARGET, encode.MASK)
+def _with_default(word: Column) -> Column:
+    own = F.col("found")[word["word"]]
+    rest = F.when(own["n"] < F.col("found")[F.lit(_ALL)]["n"], word["bits"]).otherwise(F.lit(0))
+    bits = F.when(own.isNull(), word["bits"]).otherwise(own["bits"].bitwiseOR(rest))
+    return F.struct(word["word"].alias("word"), bits.alias("bits"))

@@ -6,6 +6,8 @@ joined back, not once per request. Popular targets travel as their position in t
 the vectors of seven neighbouring positions share one 64-bit word, so that or-ing a bag's rows together handles seven
 targets at a time."""
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,18 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 PER_WORD = 63 // VECTOR_WIDTH
 
 
+class PairSlots(Protocol):
+    """A feed that knows the slots of its pairs without a row for each (``compact.CompactFeed``)."""
+
+    def packed_hits(self, members: DataFrame, targets: DataFrame) -> DataFrame: ...
+
+    def pair_bits(self, pairs: DataFrame) -> DataFrame: ...
+
+
+# What the functions here take as ``slots``: a table of slots by pair, or a feed as above.
+Slots = DataFrame | PairSlots
+
+
 def popular_targets(downloads: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """Apps with at least ``min_rows`` distinct (user, day) downloads."""
     return (
@@ -79,7 +93,7 @@ def packed_bytes(packed: DataFrame) -> int:
 
 
 def packed_hits(
-    members: DataFrame, targets: DataFrame, slots: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+    members: DataFrame, targets: DataFrame, slots: Slots, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Per (cohort, user) the vectors that are not all zero, as an array of words.
 
@@ -88,6 +102,8 @@ def packed_hits(
     joined by shuffling: as a staged table it comes from a shuffle like the members do, so adaptive execution splits the
     partitions of apps that everybody owns, and the users are laid out afterwards: what moves is one word per owned app
     and seven targets."""
+    if not isinstance(slots, DataFrame):
+        return slots.packed_hits(members, targets)
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owned = members.select(*COHORT, UID, F.col(APP).alias(OWNED))
     packed = cut_lineage(pack_feed(slots, targets))
@@ -119,7 +135,7 @@ def unfold_hits(df: DataFrame) -> DataFrame:
 
 
 def target_hits(
-    members: DataFrame, targets: DataFrame, slots: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+    members: DataFrame, targets: DataFrame, slots: Slots, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Vectors that are not all zero, for every popular target: (cohort, user, a0, mask)."""
     targets = target_positions(targets)
@@ -127,7 +143,7 @@ def target_hits(
     return with_app(hits, targets, TARGET).select(*COHORT, UID, TARGET, MASK)
 
 
-def own_target_hits(wanted: DataFrame, owned: DataFrame, slots: DataFrame, user_pairs: int = USER_PAIRS) -> DataFrame:
+def own_target_hits(wanted: DataFrame, owned: DataFrame, slots: Slots, user_pairs: int = USER_PAIRS) -> DataFrame:
     """Vectors that are not all zero, for the (cohort, user, app) rows of ``wanted`` only.
 
     A user with n such rows and m owned apps makes n*m pairs. With more than ``user_pairs`` of them the user is split exactly:
@@ -138,7 +154,8 @@ def own_target_hits(wanted: DataFrame, owned: DataFrame, slots: DataFrame, user_
     parts = F.coalesce("parts", F.lit(1))
     dealt = apps.join(heavy, UID, "left").withColumn("part", F.pmod(F.xxhash64(OWNED), parts).cast("int")).drop("parts")
     copied = asked.join(heavy, UID, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    bits = copied.join(dealt, [UID, "part"]).join(_feed_bits(slots), [*COHORT, TARGET, OWNED])
+    pairs = copied.join(dealt, [UID, "part"])
+    bits = pairs.join(_feed_bits(slots), [*COHORT, TARGET, OWNED]) if isinstance(slots, DataFrame) else slots.pair_bits(pairs)
     return bits.groupBy(*COHORT, UID, F.col(TARGET).alias(APP)).agg(F.bit_or("bit").alias(MASK))
 
 
@@ -163,7 +180,7 @@ def _unpack(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, BAG).distinct().select(*keys, F.explode(BAG).alias(APP)).distinct()
 
 
-def encode_own_target(df: DataFrame, slots: DataFrame, owned: DataFrame | None = None) -> DataFrame:
+def encode_own_target(df: DataFrame, slots: Slots, owned: DataFrame | None = None) -> DataFrame:
     """Add the vector of the row's own ``app_id``. The users' apps are ``owned``, or the bag that each row carries, where
     a NULL bag gives all zeros."""
     rows = with_own_mask(df, own_target_hits(df, _unpack(df, UID) if owned is None else owned, slots))
@@ -194,13 +211,12 @@ def listed_only(df: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def encode_all_targets(
-    df: DataFrame, targets: DataFrame, slots: DataFrame | None, members: DataFrame | None = None, hits: DataFrame | None = None
+    df: DataFrame, targets: DataFrame, slots: Slots, members: DataFrame | None = None
 ) -> DataFrame:
     """Rows once per popular target, with that target's vector. The users' apps are ``members`` (distinct cohort, user,
-    app), or the bag that each row carries. ``hits`` that were packed already (from a compact feed) go instead of ``slots``."""
+    app), or the bag that each row carries."""
     targets = target_positions(targets)
-    if hits is None:
-        hits = packed_hits(_unpack(df, *COHORT, UID) if members is None else members, targets, slots)
+    hits = packed_hits(_unpack(df, *COHORT, UID) if members is None else members, targets, slots)
     rows = listed_only(unfold(with_target_words(df.drop(BAG), targets, hits)), targets)
     rest = [c for c in df.columns if c != BAG]
     return with_app(rows, targets).select(*rest, APP, mask_to_text(F.col(MASK)).alias(VECTOR))

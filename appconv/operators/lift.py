@@ -3,7 +3,7 @@ apps do, per cohort of country, operating system and device type.
 
 All cohorts are worked on at once, with the cohort as part of every key."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from appconv.functions import clip_slot, log_bin
@@ -211,6 +211,16 @@ def lift_feed(
     return feed if missing is None else feed.fillna(missing)
 
 
+def feed_counts(missing: int = MISSING) -> dict[str, Column]:
+    """Counts to take while the feed is written: pairs, those of them that were co-owned and that have a bin, and their users."""
+    return {
+        "pairs": F.count("*"),
+        "co_owned": F.count_if(F.col("A1A0users") > 0),
+        "with_bin": F.count_if(F.col(BIN) != missing),
+        "co_users": F.coalesce(F.sum("A1A0users"), F.lit(0)),
+    }
+
+
 def feed_slots(feed: DataFrame) -> DataFrame:
     """The feed with its bins clipped and counted from 0, as the encoders expect it."""
     return feed.withColumn(BIN, clip_slot(F.col(BIN)))

@@ -105,21 +105,18 @@ def cvu_encoded(
     owned: DataFrame,
     downloads: DataFrame,
     targets: DataFrame,
-    slots: DataFrame | None,
+    slots: encode.Slots,
     sparse: bool = False,
     null_safe: bool = False,
-    hits: DataFrame | None = None,
 ) -> DataFrame:
     """CVU by segment, popular target and lift vector; every request counts once per popular target.
 
     A feed has a slot for every eligible pair, so nearly every owner has a vector for nearly every target, and requests
     are unfolded over the targets in the same task that counts them. ``sparse`` is for feeds that cover few targets: it
-    unfolds the vectors that are not zero and gets the zero ones by subtraction. Both give the same table. ``hits`` that were
-    packed already (from a compact feed, for ``targets`` with positions) go instead of ``slots``."""
+    unfolds the vectors that are not zero and gets the zero ones by subtraction. Both give the same table."""
     requests = requests.distinct()
     targets = encode.target_positions(targets)
-    if hits is None:
-        hits = encode.packed_hits(cohort_apps(owned, requests), targets, slots)
+    hits = encode.packed_hits(cohort_apps(owned, requests), targets, slots)
     dims = [*SEGMENT, encode.POS]
     if sparse:
         everyone = requests.groupBy(*SEGMENT).agg(F.count("*").alias("n"))
@@ -140,7 +137,7 @@ def cvu_encoded_appfree(
     owned: DataFrame,
     downloads: DataFrame,
     targets: DataFrame,
-    slots: DataFrame,
+    slots: encode.Slots,
     min_users: int = 0,
     null_safe: bool = False,
 ) -> DataFrame:

@@ -9,11 +9,13 @@ from appconv.learning.evaluate import binning_cells, compare_models, weighted_rm
 from appconv.learning.features import fill_missing, fit_features, temporal_split
 from appconv.learning.training import MAX_ITER, fit_logistic, score
 from appconv.names import DATE, FEATURES
-from appconv.operators.encode import MIN_ROWS, popular_targets
+from appconv.operators.compact import CompactFeed, compact_feed
+from appconv.operators.encode import MIN_ROWS, Slots, popular_targets
 from appconv.operators.events import cohort_apps, cohort_members, mapped_downloads, owned_apps, union_events
-from appconv.operators.lift import MIN_USERS, feed_slots, lift_feed
+from appconv.operators.lift import MIN_USERS, feed_counts, feed_slots, lift_feed
 from appconv.operators.rates import cvu_encoded, cvu_encoded_appfree
-from appconv.sources.staging import stage
+from appconv.operators.sliding import advance, day_state, owned_since
+from appconv.sources.staging import stage, stage_counted
 
 
 @dataclass
@@ -34,8 +36,14 @@ class Window:
 
 @dataclass
 class Feed:
+    """``feed`` is the table of all pairs, or the compact form of it."""
+
     owned: DataFrame
-    feed: DataFrame
+    feed: DataFrame | CompactFeed
+    counts: dict | None = None
+
+    def slots(self) -> Slots:
+        return feed_slots(self.feed) if isinstance(self.feed, DataFrame) else self.feed
 
 
 def stage_members(
@@ -83,10 +91,25 @@ def build_feed(
     folder: str,
     min_users: int = MIN_USERS,
     mode: str = "errorifexists",
+    compact: bool = False,
 ) -> Feed:
-    """Event logs, store-id mapping and requests to the staged owned apps and lift feed."""
+    """Event logs, store-id mapping and requests to the staged owned apps and lift feed, whose pairs are counted while they are
+    written. With ``compact`` only co-owned pairs are kept, for catalogues whose pairs are too many to store."""
     apps = stage_members(download, custom, purchase, app_map, requests, event_window, target_window, folder, mode)
-    return Feed(apps.owned, stage(lift_feed(apps.own, apps.tgt, min_users, distinct=True), f"{folder}/feed", mode))
+    if compact:
+        return Feed(apps.owned, compact_feed(apps.own, apps.tgt, min_users, distinct=True).staged(f"{folder}/feed", mode))
+    feed, counts = stage_counted(lift_feed(apps.own, apps.tgt, min_users, distinct=True), f"{folder}/feed", feed_counts(), mode)
+    return Feed(apps.owned, feed, counts)
+
+
+def slide_owned(
+    state: DataFrame | None, events: DataFrame, app_map: DataFrame, window: tuple[str, str], folder: str, mode: str = "errorifexists"
+) -> tuple[DataFrame, DataFrame]:
+    """The window's owned apps and the state to go on from. ``events`` are those of the days that came since ``state``, or of the
+    whole window where there is none; the days must come in order."""
+    day = day_state(in_window(events, DATE, *window), app_map)
+    state = stage(advance(state, day, window[0]) if state is not None else day, f"{folder}/state-{window[1]}", mode)
+    return owned_since(state, window[0]), state
 
 
 def build_cvu(
@@ -103,7 +126,7 @@ def build_cvu(
     """CVU by segment, target app and lift vector over a window of requests and downloads."""
     read = stage_window(requests, download, app_map, window, folder, min_rows, mode)
     table = cvu_encoded_appfree if app_free else cvu_encoded
-    cvu = table(read.requests, feed.owned, read.downloads, read.popular, feed_slots(feed.feed))
+    cvu = table(read.requests, feed.owned, read.downloads, read.popular, feed.slots())
     return stage(cvu, f"{folder}/cvu", mode)
 
 

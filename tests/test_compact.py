@@ -43,8 +43,12 @@ def test_vectors_of_the_compact_feed(spark, sides, legacy_nan):
     for names in ([f"a{k}" for k in range(25)] + ["alone", "unknown"], ["a2"], []):
         targets = spark.createDataFrame([(n,) for n in names], f"{APP} string")
         want = encode.target_hits(members, targets, slots)
-        got = compact.target_hits(members, targets, small)
+        got = encode.target_hits(members, targets, small)
         assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
+    owned = members.select("request_uid", APP).distinct()
+    wanted = members.unionByName(tgt)
+    want, got = (encode.own_target_hits(wanted, owned, s, user_pairs=40) for s in (slots, small))
+    assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
 
 
 def test_no_eligible_pair(spark):
@@ -52,7 +56,7 @@ def test_no_eligible_pair(spark):
     small = compact.compact_feed(none, none, 5)
     assert small.rows().count() == 0 and small.full().count() == 0
     targets = spark.createDataFrame([("a",)], f"{APP} string")
-    assert compact.target_hits(none, targets, small).count() == 0
+    assert encode.target_hits(none, targets, small).count() == 0
     assert spark.createDataFrame([], MEMBER).count() == 0
 
 

@@ -9,8 +9,8 @@ from appconv.sources.order_tables import CUSTOM, DOWNLOAD, PURCHASE, OrderTables
 FOLDER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("app_free", [False, True])
-def test_jobs_give_what_the_queries_give(spark, tmp_path, app_free):
+@pytest.mark.parametrize("app_free, compact", [(False, False), (True, False), (False, True), (True, True)])
+def test_jobs_give_what_the_queries_give(spark, tmp_path, app_free, compact):
     t = OrderTables(spark, FOLDER)
     feed = build_feed(
         *[t.event_lines((k,)) for k in (DOWNLOAD, CUSTOM, PURCHASE)],
@@ -20,6 +20,7 @@ def test_jobs_give_what_the_queries_give(spark, tmp_path, app_free):
         (W.TARGET_START, W.TARGET_END),
         str(tmp_path / "feed"),
         W.MIN_USERS,
+        compact=compact,
     )
     cvu = build_cvu(
         t.requests(), t.event_lines((DOWNLOAD,)), t.app_map(), feed, (W.TRAIN_START, W.TEST_DAY),
@@ -29,7 +30,9 @@ def test_jobs_give_what_the_queries_give(spark, tmp_path, app_free):
     name = "cvu_encoded_appfree" if app_free else "cvu_encoded"
     want = CATALOGUE[name](inputs)
     assert cvu.exceptAll(want).count() == 0 and want.exceptAll(cvu).count() == 0
-    assert feed.feed.count() == inputs.staged_feed.count()
+    pairs = inputs.staged_feed.count()
+    assert (feed.feed.full() if compact else feed.feed).count() == pairs
+    assert feed.counts is None if compact else feed.counts["pairs"] == pairs
 
 
 def _plan(df):
