@@ -10,14 +10,19 @@ repeated window that lies in no factor crosses exactly one factor boundary, as t
 long as the window's rest; so windows across boundaries whose two factors are long enough together are searched too. The
 result is exact.
 
-Of equal segments in a batch only the one with the smallest doc_id goes on, the others are repeats. Anchors that still have
-very many segments (``HOT_SEGMENTS``) are judged window by window: the smallest doc_id of each window's 128-bit hash.
+Words are hashed and anchors found once: what later steps need of a segment (its anchor, place and windows) goes through the
+search for shared anchors. Equal segments are pre-aggregated before they meet: of those in a batch, and later in a block, only
+the one with the smallest doc_id is parsed, the others are repeats as a whole. An anchor that still has very many segments
+(``HOT_SEGMENTS``) is split by the same rule: its windows are dealt by their two smallest hashed runs, then three, and so on, and
+parsed like the others; equal windows agree in all their runs.
 
 Defined cases: a null or empty text has no words. Rows without doc_id are kept as they are and remove nothing elsewhere. Rows
 that repeat a doc_id are one document: they remove nothing from each other, and each is judged by its own text; equal rows get
 equal results. Other columns are ignored. An empty table gives no rows."""
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,13 +40,18 @@ BLOCK_SEGMENTS = 20_000
 HOT_SEGMENTS = 5_000
 _HELD_WORDS = 1 << 18
 
-PACKS = "bucket int, anchors binary, docs binary, places binary, passed_docs binary, passed_places binary"
-SHARED = "doc_id long, place int"
+PACKS = "coarse int, bucket int, anchors binary, docs binary, codes binary, passed_anchors binary, passed_docs binary, passed_codes binary"
+SHARED = "doc_id long, anchor long, code long"
 SEGMENTS = "anchor long, doc_id long, text_hash long, at int, words binary"
 SPANS = "doc_id long, text_hash long, start int, end int"
-WINDOWS = "high long, low long, doc_id long, text_hash long, at int"
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
+# Bytes of text whose words are in memory at once, and anchors that are packed together.
+SLICE_BYTES = 4 << 20
+PACK_ANCHORS = 1 << 20
+# Buckets that one pack is dealt over; more are reached in two steps.
+COARSE_BUCKETS = 1024
+
 
 class _WordHashes(dict):
     def __missing__(self, word):
@@ -60,22 +70,45 @@ def text_hash(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def anchors(words: list[bytes], number: _WordHashes, window: int) -> tuple[np.ndarray, ...]:
-    """Of each segment: anchor, its place, first and last window."""
-    none = np.zeros(0, np.int64)
-    if len(words) < window:
-        return none.astype(np.uint64), none, none, none
-    hashes = np.fromiter(map(number.__getitem__, words), np.uint64, len(words))
-    size = min(ANCHOR_WORDS, window)
+def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each place on."""
     runs = np.zeros(hashes.size - size + 1, np.uint64)
     for k in range(size):
         runs = (runs ^ hashes[k : hashes.size - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         runs ^= runs >> np.uint64(29)
-    views = np.lib.stride_tricks.sliding_window_view(runs, window - size + 1)
-    places = views.argmin(axis=1) + np.arange(views.shape[0])
-    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-    last = np.concatenate([first[1:], [places.size]]) - 1
-    return runs[places[first]], places[first], first, last
+    return runs
+
+
+def anchors(texts: list[list[bytes]], number: _WordHashes, window: int) -> tuple[np.ndarray, ...]:
+    """Of each segment of several texts: text, anchor and code, which holds the anchor's place and by how much the first and
+    the last window come before it."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.uint64, int(lengths.sum()))
+    size = min(ANCHOR_WORDS, window)
+    if flat.size < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    runs = _runs(flat, size)
+    windows = flat.size - window + 1
+    best, back = runs[:windows].copy(), np.zeros(windows, np.int64)
+    for k in range(1, window - size + 1):
+        smaller = runs[k : windows + k] < best
+        best[smaller], back[smaller] = runs[k : windows + k][smaller], k
+    owner = np.repeat(np.arange(lengths.size), lengths)
+    start = np.flatnonzero(owner[:windows] == owner[window - 1 :])
+    owner, place = owner[start], start + back[start]
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])]))
+    last = np.concatenate([first[1:], [place.size]]) - 1 if place.size else first[:0]
+    if not place.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    begin = (np.cumsum(lengths) - lengths)[owner[first]]
+    code = ((place[first] - begin) << 16) | ((place[first] - start[first]) << 8) | (place[first] - start[last])
+    return owner[first], runs[place[first]], code
+
+
+def decoded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last windows."""
+    place = codes >> 16
+    return place - ((codes >> 8) & 255), place - (codes & 255)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -102,88 +135,163 @@ def _shared(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.repeat(several, np.diff(np.append(begins, keys.size)))
 
 
-def _packer(buckets: int, window: int):
-    """Anchors of a batch, sorted, in a pack for each bucket. Of an anchor that the batch has in several documents only the
-    first and last of these go to the bucket; all its places are passed on as shared, dealt by document."""
+def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of a batch with no more than ``SLICE_BYTES`` of text, or one."""
+    begins = np.flatnonzero(np.diff(batch["text"].str.len().cumsum().to_numpy() // SLICE_BYTES, prepend=-1))
+    for a, b in zip(begins, [*begins[1:], len(batch)], strict=True):
+        yield batch.iloc[a:b]
+
+
+def _dealt(coarse: np.ndarray, bucket: np.ndarray, columns: list[np.ndarray], passed: np.ndarray, passed_columns: list[np.ndarray]) -> pd.DataFrame:
+    """A row for each bucket that has something; the columns are in the order of the buckets."""
+    reached = np.union1d(bucket, passed)
+    low, high = (np.searchsorted(bucket, reached, side) for side in ("left", "right"))
+    passed_low, passed_high = (np.searchsorted(passed, reached, side) for side in ("left", "right"))
+    rows = []
+    for b, i, j, k, m in zip(reached.tolist(), low, high, passed_low, passed_high, strict=True):
+        steps = np.diff(columns[0][i:j], prepend=np.uint64(0))
+        rows.append((b, *map(_planes, (steps, columns[1][i:j], columns[2][i:j])), *(_planes(c[k:m]) for c in passed_columns)))
+    names = [c.split()[0] for c in PACKS.split(", ")]
+    out = pd.DataFrame(rows, columns=names[1:])
+    out.insert(0, "coarse", (out["bucket"].to_numpy(np.int64) // coarse).astype("int32") if len(out) else [])
+    return out.astype({"coarse": "int32", "bucket": "int32"})
+
+
+def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(key: np.ndarray, doc: np.ndarray, code: np.ndarray, buckets: int, fine: int) -> pd.DataFrame:
+    """Anchors by bucket. Of one that is there in several documents only the first and the last of these go to the bucket; all
+    its places are passed on as shared, dealt by document."""
+    by = np.lexsort((doc, key))
+    key, doc, code = key[by], doc[by], code[by]
+    shared, begins = _shared(key, doc), _groups(key)
+    go = ~shared
+    go[begins], go[np.append(begins[1:], key.size) - 1] = True, True
+    dealt = np.mod(doc[shared], buckets)
+    order = np.argsort(dealt, kind="stable")
+    passed = [c[shared][order] for c in (key, doc, code)]
+    return _dealt(fine, _bucket_of(key[go], buckets), [key[go], doc[go], code[go]], dealt[order], passed)
+
+
+def _packer(buckets: int, fine: int, window: int):
+    """Anchors of many documents in a pack for each bucket that they reach; ``fine`` buckets make a coarse one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = _WordHashes()
+        number, held, size = _WordHashes(), [], 0
         for batch in batches:
-            keys, docs, places = [], [], []
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                key, place, _, _ = anchors(words_of(text), number, window)
-                keys.append(key)
-                places.append(place)
-                docs.append(np.full(key.size, int(doc), np.int64))
-            if not keys:
-                continue
-            key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places).astype(np.int32)
-            by = np.lexsort((doc, key))
-            key, doc, place = key[by], doc[by], place[by]
-            shared = _shared(key, doc)
-            begins = _groups(key)
-            ends = np.append(begins[1:], key.size) - 1 if key.size else begins
-            go = ~shared
-            go[begins], go[ends] = True, True
-            passed_doc, passed_place = doc[shared], place[shared]
-            dealt = np.mod(passed_doc, buckets)
-            key, doc, place = key[go], doc[go], place[go]
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            rows = []
-            for b in range(buckets):
-                here, there = slice(*np.searchsorted(bucket, [b, b + 1])), dealt == b
-                steps = np.diff(key[here], prepend=np.uint64(0))
-                rows.append(
-                    (b, _planes(steps), _planes(doc[here]), _planes(place[here]), _planes(passed_doc[there]), _planes(passed_place[there]))
-                )
-            yield pd.DataFrame(rows, columns=["bucket", "anchors", "docs", "places", "passed_docs", "passed_places"])
+            for part in _slices(batch):
+                owner, key, code = anchors([words_of(t) for t in part["text"]], number, window)
+                held.append((key, part["doc_id"].to_numpy(np.int64)[owner], code))
+                size += key.size
+                if size >= PACK_ANCHORS:
+                    yield _pack(*map(np.concatenate, zip(*held, strict=True)), buckets, fine)
+                    held, size = [], 0
+        if size:
+            yield _pack(*map(np.concatenate, zip(*held, strict=True)), buckets, fine)
 
     return run
 
 
-def _unpack(packs: pd.DataFrame) -> pd.DataFrame:
+def _unpacked(packs: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
     def whole(name: str, kind: str) -> np.ndarray:
         return np.concatenate([_unplaned(x, kind) for x in packs[name]])
 
     key = np.concatenate([np.cumsum(_unplaned(x, "uint64"), dtype=np.uint64) for x in packs["anchors"]])
-    doc, place = whole("docs", "int64"), whole("places", "int32")
+    passed = [whole("passed_anchors", "uint64"), whole("passed_docs", "int64"), whole("passed_codes", "int64")]
+    return [key, whole("docs", "int64"), whole("codes", "int64")], passed
+
+
+def _repacker(buckets: int, fine: int):
+    """Packs that only go by coarse buckets, gathered until they fill packs for the fine ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def filled() -> pd.DataFrame:
+            (key, doc, code), passed = _unpacked(pd.concat(held))
+            by = np.argsort(key, kind="stable")
+            dealt = np.mod(passed[1], buckets)
+            order = np.argsort(dealt, kind="stable")
+            key = key[by]
+            return _dealt(fine, _bucket_of(key, buckets), [key, doc[by], code[by]], dealt[order], [c[order] for c in passed])
+
+        for batch in batches:
+            held.append(batch)
+            size += int(batch["docs"].str.len().sum() + batch["passed_docs"].str.len().sum()) // 8
+            if size >= PACK_ANCHORS:
+                yield filled()
+                held, size = [], 0
+        if held:
+            yield filled()
+
+    return run
+
+
+def _unpack(packs: pd.DataFrame) -> pd.DataFrame:
+    (key, doc, code), passed = _unpacked(packs)
     by = np.lexsort((doc, key))
-    key, doc, place = key[by], doc[by], place[by]
+    key, doc, code = key[by], doc[by], code[by]
     shared = _shared(key, doc)
-    return pd.DataFrame(
-        {
-            "doc_id": np.concatenate([doc[shared], whole("passed_docs", "int64")]),
-            "place": np.concatenate([place[shared], whole("passed_places", "int32")]),
-        }
-    ).drop_duplicates()
+    key, doc, code = (np.concatenate([c[shared], p]) for c, p in zip((key, doc, code), passed, strict=True))
+    return pd.DataFrame({"doc_id": doc, "anchor": key.view(np.int64), "code": code})
+
+
+def _least(rows: list[tuple], window: int) -> pd.DataFrame:
+    """(anchor, doc, text hash, at, words) -> of equal segments those of the smallest document; of the others only how far the
+    span reaches."""
+    least: dict[bytes, int] = {}
+    for _, doc, _, _, content in rows:
+        if least.get(content, doc) >= doc:
+            least[content] = doc
+    repeated = [least[r[4]] < r[1] for r in rows]
+    out = pd.DataFrame(rows, columns=["anchor", "doc_id", "text_hash", "at", "words"])
+    out["end"] = [at + content.count(b" ") + 1 if r else 0 for (_, _, _, at, content), r in zip(rows, repeated, strict=True)]
+    out.loc[repeated, "words"] = None
+    return out.astype({"anchor": "int64", "doc_id": "int64", "text_hash": "int64", "at": "int32", "end": "int32"})
 
 
 def _segmenter(window: int):
-    """Segments of a batch at shared anchors. Where a smaller doc_id of the batch has the same segment, all its windows are
-    spans at once, as rows without words."""
+    """Segments of a batch at shared anchors. A doc_id may have several texts: what was found in another one of them ends where
+    this one does."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in _slices(batch):
+                rows = []
+                for doc, text, keys, codes in zip(part["doc_id"].tolist(), part["text"], part["anchors"], part["codes"], strict=True):
+                    words, own = words_of(text), text_hash(text)
+                    first, last = decoded(np.asarray(codes, np.int64))
+                    last = np.minimum(last, len(words) - window)
+                    for k, a, b in zip(np.asarray(keys).tolist(), first.tolist(), last.tolist(), strict=True):
+                        if a <= b:
+                            rows.append((k, doc, own, a, b" ".join(words[a : b + window])))
+                yield _least(rows, window)
+
+    return run
+
+
+def _finer(level: int, window: int):
+    """Segments -> their windows dealt by the ``level`` smallest runs, neighbours that agree in these together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = _WordHashes()
+        size = min(ANCHOR_WORDS, window)
         for batch in batches:
-            rows, least = [], {}
-            for doc, text, shared in zip(batch["doc_id"].tolist(), batch["text"].tolist(), batch["places"], strict=True):
-                words = words_of(text)
-                key, place, first, last = anchors(words, number, window)
-                own = text_hash(text)
-                take = np.isin(place, np.asarray(shared))
-                for k, a, b in zip(key[take].view(np.int64).tolist(), first[take].tolist(), last[take].tolist(), strict=True):
-                    content = b" ".join(words[a : b + window])
-                    rows.append((k, int(doc), own, a, content))
-                    if least.get(content, doc) >= doc:
-                        least[content] = int(doc)
-            out = []
-            for k, doc, own, a, content in rows:
-                repeated = least[content] < doc
-                # The length tells how far the span reaches.
-                out.append((k, doc, own, a, None, a + content.count(b" ") + 1) if repeated else (k, doc, own, a, content, 0))
-            yield pd.DataFrame(out, columns=["anchor", "doc_id", "text_hash", "at", "words", "end"]).astype(
-                {"anchor": "int64", "doc_id": "int64", "text_hash": "int64", "at": "int32", "end": "int32"}
-            )
+            rows = []
+            for doc, own, at, content in zip(batch["doc_id"], batch["text_hash"], batch["at"], batch["words"], strict=True):
+                words = bytes(content).split(b" ")
+                hashes = np.fromiter(map(number.__getitem__, words), np.uint64, len(words))
+                runs = np.lib.stride_tricks.sliding_window_view(_runs(hashes, size), window - size + 1)
+                key = np.zeros(runs.shape[0], np.uint64)
+                for column in np.sort(runs, axis=1)[:, :level].T:
+                    key = (key ^ column) * np.uint64(0xD6E8FEB86659FD93)
+                    key ^= key >> np.uint64(32)
+                first = _groups(key)
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), key.size], strict=True):
+                    rows.append((int(key[a : a + 1].view(np.int64)[0]), int(doc), int(own), int(at) + a, b" ".join(words[a : b - 1 + window])))
+            yield _least(rows, window)
 
     return run
 
@@ -282,42 +390,48 @@ def _parser(window: int):
     return run
 
 
-def _windows_of(window: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, own, at, text in zip(batch["doc_id"], batch["text_hash"], batch["at"], batch["words"], strict=True):
-                words = text.split(b" ")
-                for k in range(len(words) - window + 1):
-                    high, low = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words[k : k + window])), "<i8").tolist()
-                    rows.append((high, low, doc, own, at + k))
-            yield pd.DataFrame(rows, columns=["high", "low", "doc_id", "text_hash", "at"]).astype({"at": "int32"})
+def _shared_places(docs: DataFrame, window: int) -> DataFrame:
+    """doc_id -> anchors and codes of its segments whose anchor another document has."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = slices(size, BUCKET_BYTES)
+    fine = slices(buckets, COARSE_BUCKETS)
+    packs = docs.mapInPandas(_packer(buckets if fine == 1 else slices(buckets, fine), 1, window), PACKS)
+    if fine > 1:
+        packs = packs.repartition("bucket").mapInPandas(_repacker(buckets, fine), PACKS)
+    shared = packs.groupBy("bucket").applyInPandas(_unpack, SHARED).distinct()
+    return shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("code").alias("codes"))
 
-    return run
+
+def _parsed(segments: DataFrame, window: int, block_segments: int) -> DataFrame:
+    block = F.pmod("anchor", F.lit(slices(segments.count(), block_segments)))
+    return segments.withColumn("block", block).groupBy("block").applyInPandas(_parser(window), SPANS)
 
 
 def spans(documents: DataFrame, window: int = WINDOW, block_segments: int = BLOCK_SEGMENTS, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """documents (doc_id, text) -> doc_id, text_hash, start, end: words that windows of smaller documents cover."""
     docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packs = docs.mapInPandas(_packer(slices(size, BUCKET_BYTES), window), PACKS)
-    shared = packs.groupBy("bucket").applyInPandas(_unpack, SHARED)
-    places = shared.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    found = staged(docs.join(places, "doc_id").mapInPandas(_segmenter(window), SEGMENTS + ", end int"))
-    whole = found.filter("words is null").selectExpr("doc_id", "text_hash", "at as start", "end")
-
-    segments = found.filter("words is not null").drop("end")
-    per_anchor = segments.groupBy("anchor").count()
-    hot = staged(per_anchor.filter(F.col("count") > hot_segments).select("anchor"))
-    cold = segments.join(hot, "anchor", "left_anti")
-    block = F.pmod("anchor", F.lit(slices(segments.count(), block_segments)))
-    parsed = cold.withColumn("block", block).groupBy("block").applyInPandas(_parser(window), SPANS)
-
-    single = staged(segments.join(hot, "anchor", "left_semi").mapInPandas(_windows_of(window), WINDOWS))
-    least = staged(single.groupBy("high", "low").agg(F.min("doc_id").alias("least")))
-    later = single.join(least, ["high", "low"]).filter("doc_id > least")
-    later = later.select("doc_id", "text_hash", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    return whole.unionByName(parsed).unionByName(later)
+    found = staged(docs.join(_shared_places(docs, window), "doc_id").mapInPandas(_segmenter(window), SEGMENTS + ", end int"))
+    parts, level = [], 1
+    while True:
+        parts.append(found.filter("words is null").selectExpr("doc_id", "text_hash", "at as start", "end"))
+        segments = found.filter("words is not null").drop("end")
+        per_anchor = segments.groupBy("anchor").count()
+        hot = staged(per_anchor.filter(F.col("count") > hot_segments).select("anchor"))
+        if level > window - min(ANCHOR_WORDS, window) or hot.isEmpty():
+            parts.append(_parsed(segments, window, block_segments))
+            break
+        parts.append(_parsed(segments.join(hot, "anchor", "left_anti"), window, block_segments))
+        # Equal segments of a hot anchor first: an aggregate and a join that adaptive execution can split.
+        crowded = staged(segments.join(hot, "anchor", "left_semi"))
+        least = staged(crowded.groupBy("anchor", "words").agg(F.min("doc_id").alias("least")))
+        judged = staged(crowded.join(least, ["anchor", "words"]))
+        later = judged.filter("doc_id > least")
+        length = F.regexp_count(F.col("words").cast("string"), F.lit(" ")) + 1
+        parts.append(later.select("doc_id", "text_hash", F.col("at").alias("start"), (F.col("at") + length).cast("int").alias("end")))
+        level += 1
+        first = judged.filter("doc_id = least").select("anchor", "doc_id", "text_hash", "at", "words")
+        found = staged(first.mapInPandas(_finer(level, window), SEGMENTS + ", end int"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

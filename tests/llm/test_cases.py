@@ -105,6 +105,50 @@ def test_passages_of_a_small_vocabulary(spark, window, hot, block):
     assert sorted(tuple(r) for r in got.collect()) == sorted(brute.repeats(rows, window))
 
 
+@pytest.mark.parametrize("coarse", [3, 1024])
+def test_passages_over_many_buckets(spark, monkeypatch, coarse):
+    """Buckets of a few bytes, reached directly or by way of coarse ones; hot anchors split down to single windows."""
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 150)
+    monkeypatch.setattr(passages, "COARSE_BUCKETS", coarse)
+    draw = random.Random(coarse)
+    common = prose(5, 20)
+    rows = [(k // 2, " ".join([prose(k % 9, 12), common if k % 3 else "", prose(100 + k, draw.randint(0, 20))])) for k in range(60)]
+    rows += [(70 + k, "a b " * 30) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = passages.remove_repeats(docs, hot_segments=2, block_segments=50)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute.repeats(rows, 13))
+
+
+def test_packs_follow_the_anchors():
+    """However many buckets there are, a pack has no more rows than anchors, and nothing is lost."""
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    key = draw.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    key[:1500] = key[1500:]
+    doc, code = draw.integers(0, 400, 3000), draw.integers(0, 1 << 40, 3000)
+    for buckets in (1, 16, 900, 90_000, 3_000_000):
+        packs = passages._pack(key, doc, code, buckets, 1)
+        assert len(packs) <= 3000 + 3000
+        (k, d, c), passed = passages._unpacked(packs)
+        whole = {(a, b, e) for a, b, e in zip(key.tolist(), doc.tolist(), code.tolist(), strict=True)}
+        assert {*zip(k.tolist(), d.tolist(), c.tolist(), strict=True), *zip(*(x.tolist() for x in passed), strict=True)} == whole
+    fine = next(passages._repacker(64, 8)(iter([passages._pack(key, doc, code, 8, 1)])))
+    assert sorted(fine["bucket"]) == sorted(set(fine["bucket"])) and (fine["coarse"] == fine["bucket"] // 8).all()
+    assert sorted(passages._unpacked(fine)[0][2].tolist()) == sorted(passages._unpacked(passages._pack(key, doc, code, 8, 1))[0][2].tolist())
+
+
+def test_anchors_do_not_depend_on_the_neighbours():
+    texts = [passages.words_of(prose(k, 10 + 7 * k)) for k in range(8)] + [[], [b"x"] * 40]
+    number = passages._WordHashes()
+    owner, key, code = passages.anchors(texts, number, 13)
+    for k, text in enumerate(texts):
+        _, own, codes = passages.anchors([text], number, 13)
+        assert own.tolist() == key[owner == k].tolist() and codes.tolist() == code[owner == k].tolist()
+        first, last = passages.decoded(codes)
+        assert [w for a, b in zip(first, last, strict=True) for w in range(a, b + 1)] == list(range(max(0, len(text) - 12)))
+
+
 def test_suffix_array_order():
     import numpy as np
 
