@@ -48,7 +48,7 @@ KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 # Bytes of text whose words are in memory at once, and anchors that are packed together.
 SLICE_BYTES = 4 << 20
-PACK_ANCHORS = 1 << 20
+PACK_ANCHORS = 1 << 18
 # Buckets that one pack is dealt over; more are reached in two steps.
 COARSE_BUCKETS = 1024
 
