@@ -6,7 +6,8 @@ is one candidate key. The universe of a cascade is every candidate key of the co
 listed keys, level two one of the other keys of the universe that pass level one, level three one of the listed keys that
 pass level two, and so on until no key passes wrongly; so every key of the universe is answered exactly, without a join.
 The first level's error rate is listed / (others * sqrt 2), which keeps the later levels as small as the list: a cascade
-takes about 1.44 * listed * log2(others / listed) bits, checked against ``max_bytes`` before it is built.
+takes about 1.44 * listed * log2(others / listed) bits. Where its first level would take more than ``max_bytes``, the keys are
+dealt into shards by a hash and each shard has a cascade of its own; the urls ask one shard's filters after the other's.
 
 Defined cases: a null url and a url without ``://`` have an empty host and path, fit no rule and get the method's verdict:
 ``allow``, as no key of theirs is listed. Of fitting rules the longest wins; a rule listed both ways blocks. Rules with a
@@ -19,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from appconv.llm.common import lower_ascii, staged, table
+from appconv.llm.common import lower_ascii, slices, staged, table
 
 MAX_BYTES = 64 << 20
 
@@ -68,11 +69,12 @@ def member(key: Column, levels: list[Level]) -> Column:
     return answer
 
 
-def _level(keys: DataFrame, number: int, count: int, rate: float, max_bytes: int) -> Level:
-    bits = 64 * max(1, math.ceil(count * math.log2(1 / rate) * math.log2(math.e) / 64))
-    if bits // 8 > max_bytes:
-        raise ValueError(f"a filter of {bits // 8} bytes is over the bound of {max_bytes}")
-    hashes = max(1, round(math.log2(1 / rate)))
+def filter_bits(count: int, rate: float) -> int:
+    return 64 * max(1, math.ceil(count * math.log2(1 / rate) * math.log2(math.e) / 64))
+
+
+def _level(keys: DataFrame, number: int, count: int, rate: float) -> Level:
+    bits, hashes = filter_bits(count, rate), max(1, round(math.log2(1 / rate)))
     position = F.explode(F.array(*_positions(F.col("key"), number, bits, hashes)))
     words = (
         keys.select(position.alias("position"))
@@ -80,28 +82,37 @@ def _level(keys: DataFrame, number: int, count: int, rate: float, max_bytes: int
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
     )
-    # At most bits / 64 rows, whatever the size of the corpus.
-    held = [0] * (bits // 64)
-    for word, value in words.collect():
-        held[word] = value
-    row = keys.sparkSession.createDataFrame([(held,)], "words array<bigint>")
-    return Level(number, bits, hashes, row)
+    # One row with bits / 64 words, which the bound on a shard's filters keeps small.
+    every = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    cells = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    row = every.agg(F.transform(cells, lambda c: c["bits"]).alias("words"))
+    return Level(number, bits, hashes, staged(row))
+
+
+def _first_rate(n_wanted: int, n_others: int) -> float:
+    return min(_LOWER_LEVELS, n_wanted / (max(1, n_others) * math.sqrt(2)))
 
 
-def build_cascade(universe: DataFrame, max_bytes: int = MAX_BYTES) -> list[Level]:
+def build_cascade(universe: DataFrame) -> list[Level]:
     """universe (key, listed), every key once -> the levels. What still passes wrongly is written for each level."""
     wanted, others = universe.filter("listed").select("key"), universe.filter(~F.col("listed")).select("key")
     n_wanted, n_others = wanted.count(), others.count()
     levels = []
     while n_wanted:
-        rate = _LOWER_LEVELS if levels else min(_LOWER_LEVELS, n_wanted / (max(1, n_others) * math.sqrt(2)))
-        levels.append(_level(wanted, len(levels) + 1, n_wanted, rate, max_bytes))
+        rate = _LOWER_LEVELS if levels else _first_rate(n_wanted, n_others)
+        levels.append(_level(wanted, len(levels) + 1, n_wanted, rate))
         wrongly = staged(others.filter(_passes(F.col("key"), levels[-1])))
         wanted, others = wrongly, wanted
         n_wanted, n_others = wanted.count(), n_wanted
     return levels
 
 
+def shard_count(universe: DataFrame, max_bytes: int) -> int:
+    """universe (key, block, allow) -> shards, so that the first filter of each takes at most about ``max_bytes``."""
+    n, *listed = universe.agg(F.count("*"), F.count_if("block"), F.count_if("allow")).first()
+    return max(slices(filter_bits(k, _first_rate(k, n - k)) // 8, max_bytes) if k else 1 for k in listed)
+
+
 def _candidates(shapes: list[tuple[int, int]]) -> list[Column]:
     labels = F.length("host") - F.length(F.replace("host", F.lit("."))) + 1
     return [
@@ -131,13 +142,21 @@ def judge(pages: DataFrame, rules: DataFrame, max_bytes: int = MAX_BYTES) -> Dat
         .select("key", F.coalesce(~F.col("allow"), F.lit(False)).alias("block"), F.coalesce("allow", F.lit(False)).alias("allow"))
     )
     universe = staged(universe)
-    blocked = build_cascade(universe.select("key", F.col("block").alias("listed")), max_bytes)
-    allowed = build_cascade(universe.select("key", F.col("allow").alias("listed")), max_bytes)
-    fitting = [
-        F.when(F.col(c).isNotNull(), F.when(member(F.col(c), blocked), "block").when(member(F.col(c), allowed), "allow"))
-        for c in (f"key{i}" for i in range(len(keys)))
-    ]
     found = urls.select("*", *[k.alias(f"key{i}") for i, k in enumerate(keys)])
+    shards = shard_count(universe, max_bytes)
+    shard = lambda key: F.pmod(F.xxhash64(key), F.lit(shards))
+    for s in range(shards):
+        own = universe.filter(shard("key") == s)
+        blocked = build_cascade(own.select("key", F.col("block").alias("listed")))
+        allowed = build_cascade(own.select("key", F.col("allow").alias("listed")))
+        for i in range(len(keys)):
+            key = F.col(f"key{i}")
+            answer = F.when(member(key, blocked), "block").when(member(key, allowed), "allow")
+            before = F.col(f"answer{i}") if s else F.lit(None)
+            found = found.withColumn(f"answer{i}", F.when(key.isNotNull() & (shard(key) == s), answer).otherwise(before))
+        # One shard's filters at a time are in memory.
+        found = staged(found) if shards > 1 else found
+    fitting = [F.col(f"answer{i}") for i in range(len(keys))]
     best = F.array_max(
         F.array(
             *[
