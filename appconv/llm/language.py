@@ -13,7 +13,6 @@ Defined cases: ``und`` with score 0 for a null text and for a text without lette
 labelled. A row without doc_id counts as held out. Rows are judged one by one, so repeated rows get equal results; other
 columns are kept by ``accepted``, ignored by ``identify``. An empty table gives no rows."""
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,12 +32,12 @@ UNITS = 12
 UPDATES = 160
 LANES = 256
 RATE = 0.02
-# Clean documents with long foreign or technical parts score low, so only near-even ones are turned away.
-LEAST_SCORE = 0.3
+# A document is accepted in a language that has at least half of the probability over its positions; below that no language
+# has the majority.
+LEAST_SCORE = 0.5
 UNKNOWN = "und"
 _SEED = 7
 _READ_LANES = 1024
-_LETTER = re.compile(r"[^\W\d_]")
 
 PREDICTED = "lang_pred string, score double"
 
@@ -204,9 +203,14 @@ def fit(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Netwo
     return train(rows, labels, languages)
 
 
+def has_letter(text: str) -> bool:
+    """A character of Unicode's letter categories; numbers in other shapes (², ½, ①, Ⅻ) are none."""
+    return any(map(str.isalpha, text))
+
+
 def predict(network: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    open_ = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if network.languages else []
+    open_ = [k for k, t in enumerate(texts) if t and has_letter(t)] if network.languages else []
     sums = np.zeros((len(open_), len(network.languages)))
     size = np.zeros(len(open_))
     held: list[np.ndarray] = []
