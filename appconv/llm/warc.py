@@ -51,7 +51,8 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
         .filter("copies > 1")
         .select("digest", "original")
     )
-    rows = rows.join(shared, "digest", "left")
+    # Staged: small lists are then broadcast, and of larger ones adaptive execution splits a payload that very many pages share.
+    rows = rows.join(staged(shared), "digest", "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     rows = rows.withColumn("revisit", revisit)
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
