@@ -209,7 +209,7 @@ def manifest(documents: DataFrame, found: Column | None = None, proof: str = "pr
     kind = documents.schema["doc_id"].dataType
     columns = ["doc_id", "source", leaf_digest(F.col("text")).alias("digest")]
     claimed = leaf_digest(F.col("text") if found is None else found).alias("claimed")
-    order = [F.col("source"), F.col("doc_id"), F.col("digest"), F.col("claimed")]
+    order = [F.col("source"), F.col("doc_id"), F.col("digest")]
     placed, sources = numbered_in_groups(sorted_rows(documents.select(*columns, claimed), order), "source")
     rounds = _rounds(staged(placed.withColumn("doc_id", F.col("doc_id").cast("string"))))
 

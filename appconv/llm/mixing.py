@@ -3,8 +3,9 @@
 Every document gets the key -ln(u) / w with u from a hash of its id and w its quality weight; the documents of a source with
 the smallest keys are a weighted sample without replacement. A source's words are taken in whole epochs as long as its target
 allows, what is left is filled in key order, and the document in which the target is reached gives only the words still
-missing. Prefix sums are taken over key ranges first and over documents only within the range where a target is reached,
-so a source with any share of the rows is spread over all tasks.
+missing. Rows are dealt by ranges of their keys, of about as many rows each whatever the weights are. Prefix sums are taken
+over the ranges first and over documents only within the range where a target is reached, so a source with any share of the
+rows is spread over all tasks.
 
 Defined cases: a null or empty text has no words and takes none; a null source is one source, ranked last; a null id has a
 key like any other id; rows that repeat an id have the same key and are ordered by size, and equal rows give equal rows.
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from appconv.llm.common import WORD, slices, staged, table
+from appconv.llm.order import sorted_rows
 from appconv.operators.ranking import ranked
 
 WEIGHTS = (5, 2, 1)
@@ -66,10 +68,7 @@ def mix(documents: DataFrame, weight: Column | None = None, range_rows: int = RA
     weight = quality_weight() if weight is None else weight
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     docs = staged(documents.select("doc_id", "source", size.alias("size"), sampling_key(weight).alias("key")))
-    ranges = slices(docs.count(), range_rows)
-    # Keys are spread over the ranges evenly where weights are 1.
-    place = F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int"))
-    docs = docs.withColumn("range", place)
+    docs = sorted_rows(docs, [F.col("key"), F.col("doc_id"), F.col("size")], slices(docs.count(), range_rows))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     targets = source_targets(docs).withColumn("epochs", epochs)
@@ -86,11 +85,11 @@ def mix(documents: DataFrame, weight: Column | None = None, range_rows: int = RA
     rows = (
         docs.alias("d")
         .join(bounds.alias("b"), F.expr("d.range = b.range and d.source <=> b.source"))
-        .selectExpr("doc_id", "d.source", "size", "key", "d.range", "start", "end", "source_size", "target", "epochs", "rest")
+        .selectExpr("doc_id", "d.source", "size", "at", "d.range", "start", "end", "source_size", "target", "epochs", "rest")
     )
     reached = (F.col("start") < F.col("rest")) & (F.col("rest") < F.col("end"))
     clear = rows.filter(~reached).withColumn("more", F.when(F.col("end") <= F.col("rest"), F.col("size")).otherwise(0))
-    order = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size")
+    order = Window.partitionBy("source", "range").orderBy("at")
     upto = F.col("start") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     missing = F.col("rest") - (F.col("upto") - F.col("size"))
     split = (

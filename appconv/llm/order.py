@@ -10,14 +10,14 @@ from appconv.llm.common import staged
 _RANGE_BITS = 33
 
 
-def sorted_rows(rows: DataFrame, order: list[Column]) -> DataFrame:
+def sorted_rows(rows: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
     """``rows``, staged, with ``at``: larger for later rows, with gaps between ranges, whose number is ``range``. Rows that are
     equal in ``order`` are dealt by where they come from, so that they need not fit one task; the caller sees that only
     equal rows are."""
     names = [f"_order_{k}" for k in range(len(order))]
     keyed = rows.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)], F.monotonically_increasing_id().alias("_tie"))
     keys = [F.col(n).asc_nulls_first() for n in names] + [F.col("_tie")]
-    dealt = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*names, "_tie")
+    dealt = keyed.repartitionByRange(*([ranges] if ranges else []), *keys).sortWithinPartitions(*keys).drop(*names, "_tie")
     at = F.monotonically_increasing_id()
     return staged(dealt.withColumn("at", at).withColumn("range", F.shiftright("at", _RANGE_BITS)))
 
