@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from appconv.llm import contamination, html_text, language, lines, mixing, near_copies, passages, quality, url_rules, warc
 from appconv.llm.lines import PerfectHash
 from appconv.llm.links import components
+from appconv.llm.order import sorted_rows
 from appconv.llm.suffix import suffix_array
 from tests.llm import brute
 
@@ -342,6 +343,21 @@ def test_mixing(spark, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_with_weights_far_from_one(spark):
+    """Low and uneven weights, one id on a third of the rows, a very long text: ranges stay even and targets are met."""
+    rows = [(7 if k % 3 == 0 else k, f"s{k % 2}", "a b " * (1 + k % 4)) for k in range(6000)] + [(9999, "s0", "w " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    weight = F.when(F.col("source") == "s0", 0.05).otherwise(0.4)
+    got = mixing.mix(docs, weight, range_rows=300).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    for source in ("s0", "s1"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+    keyed = docs.select("doc_id", F.lit(1).alias("size"), mixing.sampling_key(weight).alias("key"))
+    ranges = [r["count"] for r in sorted_rows(keyed, [F.col("key"), F.col("doc_id")], 20).groupBy("range").count().collect()]
+    assert max(ranges) < 3 * len(rows) / 20
+
+
 PAGES = "page_id long, url string, html string, digest int, text string, host string"
 
 
@@ -384,6 +400,30 @@ def test_warc(spark, pages, tmp_path):
     assert whole == members
 
 
+def test_a_payload_of_most_pages_is_split(spark):
+    """Pages with one payload do not all go to one task."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    body = F.when(F.col("id") % 2 == 0, F.repeat(F.lit("a"), 1500)).otherwise(F.concat(F.repeat(F.lit("b"), 1500), (F.col("id") % 500).cast("string")))
+    pages = spark.range(0, 6000, 1, 8).select(F.col("id").alias("page_id"), F.lit("http://x").alias("url"), body.alias("html"))
+    found = warc.records(pages)
+    assert found.count() == 6000
+    tasks = found.select(F.spark_partition_id().alias("p"), F.crc32(F.col("value").cast("binary")).alias("c"))
+    most = max(r["n"] for r in tasks.groupBy("p").agg(F.count("*").alias("n"), F.max("c")).collect())
+    found.collect()
+    assert "SortMergeJoin(skew=true)" in found._jdf.queryExecution().executedPlan().toString() and most < 2500
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_empty_archives(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], PAGES), f"file://{tmp_path}/streams")
     index = warc.normalise(spark, f"file://{tmp_path}/streams", f"file://{tmp_path}/members")
@@ -410,8 +450,28 @@ def test_cascade_is_exact(spark):
     levels = url_rules.build_cascade(keys)
     assert len(levels) > 2
     assert keys.filter(url_rules.member(F.col("key"), levels) != F.col("listed")).count() == 0
-    with pytest.raises(ValueError, match="over the bound"):
-        url_rules.build_cascade(keys, max_bytes=100)
+
+
+def test_large_rule_lists_are_sharded(spark):
+    """Filters beyond the bound: the same verdicts from several cascades. Repeated rows and very long urls."""
+    draw = random.Random(9)
+    hosts = [f"h{k}.example" for k in range(60)]
+    rules = spark.createDataFrame(
+        [(h, draw.choice(["", "/", "/a/"]), draw.choice(["block", "allow"])) for h in hosts if draw.random() < 0.6], "host string, path string, verdict string"
+    )
+    urls = [f"http://{draw.choice(['', 'www.'])}{draw.choice(hosts)}{draw.choice(['', '/', '/a/x', '/b?c'])}" for _ in range(300)]
+    urls += [f"http://{hosts[0]}/a/" + "x" * 200_000, "http://" + "y" * 100_000, urls[0], None]
+    rows = [(None if k == 5 else k % 250, u, None, 0, "t", "h") for k, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, PAGES)
+    universe = spark.range(1000).select(F.col("id").cast("string").alias("key"), (F.col("id") < 300).alias("block"), (F.col("id") > 800).alias("allow"))
+    assert url_rules.shard_count(universe, 16) > 3 and url_rules.shard_count(universe, 1 << 20) == 1
+    one = sorted(map(tuple, url_rules.judge(pages, rules).collect()), key=key)
+    several = sorted(map(tuple, url_rules.judge(pages, rules, max_bytes=8).collect()), key=key)
+    assert one == several and len(one) == len(urls)
+    listed = {r.host: (r.path, r.verdict) for r in rules.collect()}
+    for _, host, path, rule, verdict in one:
+        mine = listed.get(host.removeprefix("www."))
+        assert (rule, verdict) == ((host.removeprefix("www.") + mine[0], mine[1]) if mine and path.startswith(mine[0]) else (None, "allow"))
 
 
 def test_html_cases(spark, pages):
@@ -495,3 +555,28 @@ def test_html_of_broken_markup_is_read_in_one_pass():
     for page in ("<b>x</i>" * 130_000, "<b>x" * 250_000, "<p><i>x</b></p>" * 70_000, "<a title='x>" * 80_000):
         html_text.blocks(page)
     assert time.perf_counter() - start < 12
+
+
+def test_letters_are_those_of_the_letter_categories():
+    assert [language.has_letter(t) for t in ("²½①Ⅻ", "12 _.,!", "", "É", "1a", "ж", "漢", "ʰ")] == [False, False, False, True, True, True, True, True]
+
+
+def test_hit_at_the_end_of_a_very_long_text(spark):
+    item = prose(70, 30)
+    docs = spark.createDataFrame([(1, LONG.replace("\n", " ") + " " + item), (2, LONG), (3, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    found = contamination.find(docs, items, "found").withColumn("n_hit", contamination.n_hit("found"))
+    got = {r.doc_id: (r.found.n_words, r.n_hit, [tuple(h) for h in r.found.hits]) for r in found.collect()}
+    assert got == {1: (28030, 30, [(28000, 28030)]), 2: (28000, 0, []), 3: (30, 30, [(0, 30)])}
+
+
+@pytest.mark.parametrize("empty", ["documents", "benchmark"])
+def test_pipeline_on_empty_tables(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, prose(1, 40), "en", "s", 200), (2, None, "en", "s", None), (None, "", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    items = spark.createDataFrame([(1, prose(2, 20))], "item_id long, text string")
+    for name, table in (("documents", docs), ("benchmark", items)):
+        (table.limit(0) if name == empty else table).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [r.doc_id for r in got] == ([] if empty == "documents" else [1])
