@@ -35,10 +35,10 @@ from appconv.llm.suffix import narrow, suffix_array
 
 WINDOW = 13
 ANCHOR_WORDS = 5
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 BLOCK_SEGMENTS = 20_000
 HOT_SEGMENTS = 5_000
-_HELD_WORDS = 1 << 18
+_HELD_WORDS = 1 << 17
 
 PACKS = "coarse int, bucket int, anchors binary, docs binary, codes binary, passed_anchors binary, passed_docs binary, passed_codes binary"
 SHARED = "doc_id long, anchor long, code long"
@@ -47,7 +47,7 @@ SPANS = "doc_id long, text_hash long, start int, end int"
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 # Bytes of text whose words are in memory at once, and anchors that are packed together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 PACK_ANCHORS = 1 << 18
 # Buckets that one pack is dealt over; more are reached in two steps.
 COARSE_BUCKETS = 1024
@@ -398,8 +398,10 @@ def _shared_places(docs: DataFrame, window: int) -> DataFrame:
     packs = docs.mapInPandas(_packer(buckets if fine == 1 else slices(buckets, fine), 1, window), PACKS)
     if fine > 1:
         packs = packs.repartition("bucket").mapInPandas(_repacker(buckets, fine), PACKS)
-    shared = packs.groupBy("bucket").applyInPandas(_unpack, SHARED).distinct()
-    return shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("code").alias("codes"))
+    shared = packs.groupBy("bucket").applyInPandas(_unpack, SHARED)
+    # A place may be found in its pack and in its bucket.
+    places = shared.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "code")).alias("places"))
+    return places.select("doc_id", F.col("places.anchor").alias("anchors"), F.col("places.code").alias("codes"))
 
 
 def _parsed(segments: DataFrame, window: int, block_segments: int) -> DataFrame:
