@@ -398,10 +398,10 @@ def _shared_places(docs: DataFrame, window: int) -> DataFrame:
     packs = docs.mapInPandas(_packer(buckets if fine == 1 else slices(buckets, fine), 1, window), PACKS)
     if fine > 1:
         packs = packs.repartition("bucket").mapInPandas(_repacker(buckets, fine), PACKS)
-    shared = packs.groupBy("bucket").applyInPandas(_unpack, SHARED)
-    # A place may be found in its pack and in its bucket.
-    places = shared.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "code")).alias("places"))
-    return places.select("doc_id", F.col("places.anchor").alias("anchors"), F.col("places.code").alias("codes"))
+    # A place may be found in its pack and in its bucket. Staged, so that the groups' rows and the texts' shuffle are not in
+    # memory together.
+    shared = staged(packs.groupBy("bucket").applyInPandas(_unpack, SHARED)).distinct()
+    return shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("code").alias("codes"))
 
 
 def _parsed(segments: DataFrame, window: int, block_segments: int) -> DataFrame:
