@@ -15,7 +15,19 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_BYTES = bytes.maketrans(_UPPER.encode(), _UPPER.lower().encode())
 
 
+# What goes to a Python task at once ends at this size as well as at a number of rows, so that long texts do not add up.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Sets the session's bound on the bytes of a batch, unless it was set to something else than Spark's own."""
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batches_by_bytes(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

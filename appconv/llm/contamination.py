@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from appconv.llm.common import staged, table
+from appconv.llm.common import batches_by_bytes, staged, table
 from appconv.llm.suffix import narrow, spread, suffix_array
 
 WINDOW = 13
@@ -247,6 +247,7 @@ def is_contaminated(found: str) -> Column:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
+    batches_by_bytes(documents.sparkSession)
     name = "found"
     while name in documents.columns:
         name += "_"

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from appconv.llm.common import table
+from appconv.llm.common import batches_by_bytes, table
 
 FOLDS = 5
 SAMPLE_DOCUMENTS = 300
@@ -260,6 +260,7 @@ def identify(documents: DataFrame) -> DataFrame:
 
 def accepted(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents in a learned language, with their own columns."""
+    batches_by_bytes(documents.sparkSession)
     name = "found"
     while name in documents.columns:
         name += "_"

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from appconv.llm.common import LOWER_BYTES, SPACE_BYTES, slices, staged, table
+from appconv.llm.common import LOWER_BYTES, SPACE_BYTES, batches_by_bytes, slices, staged, table
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -226,6 +226,7 @@ def judge(documents: DataFrame, **options) -> DataFrame:
 
 def drop_repeated(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with the texts that are left; a column n_chars is brought up to date."""
+    batches_by_bytes(documents.sparkSession)
     others = [c for c in documents.columns if c not in ("doc_id", "text")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None)
     rows = _judged(documents.select("doc_id", "text", rest.alias("rest")), **options)

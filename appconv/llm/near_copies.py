@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from appconv.llm.common import LOWER_BYTES, staged, table
+from appconv.llm.common import LOWER_BYTES, batches_by_bytes, staged, table
 from appconv.llm.links import components
 
 SHINGLE_WORDS = 5
@@ -272,6 +272,7 @@ def group(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame
 
 def deduplicate(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``documents`` without those that another one of their group stands for."""
+    batches_by_bytes(documents.sparkSession)
     gone = group(documents, shingle_words).filter("not kept").select(F.col("doc_id").alias("gone"))
     return documents.join(gone.distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
 
