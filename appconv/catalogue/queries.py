@@ -384,7 +384,7 @@ def feed_preview(i: Inputs) -> DataFrame:
 
 
 def feed_counts(i: Inputs) -> DataFrame:
-    """Counts of the feed, taken while it is written."""
+    """Counts of the feed, taken from its staged files."""
     counts = lift.feed_counts()
     _, seen = stage_counted(i.feed(), run_folder(i.tables.spark), counts)
     return i.tables.spark.range(1).select(*[F.lit(seen[c]).cast("long").alias(c) for c in counts])

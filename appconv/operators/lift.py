@@ -212,7 +212,7 @@ def lift_feed(
 
 
 def feed_counts(missing: int = MISSING) -> dict[str, Column]:
-    """Counts to take while the feed is written: pairs, those of them that were co-owned and that have a bin, and their users."""
+    """Counts of a feed: pairs, those of them that were co-owned and that have a bin, and their users."""
     return {
         "pairs": F.count("*"),
         "co_owned": F.count_if(F.col("A1A0users") > 0),

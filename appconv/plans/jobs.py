@@ -93,8 +93,7 @@ def build_feed(
     mode: str = "errorifexists",
     compact: bool = False,
 ) -> Feed:
-    """Event logs, store-id mapping and requests to the staged owned apps and lift feed, whose pairs are counted while they are
-    written. With ``compact`` only co-owned pairs are kept, for catalogues whose pairs are too many to store."""
+    """Event logs, store-id mapping and requests to the staged owned apps and lift feed, whose pairs are counted. With ``compact`` only co-owned pairs are kept, for catalogues whose pairs are too many to store."""
     apps = stage_members(download, custom, purchase, app_map, requests, event_window, target_window, folder, mode)
     if compact:
         return Feed(apps.owned, compact_feed(apps.own, apps.tgt, min_users, distinct=True).staged(f"{folder}/feed", mode))

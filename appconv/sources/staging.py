@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from appconv.names import DATE
@@ -27,10 +27,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def stage_counted(df: DataFrame, path: str, counts: dict[str, Column], mode: str = "errorifexists") -> tuple[DataFrame, dict]:
-    """Stage and take ``counts`` (aggregates over all rows) in the pass that writes, instead of reading the table again."""
-    seen = Observation()
-    written = stage(df.observe(seen, *[c.alias(name) for name, c in counts.items()]), path, mode)
-    return written, seen.get
+    """Stage and take ``counts`` (aggregates over all rows), which read only their columns of the staged files. An observation
+    would count while writing, but a session that has used one cannot run the transformers of Spark ML any more: they
+    serialise the session, and its manager of observations cannot be."""
+    written = stage(df, path, mode)
+    return written, written.agg(*[c.alias(name) for name, c in counts.items()]).first().asDict()
 
 
 def stage_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
