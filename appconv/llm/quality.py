@@ -4,7 +4,8 @@ trusted, and a document is kept if its posterior probability of being good is hi
 The rules are native expressions over counts of the whole text. Documents are counted by their pattern of votes, of which
 there are at most 3 to the number of rules, however large the corpus; the estimate runs on these counts. Votes are taken
 as independent given the class: a rule that votes is right with an accuracy of its own for good and for bad documents, as a
-rule sees only its own kind of bad ones, and whether it votes says nothing.
+rule sees only its own kind of bad ones, and whether it votes says nothing. Shares and accuracies start at set values, which
+from then on weigh as much as one document or one vote; all else comes from the corpus.
 
 Defined cases: a null text has no words and fails the base rules, like every text of fewer than ``MIN_WORDS`` words. Rows
 are judged one by one, so repeated rows get equal results; other columns are ignored. An empty table gives no rows."""
@@ -21,13 +22,11 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 THRESHOLD = 0.5
-ITERATIONS = 50
+# The estimate ends when no share or accuracy moves by more than this, or after so many rounds.
+STEADY, ITERATIONS = 1e-9, 500
+# Rules seldom speak against good documents, and each finds only its own kind of bad ones.
 START_SHARE = 0.8
 START_ON_GOOD, START_ON_BAD = 0.98, 0.3
-# Bounds: rules seldom speak against good documents, and each finds only its own kind of bad ones.
-ON_GOOD = (0.97, 0.999)
-ON_BAD = (0.05, 0.95)
-LEAST_SHARE, MOST_SHARE = 0.02, 0.98
 # Window hashes that a text holds twice or more, up to which a text's windows are looked up in them one after the other.
 FEW = 64
 
@@ -126,10 +125,10 @@ def _weights(right_on_good: list[float], right_on_bad: list[float]) -> list[tupl
 
 def estimate(patterns: list[tuple[tuple[int | None, ...], int]], names: list[str]) -> Model:
     """Expectation-maximisation over (votes, documents)."""
-    share = START_SHARE
-    right = [[START_ON_GOOD] * len(names), [START_ON_BAD] * len(names)]
+    start = [[START_ON_GOOD] * len(names), [START_ON_BAD] * len(names)]
+    share, right = START_SHARE, start
     total = sum(n for _, n in patterns)
-    for _ in range(ITERATIONS if total else 0):
+    for _ in range(ITERATIONS):
         prior, weight = math.log(share / (1 - share)), _weights(*right)
         good = 0.0
         hits = [[0.0] * len(names), [0.0] * len(names)]
@@ -143,11 +142,13 @@ def estimate(patterns: list[tuple[tuple[int | None, ...], int]], names: list[str
                     cast[0][j] += n * p
                     cast[1][j] += n * (1 - p)
                     hits[1 - v][j] += n * (p if v else 1 - p)
-        share = min(MOST_SHARE, max(LEAST_SHARE, good / total))
+        before = [share, *right[0], *right[1]]
+        share = (good + START_SHARE) / (total + 1)
         right = [
-            [min(most, max(least, (h + s) / (c + 1))) for h, c in zip(hits[k], cast[k], strict=True)]
-            for k, (least, most, s) in enumerate(((*ON_GOOD, START_ON_GOOD), (*ON_BAD, START_ON_BAD)))
+            [(h + s) / (c + 1) for h, c, s in zip(*of_class, strict=True)] for of_class in zip(hits, cast, start, strict=True)
         ]
+        if max(abs(x - y) for x, y in zip(before, [share, *right[0], *right[1]], strict=True)) < STEADY:
+            break
     return Model(share, dict(zip(names, right[0], strict=True)), dict(zip(names, right[1], strict=True)))
 
 

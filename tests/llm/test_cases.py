@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,6 +296,45 @@ def test_estimate_finds_the_accuracies():
     assert all(math.isclose(model.right_on_bad[n], b, abs_tol=0.06) for n, b in zip("abcd", (0.8, 0.6, 0.7, 0.5), strict=True))
 
 
+def plain_estimate(patterns, rounds=2000):
+    """Expectation-maximisation without priors, in numpy: share, how often each rule says good and bad in each class."""
+    votes = np.array([[-1 if v is None else v for v in p] for p, _ in patterns])
+    n = np.array([c for _, c in patterns], float)
+    share, says_good = 0.8, np.array([np.full(votes.shape[1], 0.98), np.full(votes.shape[1], 0.7)])
+    for _ in range(rounds):
+        logs = np.stack(
+            [np.where(votes == 1, np.log(g + 1e-300), np.where(votes == 0, np.log(1 - g + 1e-300), 0)).sum(1) for g in says_good]
+        )
+        p = 1 / (1 + np.exp(np.clip(np.log(1 - share) + logs[1] - np.log(share) - logs[0], -700, 700)))
+        share = (n * p).sum() / n.sum()
+        for k, w in enumerate((n * p, n * (1 - p))):
+            says_good[k] = (w[:, None] * (votes == 1)).sum(0) / (w[:, None] * (votes >= 0)).sum(0)
+    return share, says_good, dict(zip([v for v, _ in patterns], p, strict=True))
+
+
+def test_estimate_is_that_of_plain_expectation_maximisation(spark):
+    names = list(quality.rules())
+    counted = quality.counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    grouped = counted.select(*[v.alias(n) for n, v in quality.rules().items()]).groupBy(*names).count().collect()
+    patterns = [(tuple(r[n] for n in names), r["count"]) for r in sorted(grouped, key=str)]
+    model = quality.estimate(patterns, names)
+    share, says_good, kept = plain_estimate(patterns)
+    assert math.isclose(model.share, share, abs_tol=0.005)
+    for j, name in enumerate(names):
+        assert math.isclose(model.right_on_good[name], says_good[0][j], abs_tol=0.005)
+        assert math.isclose(model.right_on_bad[name], 1 - says_good[1][j], abs_tol=0.02)
+    judged = spark.createDataFrame([p for p, _ in patterns], ", ".join(f"{n} int" for n in names))
+    got = {tuple(r[n] for n in names): r.p for r in judged.withColumn("p", quality.posterior(model)).collect()}
+    assert {v: p >= 0.5 for v, p in got.items()} == {v: p >= 0.5 for v, p in kept.items()}
+
+
+def test_estimate_where_all_votes_agree_or_none_is_cast():
+    for patterns in ([], [((1, 1, 1), 10**12)], [((0, 0, 0), 10**12)], [((None, None, None), 7)]):
+        model = quality.estimate(patterns, list("abc"))
+        values = [model.share, *model.right_on_good.values(), *model.right_on_bad.values()]
+        assert all(0 < v < 1 for v in values)
+
+
 def test_language(spark, documents, nothing, texts):
     found = language.identify(documents).collect()
     assert sorted(key((r.doc_id,)) for r in found) == sorted(key((i,)) for i, _ in texts)
