@@ -3,14 +3,17 @@
 The words of a batch of documents become one array of word numbers, cut into shards. Each shard gets a suffix array, in
 which every suffix of every benchmark item is searched by halving: a range of suffixes that share the first words is
 narrowed word by word, for all benchmark suffixes in step. The range at a window's length holds every occurrence of the
-window; the deepest range that is not empty is the longest verbatim match, with its locations. Words outside the
-benchmark's vocabulary break the array, and suffixes too short before the next break to hold a window are not indexed.
+window. Occurrences that do not go on to the left are followed to the right as far as the words agree: these are the verbatim
+matches that nothing makes longer. They give the hit words, the items and the longest match of each document with its place,
+and by them documents are removed. Words outside the benchmark's vocabulary break the array, and suffixes too short before the
+next break to hold a window are not indexed.
 
 The benchmark is a stated query set. It is read in blocks of bounded size, each against all documents; documents are never
 joined or shuffled.
 
 Defined cases: a null or empty text has no words, no hits and is never contaminated. Items without words have no windows; an
-item without item_id hits words but is not counted among the items; item_ids count once. Documents are judged row by row, so
+item without item_id hits words but is not counted among the items; item_ids count once. Of equally long matches the first in
+the document counts, then the smallest item_id (null last), then the first in the item; without any it is null. Documents are judged row by row, so
 repeated rows get equal results, and other columns are kept as they are. An empty table gives no rows, an empty benchmark no
 hits."""
 
@@ -37,7 +40,8 @@ _WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 
-FOUND = "n_words long, hits array<struct<start: int, end: int>>, items array<string>"
+PLACE = "length: int, doc_at: int, item_id: string, item_at: int"
+FOUND = f"n_words long, hits array<struct<start: int, end: int>>, items array<string>, longest struct<{PLACE}>"
 LONGEST = "item_id string, item_at int, length int, doc_id long, doc_at int"
 
 
@@ -60,6 +64,7 @@ class Block(NamedTuple):
     at: np.ndarray
     starts: np.ndarray
     widths: np.ndarray
+    rank: np.ndarray  # of each item's name
 
     @classmethod
     def of(cls, items: list[tuple[str | None, str]], window: int) -> "Block":
@@ -74,8 +79,11 @@ class Block(NamedTuple):
             ids += [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words] + [0]
             item += [number] * (len(words) + 1)
             at += range(len(words) + 1)
+        names = [n for n, _ in items]
+        places = {n: k for k, n in enumerate(sorted(set(names), key=lambda n: (n is None, n or "")))}
+        rank = [places[n] for n in names]
         whole = lambda x: np.array(x, np.int64)
-        return cls(_Vocabulary(vocabulary), [n for n, _ in items], *map(whole, (ids, item, at, starts, widths)))
+        return cls(_Vocabulary(vocabulary), names, *map(whole, (ids, item, at, starts, widths, rank)))
 
 
 class Shard(NamedTuple):
@@ -147,31 +155,76 @@ def _occurrences(shard: Shard, block: Block) -> Iterator[tuple[np.ndarray, np.nd
         begun = end
 
 
-def _found(texts: list[str | None], block: Block) -> list[tuple[int, list, list]]:
+class Match(NamedTuple):
+    length: int
+    doc_at: int
+    item_id: str | None
+    item_at: int
+
+    def worth(self) -> tuple:
+        return -self.length, self.doc_at, self.item_id is None, self.item_id or "", self.item_at
+
+
+def _matches(shard: Shard, block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in the shard, places in the block and lengths of the matches that nothing makes longer."""
+    for places, windows in _occurrences(shard, block):
+        starts = block.starts[windows]
+        # Both arrays end with a break, which is also what comes before their first word.
+        before = shard.ids[places - 1]
+        begins = (before == 0) | (before != block.ids[starts - 1])
+        places, starts, length = places[begins], starts[begins], block.widths[windows][begins]
+        active = np.arange(places.size)
+        while active.size:
+            at = length[active]
+            word = block.ids[starts[active] + at]
+            active = active[(word > 0) & (word == shard.ids[places[active] + at])]
+            length[active] += 1
+        yield places, starts, length
+
+
+def _longest_of_each(held: np.ndarray) -> np.ndarray:
+    """Of rows (doc, -length, place in the document, rank of the item, place in the item, item) the first of each document."""
+    held = held[np.lexsort(held.T[::-1])]
+    return held[np.flatnonzero(np.diff(held[:, 0], prepend=-1))]
+
+
+def _found(texts: list[str | None], block: Block) -> list[tuple[int, list, list, Match | None]]:
     out = []
     for _, shard in _shards(texts, block):
         cover = np.zeros(shard.ids.size + 1, np.int64)
         pairs = [np.zeros(0, np.int64)]
-        for places, windows in _occurrences(shard, block):
+        best = np.zeros((0, 6), np.int64)
+        for places, starts, length in _matches(shard, block):
             np.add.at(cover, places, 1)
-            np.add.at(cover, places + block.widths[windows], -1)
-            docs = np.searchsorted(shard.first, places, side="right") - 1
-            pairs.append(np.unique(docs * len(block.names) + block.item[block.starts[windows]]))
+            np.add.at(cover, places + length, -1)
+            docs, item = np.searchsorted(shard.first, places, side="right") - 1, block.item[starts]
+            pairs.append(np.unique(docs * len(block.names) + item))
+            rows = np.stack([docs, -length, places - shard.first[docs], block.rank[item], block.at[starts], item], axis=1)
+            best = _longest_of_each(np.concatenate([best, rows]))
         hit = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
         begins, ends = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(hit[:-1] & ~hit[1:])
         span_doc = np.searchsorted(shard.first, begins, side="right") - 1
         spans: list[list] = [[] for _ in shard.lengths]
         items: list[list] = [[] for _ in shard.lengths]
+        longest: list[Match | None] = [None] * shard.lengths.size
         for doc, a, b in zip(span_doc.tolist(), begins.tolist(), ends.tolist(), strict=True):
             spans[doc].append((a - int(shard.first[doc]), b - int(shard.first[doc])))
         for pair in np.unique(np.concatenate(pairs)).tolist():
             doc, item = divmod(pair, len(block.names))
             if block.names[item] is not None:
                 items[doc].append(block.names[item])
-        out += [(int(n), s, sorted(set(i))) for n, s, i in zip(shard.lengths, spans, items, strict=True)]
+        for doc, less, doc_at, _, item_at, item in best.tolist():
+            longest[doc] = Match(-less, doc_at, block.names[item], item_at)
+        out += [
+            (int(n), s, sorted(set(i)), m) for n, s, i, m in zip(shard.lengths, spans, items, longest, strict=True)
+        ]
     return out
 
 
+def _longer(one: Match | None, other: Match | None) -> Match | None:
+    return min((m for m in (one, other) if m), key=Match.worth, default=None)
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -198,10 +251,16 @@ def _finder(block: Block, first: bool) -> Column:
         for text, *earlier in batches:
             rows = _found(text.tolist() if len(text) else [], block)
             if earlier:
+                old = earlier[0]
                 rows = [
-                    (n, _merged(spans + [(int(s["start"]), int(s["end"])) for s in old_spans]), sorted({*items, *old_items}))
-                    for (n, spans, items), old_spans, old_items in zip(
-                        rows, earlier[0]["hits"], earlier[0]["items"], strict=True
+                    (
+                        n,
+                        _merged(spans + [(int(s["start"]), int(s["end"])) for s in old_spans]),
+                        sorted({*items, *old_items}),
+                        _longer(match, old_match and Match(*(old_match[f] for f in Match._fields))),
+                    )
+                    for (n, spans, items, match), old_spans, old_items, old_match in zip(
+                        rows, old["hits"], old["items"], old["longest"], strict=True
                     )
                 ]
             yield pd.DataFrame(
@@ -209,6 +268,7 @@ def _finder(block: Block, first: bool) -> Column:
                     "n_words": np.array([r[0] for r in rows], "int64"),
                     "hits": [[{"start": a, "end": b} for a, b in r[1]] for r in rows],
                     "items": [r[2] for r in rows],
+                    "longest": pd.Series([r[3] and r[3]._asdict() for r in rows], dtype="object"),
                 }
             )
 
@@ -226,7 +286,8 @@ def _finder(block: Block, first: bool) -> Column:
 
 
 def find(documents: DataFrame, benchmark: DataFrame, column: str, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``documents`` with a struct ``column``: n_words, hits (spans of hit words), items (ids, sorted as strings)."""
+    """``documents`` with a struct ``column``: n_words, hits (spans of hit words), items (ids, sorted as strings),
+    longest (length and places, in words, of the longest verbatim match)."""
     rows, first = documents, True
     for block in blocks(benchmark, window, block_bytes):
         if first:
@@ -303,6 +364,10 @@ def op3_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("found.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
         is_contaminated("found").alias("contaminated"),
+        F.col("found.longest.length").cast("long").alias("longest_match"),
+        F.col("found.longest.doc_at").cast("long").alias("longest_doc_at"),
+        F.col("found.longest.item_id").alias("longest_item_id"),
+        F.col("found.longest.item_at").cast("long").alias("longest_item_at"),
     )
 
 
@@ -317,10 +382,10 @@ ORACLE = {
                 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
             from benchmark
         ), windows as (
-            select distinct item_id, width, array_to_string(words[k:k + width - 1], ' ') as seq
+            select distinct item_id, width, j, array_to_string(words[j:j + width - 1], ' ') as seq
             from (
                 select item_id, words, least(13, len(words)) as width,
-                    unnest(generate_series(1, len(words) - least(13, len(words)) + 1)) as k
+                    unnest(generate_series(1, len(words) - least(13, len(words)) + 1)) as j
                 from item_words where len(words) > 0
             )
         ), widths as (
@@ -332,17 +397,26 @@ ORACLE = {
                 from doc_words, widths where len(words) >= width
             )
         ), occurring as (
-            select doc_id, item_id, width, k from places join windows using (width, seq)
+            select doc_id, item_id, width, k, j from places join windows using (width, seq)
         ), hit as (
             select doc_id, count(distinct w) as n_hit
             from (select doc_id, unnest(generate_series(k, k + width - 1)) as w from occurring) group by doc_id
         ), found as (
             select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
             from (select distinct doc_id, item_id::varchar as item from occurring) group by doc_id
+        ), matches as (
+            select doc_id, item_id::varchar as item, max(k) - min(k) + width as length, min(k) - 1 as doc_at, min(j) - 1 as item_at
+            from (
+                select *, k - row_number() over (partition by doc_id, item_id, width, k - j order by k) as run from occurring
+            ) group by doc_id, item_id, width, k - j, run
+        ), longest as (
+            select * from matches
+            qualify row_number() over (partition by doc_id order by length desc, doc_at, item nulls last, item_at) = 1
         )
         select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
             sha256(coalesce(items, '')) as items_sha256,
-            coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
-        from doc_words left join hit using (doc_id) left join found using (doc_id)
+            coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated, length as longest_match,
+            doc_at as longest_doc_at, item as longest_item_id, item_at as longest_item_at
+        from doc_words left join hit using (doc_id) left join found using (doc_id) left join longest using (doc_id)
     """
 }

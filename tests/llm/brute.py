@@ -82,9 +82,12 @@ def lines(rows, min_chars=20, min_documents=3):
     return out
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
 def contamination(text, items, window=13):
     """text, [(id, text)] -> words, hit words, ids."""
-    words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     words, hit, found = words_of(text), set(), set()
     for name, item in items:
         own = words_of(item)
@@ -97,3 +100,22 @@ def contamination(text, items, window=13):
                     hit |= set(range(at, at + width))
                     found.add(str(name))
     return len(words), len(hit), sorted(found)
+
+
+def longest_match(text, items, window=13):
+    """(length, place, item, place in the item) of the longest match that holds a window, of equals the first; None without."""
+    words, best = words_of(text), []
+    for item, item_text in items:
+        theirs = words_of(item_text)
+        least = min(window, len(theirs))
+        for i in range(len(words)):
+            for j in range(len(theirs)):
+                n = 0
+                while i + n < len(words) and j + n < len(theirs) and words[i + n] == theirs[j + n]:
+                    n += 1
+                if theirs and n >= least:
+                    best.append((-n, i, item is None, str(item), j))
+    if not best:
+        return None
+    n, i, nameless, item, j = min(best)
+    return -n, i, None if nameless else item, j

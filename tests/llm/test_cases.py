@@ -256,6 +256,27 @@ def contamination_of(text, items):
     )
 
 
+def test_longest_match_of_each_document(spark):
+    draw = random.Random(4)
+    one, two = (prose(k, 40).split() for k in (31, 32))
+    items = [(7, " ".join(one)), (10, " ".join(two)), (9, " ".join(two)), (None, " ".join(one[:20])), (3, "Lone Word"), (5, "a " * 30), (6, None)]
+    texts = [None, "", "lone word", " ".join(one), " ".join(two[:13]), " ".join(two[:12]), "a " * 50, "a, A; " * 8]
+    for _ in range(40):
+        parts = []
+        for _ in range(4):
+            source, i = draw.choice((one, two)), draw.randrange(30)
+            parts += source[i : i + draw.randrange(5, 30)] + ["other"] * draw.randrange(2)
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {i: brute.longest_match(t, items) for i, t in enumerate(texts)}
+    for block_bytes in (1 << 20, 100):
+        found = contamination.find(docs, benchmark, "found", block_bytes=block_bytes).collect()
+        assert len(found) == len(texts) + 1
+        for r in found:
+            assert (tuple(r.found.longest) if r.found.longest else None) == want[r.doc_id], texts[r.doc_id]
+
+
 def test_longest_matches(spark):
     item = prose(8, 40).split()
     docs = [(5, " ".join(["x", *item[10:30], "y"])), (2, " ".join(["z", "z", *item[10:30]])), (9, " ".join(item[12:26]))]
