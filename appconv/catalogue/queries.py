@@ -45,6 +45,9 @@ class Inputs:
     def requests(self) -> DataFrame:
         return self.tables.requests()
 
+    def members(self) -> DataFrame:
+        return events.cohort_members(self.tables.cohort_rows())
+
     def window_requests(self) -> DataFrame:
         return self.tables.requests(W.TRAIN_START, W.TEST_DAY)
 
@@ -63,10 +66,10 @@ class Inputs:
         return events.mapped_downloads(lines, self.app_map())
 
     def own(self) -> DataFrame:
-        return events.cohort_apps(self.owned(), self.requests())
+        return events.cohort_apps(self.owned(), self.members(), distinct=True)
 
     def tgt(self) -> DataFrame:
-        return events.cohort_apps(self.lately(), self.requests())
+        return events.cohort_apps(self.lately(), self.members(), distinct=True)
 
     def bags(self) -> DataFrame:
         return bags.app_bags(self.owned())
@@ -79,7 +82,7 @@ class Inputs:
     def _members(self) -> Members:
         lines = [self.tables.event_lines((kind,), end=W.TARGET_END) for kind in (DOWNLOAD, CUSTOM, PURCHASE)]
         windows = ((W.FIRST_DAY, W.OWNED_END), (W.TARGET_START, W.TARGET_END))
-        return stage_members(*lines, self.app_map(), self.requests(), *windows, self._folder)
+        return stage_members(*lines, self.app_map(), self.tables.cohort_rows(), *windows, self._folder)
 
     @cached_property
     def _window(self) -> Window:
@@ -335,11 +338,11 @@ def cohort_reach(i: Inputs) -> DataFrame:
 
 
 def app_users(i: Inputs) -> DataFrame:
-    return lift.app_users(i.own())
+    return lift.app_users(i.own(), distinct=True)
 
 
 def target_users(i: Inputs) -> DataFrame:
-    return lift.target_users(i.tgt())
+    return lift.target_users(i.tgt(), distinct=True)
 
 
 def eligible_pairs(i: Inputs) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from appconv.functions import known_ids
-from appconv.names import REQUEST_COLUMNS
+from appconv.names import COHORT, REQUEST_COLUMNS, UID
 
 DOWNLOAD, CUSTOM, PURCHASE = "N", "A", "R"
 ALL_KINDS = (DOWNLOAD, CUSTOM, PURCHASE)
@@ -57,6 +57,14 @@ class OrderTables:
             )
             .distinct()
         )
+        return self._of_customers(orders).select(*REQUEST_COLUMNS)
+
+    def cohort_rows(self) -> DataFrame:
+        """The cohort and user of all requests, without the columns that only make more of them; duplicates included."""
+        orders = self._orders(None, None).select("o_custkey", F.col("o_orderstatus").alias("device_os_id")).distinct()
+        return self._of_customers(orders).select(*COHORT, UID)
+
+    def _of_customers(self, orders: DataFrame) -> DataFrame:
         customers = (
             self._table("customer")
             .join(self._table("nation").select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -68,11 +76,8 @@ class OrderTables:
                 F.when(F.col("c_acctbal") < 0, "3").otherwise("1").alias("device_type_id"),
             )
         )
-        return (
-            orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-            .withColumn("request_uid", F.col("o_custkey").cast("string"))
-            .select(*REQUEST_COLUMNS)
-        )
+        rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        return rows.withColumn("request_uid", F.col("o_custkey").cast("string"))
 
     def event_lines(
         self, kinds: Iterable[str] = ALL_KINDS, start: str | None = None, end: str | None = None
