@@ -89,7 +89,7 @@ def compact_feed(
     own: DataFrame, tgt: DataFrame, min_users: int = lift.MIN_USERS, distinct: bool = False, legacy_nan: bool = False
 ) -> CompactFeed:
     owned, targets, together = lift.pair_parts(own, tgt, min_users, distinct)
-    return CompactFeed(owned, cut_lineage(targets), cut_lineage(together), legacy_nan)
+    return CompactFeed(owned, cut_lineage(targets), together, legacy_nan)
 
 
 def _bit(slot: Column) -> Column:

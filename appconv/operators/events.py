@@ -11,12 +11,13 @@ from appconv.functions import in_window
 from appconv.names import APP, COHORT, DATE, REQUEST_COLUMNS, STORE_ID, UID
 
 
-def union_events(*kinds: DataFrame, window: tuple[str, str] | None = None) -> DataFrame:
-    """Set union of event tables (download, custom, purchase), optionally within a closed window."""
+def union_events(*kinds: DataFrame, window: tuple[str, str] | None = None, repeats: bool = False) -> DataFrame:
+    """Set union of event tables (download, custom, purchase), optionally within a closed window. With ``repeats`` they stay,
+    for a next step that drops them anyway, such as ``owned_apps``."""
     events = reduce(DataFrame.unionByName, [k.select(UID, STORE_ID, DATE) for k in kinds])
     if window:
         events = in_window(events, DATE, *window)
-    return events.distinct()
+    return events if repeats else events.distinct()
 
 
 def map_store_ids(events: DataFrame, app_map: DataFrame) -> DataFrame:
@@ -71,9 +72,10 @@ def cohort_apps(owned: DataFrame, requests: DataFrame, distinct: bool = False) -
     return members.join(apps, UID).select(*COHORT, UID, APP)
 
 
-def attribute_downloads(downloads: DataFrame, requests: DataFrame) -> DataFrame:
-    """Downloads with the request tuples of the same user on the same day."""
+def attribute_downloads(downloads: DataFrame, requests: DataFrame, distinct: bool = False) -> DataFrame:
+    """Downloads with the request tuples of the same user on the same day. ``distinct`` says that both inputs are already."""
     rest = [c for c in REQUEST_COLUMNS if c not in (UID, DATE)]
-    left = downloads.select(DATE, UID, APP).distinct()
-    right = requests.select(*REQUEST_COLUMNS).distinct()
+    left, right = downloads.select(DATE, UID, APP), requests.select(*REQUEST_COLUMNS)
+    if not distinct:
+        left, right = left.distinct(), right.distinct()
     return left.join(right, [DATE, UID]).select(DATE, UID, APP, *rest)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from appconv.functions import clip_slot, log_bin
 from appconv.names import APP, BIN, COHORT, FEED_COLUMNS, OWNED, TARGET, UID
-from appconv.operators.skew import USER_PAIRS, heavy_users
+from appconv.operators.skew import USER_PAIRS, split_bags
 from appconv.sources.staging import cut_lineage
 
 # An app is eligible from this many users in a cohort; missing numbers are stored as this sentinel.
@@ -19,6 +19,9 @@ MISSING = -999
 SLICE_PAIRS = 250_000
 TASK_SLICES = 4
 
+# The user goes first: sorts compare the start of the first key, and cohorts are few.
+_USER = [UID, *COHORT]
+
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -110,24 +113,40 @@ def eligible_pairs(
     return _pair_universe(owned.select(*COHORT, OWNED), wanted.select(*COHORT, TARGET))
 
 
+def _numbered(apps: DataFrame, app: str, number: str) -> DataFrame:
+    """Eligible apps with a number for each (cohort, app); staged, as another run could give other numbers."""
+    return cut_lineage(apps.select(*COHORT, app).withColumn(number, F.monotonically_increasing_id()))
+
+
+def _bags(df: DataFrame, apps: DataFrame, app: str, number: str, bag: str, distinct: bool) -> DataFrame:
+    """One row per (cohort, user): the numbers of the user's eligible apps, none for a user without any."""
+    rows = df.select(*COHORT, F.col(APP).alias(app), UID)
+    for column in (*COHORT, UID):
+        rows = rows.filter(F.col(column).isNotNull())
+    rows = rows if distinct else rows.distinct()
+    return rows.join(apps, [*COHORT, app], "left").groupBy(*_USER).agg(F.collect_list(number).alias(bag))
+
+
 def _co_users(
     own: DataFrame, tgt: DataFrame, owned_apps: DataFrame, target_apps: DataFrame, distinct: bool, user_pairs: int = USER_PAIRS
-) -> DataFrame:
-    owned = _members(own, OWNED, distinct).join(owned_apps, [*COHORT, OWNED], "left_semi")
-    wanted = _members(tgt, TARGET, distinct).join(target_apps, [*COHORT, TARGET], "left_semi")
-    owned, wanted = cut_lineage(owned), cut_lineage(wanted)
-    heavy = heavy_users(owned, wanted, [*COHORT, UID], user_pairs)
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = owned.join(heavy, [*COHORT, UID], "left").withColumn("part", F.pmod(F.xxhash64(OWNED), parts).cast("int"))
-    copied = wanted.join(heavy, [*COHORT, UID], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return (
-        dealt.drop("parts")
-        .repartition(_partitions(own), *COHORT, UID, "part")
-        .join(copied.drop("parts"), [*COHORT, UID, "part"])
+) -> tuple[DataFrame, DataFrame]:
+    """The co-owned pairs, and the owners per cohort, which come from the same bags."""
+    owned_apps, target_apps = _numbered(owned_apps, OWNED, "o"), _numbered(target_apps, TARGET, "t")
+    owners = cut_lineage(_bags(own, owned_apps, OWNED, "o", "owned", distinct))
+    wanted = _bags(tgt, target_apps, TARGET, "t", "wanted", distinct).filter(F.size("wanted") > 0)
+    both = cut_lineage(split_bags(owners.filter(F.size("owned") > 0).join(wanted, _USER), "owned", "wanted", user_pairs))
+    # Tasks of one cohort, or few, know few pairs, so that counting them in place leaves little to shuffle.
+    dealt = both.repartitionByRange(_partitions(own), *COHORT, F.xxhash64(UID, "part"))
+    pairs = dealt.select("owned", F.explode("wanted").alias("t")).select("t", F.explode("owned").alias("o"))
+    together = (
+        pairs.groupBy("t", "o")
+        .agg(F.count("*").alias("A1A0users"))
+        .join(owned_apps, "o")
+        .join(target_apps.select("t", TARGET), "t")
         .filter(F.col(OWNED) != F.col(TARGET))
-        .groupBy(*COHORT, TARGET, OWNED)
-        .agg(F.count(UID).alias("A1A0users"))
+        .select(*COHORT, TARGET, OWNED, "A1A0users")
     )
+    return together, owners.groupBy(*COHORT).agg(F.count(UID).alias("RONusers"))
 
 
 def co_users(
@@ -135,36 +154,38 @@ def co_users(
 ) -> DataFrame:
     """Users per cohort who own a1 and converted on a0, for eligible pairs with at least one such user.
 
-    Both sides are cut down to eligible apps before they meet: a user with n owned and m target apps yields n*m rows
-    in the join, which are counted in the same task before anything is shuffled again. A user with more than
-    ``user_pairs`` of them is split exactly: the owned apps are dealt over parts and the targets copied to each part. The
-    owned side is laid out by user and part with the full number of partitions, whatever the size of its input, because
-    the work grows with the pairs and not with the bytes read."""
-    return _co_users(own, tgt, *_lists(own, tgt, min_users, distinct), distinct, user_pairs)
+    Both sides become one bag of numbers of eligible apps per (cohort, user) before they meet: a user with n owned and m
+    target apps makes n*m pairs of numbers, which are counted in the same task before anything is shuffled again. A user with
+    more than ``user_pairs`` of them is split exactly: the owned apps are dealt over parts and the targets copied to each part.
+    Bags are laid out by ranges of cohort and user with the full number of partitions, whatever the size of their input,
+    because the work grows with the pairs and not with the bytes read."""
+    return _co_users(own, tgt, *_lists(own, tgt, min_users, distinct), distinct, user_pairs)[0]
 
 
 def pair_parts(own: DataFrame, tgt: DataFrame, min_users: int, distinct: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What the pair table is made of: eligible owned apps, eligible targets with their totals, and the co-owned pairs.
+    """What the pair table is made of: eligible owned apps, eligible targets with their totals, and the co-owned pairs,
+    which are staged.
 
     The totals need no window over the pairs. The co-users of a target are summed over the pairs that have any; the
     users of its partners are the cohort's sum over eligible owned apps, less the target's own users when it is one of
     them."""
     owned, wanted = _lists(own, tgt, min_users, distinct)
-    together = _co_users(own, tgt, owned, wanted, distinct)
+    together, reach = _co_users(own, tgt, owned, wanted, distinct)
+    together = cut_lineage(together)
 
     co_totals = together.groupBy(*COHORT, TARGET).agg(F.sum("A1A0users").alias("A1A0usersAggTarget"))
     cohort_totals = owned.groupBy(*COHORT).agg(F.sum("A1users").alias("all_users"))
     same_app = owned.select(*COHORT, F.col(OWNED).alias(TARGET), F.col("A1users").alias("own_users"))
     totals = (
         wanted.join(cohort_totals, COHORT)
-        .join(cohort_reach(own), COHORT)
+        .join(reach, COHORT, "left")
         .join(same_app, [*COHORT, TARGET], "left")
         .join(co_totals, [*COHORT, TARGET], "left")
         .select(
             *COHORT,
             TARGET,
             "A0users",
-            "RONusers",
+            F.coalesce("RONusers", F.lit(0)).alias("RONusers"),
             F.coalesce("A1A0usersAggTarget", F.lit(0)).alias("A1A0usersAggTarget"),
             (F.col("all_users") - F.coalesce("own_users", F.lit(0))).alias("A1usersAggTarget"),
         )

@@ -34,10 +34,22 @@ def heavy_users(dealt: DataFrame, copied: DataFrame, keys: list[str], most: int)
     return cut_lineage(heavy.select(*keys, parts.alias("parts")))
 
 
+def split_bags(rows: DataFrame, dealt: str, copied: str, most: int) -> DataFrame:
+    """Rows with two arrays, whose pairs are wanted, with ``part``: a row with more than ``most`` pairs becomes several, with a
+    slice of ``dealt`` each and all of ``copied``."""
+    n, m = F.size(dealt).cast("long"), F.size(copied).cast("long")
+    parts = F.when(n * m > most, F.least(F.ceil(n * m / most), n)).otherwise(1).cast("int")
+    each = F.ceil(F.size(dealt) / F.col("parts")).cast("int")
+    split = rows.withColumn("parts", parts).withColumn("each", each)
+    split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return split.withColumn(dealt, F.slice(dealt, F.col("part") * F.col("each") + 1, F.col("each"))).drop("parts", "each")
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``rows``, which are read twice and should be staged, with a ``table`` that is unique on ``keys``. Rows of a hot key are dealt over its parts, and the one
     record of the key is copied to each part; other keys have one part."""
-    hot = hot_keys(rows, keys, hot_rows)
+    # Staged, so that its size is known and neither side is shuffled to meet a table that is mostly empty.
+    hot = cut_lineage(hot_keys(rows, keys, hot_rows))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()

@@ -57,13 +57,13 @@ def stage_members(
     folder: str,
     mode: str = "errorifexists",
 ) -> Members:
-    events = union_events(download, custom, purchase, window=event_window)
+    events = union_events(download, custom, purchase, window=event_window, repeats=True)
     owned = stage(owned_apps(events, app_map), f"{folder}/owned", mode)
     lately = owned_apps(in_window(download, DATE, *target_window), app_map)
     # Both sides meet the same cohort members, which are the requests without their repeats.
     members = stage(cohort_members(requests), f"{folder}/members", mode)
-    own = stage(cohort_apps(owned, members), f"{folder}/ownership", mode)
-    return Members(owned, own, stage(cohort_apps(lately, members), f"{folder}/target", mode))
+    own = stage(cohort_apps(owned, members, distinct=True), f"{folder}/ownership", mode)
+    return Members(owned, own, stage(cohort_apps(lately, members, distinct=True), f"{folder}/target", mode))
 
 
 def stage_window(
