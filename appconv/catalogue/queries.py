@@ -139,6 +139,7 @@ class Inputs:
             self.staged_downloads,
             self.staged_popular,
             self.slots() if slots is None else slots,
+            distinct=True,
             **options,
         )
 
@@ -415,9 +416,13 @@ def target_hits_shuffled(i: Inputs) -> DataFrame:
     return target_hits(i, broadcast_bytes=0)
 
 
+def _window_members(i: Inputs) -> DataFrame:
+    return encode.members_by_user(i.staged_owned, events.cohort_members(i.staged_requests))
+
+
 def target_hits(i: Inputs, slots: encode.Slots | None = None, **options) -> DataFrame:
-    members = events.cohort_apps(i.staged_owned, i.staged_requests)
-    hits = encode.target_hits(members, i.staged_popular, i.slots() if slots is None else slots, **options)
+    members = _window_members(i)
+    hits = encode.target_hits(members, i.staged_popular, i.slots() if slots is None else slots, laid_out=True, **options)
     digits = F.array_join(mask_to_array(F.col("mask")).cast("array<string>"), "")
     return hits.select(*COHORT, UID, "app_a0", digits.alias("slots"))
 
@@ -429,11 +434,11 @@ def target_hits_compact(i: Inputs) -> DataFrame:
 
 def encode_own_target(i: Inputs) -> DataFrame:
     attributed = cut_lineage(events.attribute_downloads(i.downloads(), i.window_requests()))
-    return encode.encode_own_target(attributed, i.slots(), i.staged_owned)
+    return encode.encode_own_target(attributed, i.slots(), i.staged_owned, distinct=True)
 
 
 def encode_all_targets(i: Inputs) -> DataFrame:
-    members = events.cohort_apps(i.staged_owned, i.staged_requests)
+    members = _window_members(i)
     return encode.encode_all_targets(i.staged_requests, i.staged_popular, i.slots(), members)
 
 
@@ -490,7 +495,7 @@ def cvu_encoded_appfree_compact(i: Inputs) -> DataFrame:
 
 def encode_own_target_compact(i: Inputs) -> DataFrame:
     attributed = cut_lineage(events.attribute_downloads(i.downloads(), i.window_requests()))
-    return encode.encode_own_target(attributed, i.compact_feed, i.staged_owned)
+    return encode.encode_own_target(attributed, i.compact_feed, i.staged_owned, distinct=True)
 
 
 def cvu_encoded_appfree(i: Inputs) -> DataFrame:

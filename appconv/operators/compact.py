@@ -16,8 +16,8 @@ from appconv.operators import encode, lift
 from appconv.operators.skew import lookup
 from appconv.sources.staging import cut_lineage, stage
 
-# Stands for the word in which a user's eligible apps are counted.
-_ALL = -1
+# Stands for the word in which a user's eligible apps are counted: the first of the block before all others.
+_ALL = -encode.BLOCK_WORDS
 
 
 @dataclass
@@ -50,7 +50,7 @@ class CompactFeed:
         nobody = self.targets.withColumns({"A1A0users": F.lit(0).cast("long"), "A1users": F.lit(1).cast("long")})
         return _slot(lift.pair_lift(nobody, self.legacy_nan)).select(*COHORT, TARGET, BIN)
 
-    def packed_hits(self, members: DataFrame, targets: DataFrame) -> DataFrame:
+    def packed_hits(self, members: DataFrame, targets: DataFrame, laid_out: bool = False) -> DataFrame:
         """Per (cohort, user) the words of all targets, as ``encode.packed_hits`` gives them.
 
         Of a user's eligible apps those without an exception in a word share its default, so the default is or-ed in where
@@ -58,11 +58,8 @@ class CompactFeed:
         targets = encode.target_positions(targets)
         defaults = cut_lineage(default_words(self, targets))
         packed = cut_lineage(pack_exceptions(self, targets, defaults))
-        owned = members.select(*COHORT, UID, F.col(APP).alias(OWNED))
-        everyone = F.array(F.struct(F.lit(_ALL).alias("word"), F.lit(0).cast("long").alias("bits")))
-        rows = owned.join(packed, [*COHORT, OWNED]).select(*COHORT, UID, F.inline(F.concat(encode.HITS, everyone)))
-        words = rows.groupBy(*COHORT, UID, "word").agg(F.bit_or("bits").alias("bits"), F.count("*").alias("n"))
-        found = words.groupBy(*COHORT, UID).agg(F.collect_list(F.struct("word", F.struct("bits", "n"))).alias("found"))
+        rows = encode.by_user(members, packed, encode.BROADCAST_BYTES, laid_out)
+        found = encode.or_blocks(rows, counted=True).withColumnRenamed("words", "found")
         lists = defaults.groupBy(*COHORT).agg(F.collect_list(F.struct("word", "bits")).alias("defaults"))
         both = lookup(cut_lineage(found), lists, COHORT, "inner").withColumn("found", F.map_from_entries("found"))
         hits = F.filter(F.transform("defaults", _with_default), lambda h: h["bits"] != 0)
@@ -115,7 +112,7 @@ def default_words(feed: CompactFeed, targets: DataFrame) -> DataFrame:
 
 def pack_exceptions(feed: CompactFeed, targets: DataFrame, defaults: DataFrame) -> DataFrame:
     """One row per (cohort, eligible owned app): its words that differ from the default ones, because they hold a listed pair
-    or the app itself as a target, for which it has no slot. An app without such words has an empty list."""
+    or the app itself as a target, for which it has no slot; and the word in which apps are counted, which all of them have."""
     listed = feed.listed().withColumnRenamed(TARGET, APP).join(targets, APP)
     listed = listed.select(*COHORT, OWNED, _word(), _field().alias("field"), _bit(F.col(BIN)).alias("bit"))
     itself = feed.targets.select(*COHORT, F.col(TARGET).alias(APP)).join(targets, APP).withColumn(OWNED, F.col(APP))
@@ -123,13 +120,10 @@ def pack_exceptions(feed: CompactFeed, targets: DataFrame, defaults: DataFrame)
     words = listed.unionByName(itself).groupBy(*COHORT, OWNED, "word").agg(F.bit_or("field").alias("fields"), F.bit_or("bit").alias("own"))
     bits = F.col("own").bitwiseOR(F.col("bits").bitwiseAND(F.bitwise_not("fields")))
     words = words.join(defaults, [*COHORT, "word"]).select(*COHORT, OWNED, "word", bits.alias("bits"))
-    packed = words.groupBy(*COHORT, OWNED).agg(F.collect_list(F.struct("word", "bits")).alias(encode.HITS))
-    nothing = F.array().cast(packed.schema[encode.HITS].dataType)
-    return (
-        feed.owned.select(*COHORT, OWNED)
-        .join(packed, [*COHORT, OWNED], "left")
-        .withColumn(encode.HITS, F.coalesce(encode.HITS, nothing))
-    )
+    everyone = feed.owned.select(*COHORT, OWNED, F.lit(_ALL).alias("word"), F.lit(0).cast("long").alias("bits"))
+    # Listed pairs and targets of apps that nobody eligible owns are of no use.
+    words = words.join(feed.owned.select(*COHORT, OWNED), [*COHORT, OWNED], "left_semi")
+    return encode.in_blocks(everyone.unionByName(words))
 
 
 def _with_default(word: Column) -> Column:

@@ -7,7 +7,7 @@ from appconv.functions import mask_to_text
 from appconv.names import APP, BAG, COHORT, DATE, MODEL_SEGMENT, SEGMENT, UID, VECTOR
 from appconv.operators import encode
 from appconv.operators.encode import MASK
-from appconv.operators.events import attribute_downloads, cohort_apps
+from appconv.operators.events import attribute_downloads, cohort_members
 from appconv.operators.skew import lookup
 from appconv.sources.staging import cut_lineage
 
@@ -108,15 +108,19 @@ def cvu_encoded(
     slots: encode.Slots,
     sparse: bool = False,
     null_safe: bool = False,
+    distinct: bool = False,
 ) -> DataFrame:
     """CVU by segment, popular target and lift vector; every request counts once per popular target.
 
     A feed has a slot for every eligible pair, so nearly every owner has a vector for nearly every target, and requests
     are unfolded over the targets in the same task that counts them. ``sparse`` is for feeds that cover few targets: it
-    unfolds the vectors that are not zero and gets the zero ones by subtraction. Both give the same table."""
-    requests = requests.distinct()
+    unfolds the vectors that are not zero and gets the zero ones by subtraction. Both give the same table. ``distinct`` says that
+    requests, owned apps and downloads have no repeats."""
+    if not distinct:
+        requests, owned, downloads = requests.distinct(), owned.distinct(), downloads.distinct()
     targets = encode.target_positions(targets)
-    hits = encode.packed_hits(cohort_apps(owned, requests), targets, slots)
+    members = encode.members_by_user(owned, cohort_members(requests))
+    hits = cut_lineage(encode.packed_hits(members, targets, slots, laid_out=True))
     dims = [*SEGMENT, encode.POS]
     if sparse:
         everyone = requests.groupBy(*SEGMENT).agg(F.count("*").alias("n"))
@@ -126,7 +130,7 @@ def cvu_encoded(
         users = _with_zero_vectors(_hit_counts(requests, hits, SEGMENT, encode.POS), everyone, dims)
     else:
         users = _all_counts(requests, hits, targets, SEGMENT)
-    wanted = cut_lineage(attribute_downloads(downloads.join(targets, APP, "left_semi"), requests))
+    wanted = cut_lineage(attribute_downloads(downloads.join(targets, APP, "left_semi"), requests, distinct=True))
     downloaded = encode.with_own_mask_from_hits(wanted, targets, hits)
     rates = conversion_rate(users, count_downloads(downloaded, [*dims, MASK]), [*dims, MASK], null_safe=null_safe)
     return _as_vector(encode.with_app(rates, targets), [*SEGMENT, APP])
@@ -140,15 +144,17 @@ def cvu_encoded_appfree(
     slots: encode.Slots,
     min_users: int = 0,
     null_safe: bool = False,
+    distinct: bool = False,
 ) -> DataFrame:
     """CVU by coarse segment, app and lift vector over users counted without the app: a user with the same vector for
     several popular targets counts once for each. Users without any owned app do not count; downloads of every app do.
-    """
-    requests = requests.distinct()
-    owned = owned.distinct()
-    members = cohort_apps(owned, requests)
-    owners = requests.join(owned.select(UID).distinct(), UID, "left_semi")
-    hits = encode.packed_hits(members, targets, slots)
+    ``distinct`` says that requests, owned apps and downloads have no repeats."""
+    if not distinct:
+        requests, owned, downloads = requests.distinct(), owned.distinct(), downloads.distinct()
+    members = encode.members_by_user(owned, cohort_members(requests))
+    # Read three times below.
+    owners = cut_lineage(requests.join(owned, UID, "left_semi"))
+    hits = encode.packed_hits(members, targets, slots, laid_out=True)
     counted = _hit_counts(owners, hits, MODEL_SEGMENT)
     how_many = targets.agg(F.count("*").alias("targets")).scalar()
     everyone = owners.groupBy(*MODEL_SEGMENT).agg(F.count("*").alias("rows"))
@@ -156,8 +162,8 @@ def cvu_encoded_appfree(
     users = _with_zero_vectors(counted, everyone, MODEL_SEGMENT).filter(F.col("user_count") >= min_users)
 
     # Read three times below.
-    attributed = cut_lineage(attribute_downloads(downloads, requests))
-    own_hits = encode.own_target_hits(attributed, owned, slots)
+    attributed = cut_lineage(attribute_downloads(downloads, requests, distinct=True))
+    own_hits = encode.own_target_hits(attributed, owned, slots, distinct=True)
     downloaded = count_downloads(encode.with_own_mask(attributed, own_hits), [*MODEL_SEGMENT, APP, MASK])
     rates = conversion_rate(users, downloaded, [*MODEL_SEGMENT, MASK], how="inner", null_safe=null_safe, fill=False)
     return _as_vector(rates, [*MODEL_SEGMENT, APP])

@@ -125,7 +125,7 @@ def build_cvu(
     """CVU by segment, target app and lift vector over a window of requests and downloads."""
     read = stage_window(requests, download, app_map, window, folder, min_rows, mode)
     table = cvu_encoded_appfree if app_free else cvu_encoded
-    cvu = table(read.requests, feed.owned, read.downloads, read.popular, feed.slots())
+    cvu = table(read.requests, feed.owned, read.downloads, read.popular, feed.slots(), distinct=True)
     return stage(cvu, f"{folder}/cvu", mode)
 
 
